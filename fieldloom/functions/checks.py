@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldloom.functions.binding import regexp_extract
 from fieldloom.functions.text import present, strip, upper_plain
 
 NATURAL, LEGAL = "Persona Física", "Persona Moral"
@@ -148,7 +149,7 @@ def real_value(value: Column) -> Column:
 
 def person_type(tax_id: Column) -> Column:
     """Natural person for four leading letters and six digits, legal person for three."""
-    head = F.length(F.regexp_extract(F.upper(strip(tax_id)), F.lit("^([A-ZÑ&]{3,4})[0-9]{6}"), F.lit(1)))
+    head = F.length(regexp_extract(F.upper(strip(tax_id)), F.lit("^([A-ZÑ&]{3,4})[0-9]{6}"), F.lit(1)))
     return F.when(head == 4, F.lit(NATURAL)).when(head == 3, F.lit(LEGAL))
 
 

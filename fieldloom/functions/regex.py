@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.functions.binding import regexp_extract
 from fieldloom.functions.text import strip
 
 # Unicode case folding and classes, ^/$ per line, "\n" as the only line end:
@@ -105,9 +106,9 @@ def extract_value(text: Column, java: Column, groups: Column, optional_first: Co
     the empty string gives ''.  When the first group is empty but another one is
     not, the result is NULL.
     """
-    whole = F.regexp_extract(text, java, F.lit(0))
-    first = F.regexp_extract(text, java, F.least(groups, F.lit(1)))
-    second = F.regexp_extract(text, java, F.least(groups, F.lit(2)))
+    whole = regexp_extract(text, java, F.lit(0))
+    first = regexp_extract(text, java, F.least(groups, F.lit(1)))
+    second = regexp_extract(text, java, F.least(groups, F.lit(2)))
     value = (
         F.when((groups == 0) | (first != ""), first)
         .when((groups >= 2) & (second != ""), F.lit(None).cast("string"))
@@ -124,15 +125,15 @@ def apply_pattern(text: Column, pattern: str) -> Column:
         return F.lit(None).cast("string")
     java = F.lit(ready.java)
     if ready.groups == 0:
-        return F.when(F.rlike(text, java), strip(F.regexp_extract(text, java, 0)))
+        return F.when(F.rlike(text, java), strip(regexp_extract(text, java, 0)))
     if ready.groups == 1 and not ready.optional_first:
-        return F.when(F.rlike(text, java), strip(F.regexp_extract(text, java, 1)))
+        return F.when(F.rlike(text, java), strip(regexp_extract(text, java, 1)))
     return extract_value(text, java, F.lit(ready.groups), F.lit(ready.optional_first))
 
 
 def first_match(text: Column, pattern: str, group: int = 0, flags: str = "(?iuUd)") -> Column:
     """Raw ``group`` of the first match, NULL when the match is absent or empty."""
-    return F.nullif(F.regexp_extract(text, F.lit(flags + to_java(pattern)), F.lit(group)), F.lit(""))
+    return F.nullif(regexp_extract(text, F.lit(flags + to_java(pattern)), F.lit(group)), F.lit(""))
 
 
 def cascade(text: Column, patterns: list[str], group: int = 1, flags: str = "(?iuUd)") -> Column:

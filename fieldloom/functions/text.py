@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldloom.functions.binding import regexp_extract
+
 # What str.strip() and str.splitlines() regard as white space and line ends.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
@@ -126,7 +128,7 @@ def literal_at(text: Column, literal: Column) -> Column:
 
 def block_between(text: Column, start: str, end: str) -> Column:
     """Text between two anchors, shortest span, across lines."""
-    found = F.regexp_extract(text, F.lit(f"(?isuU){start}(.*?)(?:{end})"), F.lit(1))
+    found = regexp_extract(text, F.lit(f"(?isuU){start}(.*?)(?:{end})"), F.lit(1))
     return F.when(F.rlike(text, F.lit(f"(?isuU){start}(.*?)(?:{end})")), found)
 
 
@@ -216,5 +218,5 @@ ADDRESS = r"(?iuU)^.*?,\s*([^,]+),\s*([^,]+),\s*[^,]+,\s*C\.?\s*P\.?\s*(\d{4,5})
 
 def address_parts(address: Column) -> Column:
     """Colony, municipality and postal code of a one-line address."""
-    part = lambda g: present(strip(F.regexp_extract(address, F.lit(ADDRESS), F.lit(g))))
+    part = lambda g: present(strip(regexp_extract(address, F.lit(ADDRESS), F.lit(g))))
     return F.struct(part(1).alias("colony"), part(2).alias("municipality"), part(3).alias("postal_code"))

@@ -8,15 +8,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldloom.functions.binding import let
+
 
 def tally(values: Column) -> Column:
     """Distinct values with count, most frequent first, first seen first."""
-    known = F.filter(values, lambda v: v.isNotNull())
-    counted = F.transform(
-        F.array_distinct(known),
-        lambda v, i: F.struct(F.size(F.filter(known, lambda w: w == v)).alias("n"), (-i).alias("seen"), v.alias("value")),
-    )
-    return F.sort_array(counted, asc=False)
+
+    def count(known: Column) -> Column:
+        counted = F.transform(
+            F.array_distinct(known),
+            lambda v, i: F.struct(F.size(F.filter(known, lambda w: w == v)).alias("n"), (-i).alias("seen"), v.alias("value")),
+        )
+        return F.sort_array(counted, asc=False)
+
+    return let(F.filter(values, lambda v: v.isNotNull()), count)
 
 
 def top_values(values: Column, k: int) -> Column:
@@ -34,9 +39,14 @@ def preferred(values: Column, prefer: list) -> Column:
 
     Values that pass no test are out.
     """
-    known = tally(values)
-    winners = [F.get(F.filter(known, lambda t, p=p: p(t["value"])), F.lit(0))["value"] for p in prefer]
-    return F.coalesce(*winners)
+
+    def winner(known: Column) -> Column:
+        def first(test) -> Column:
+            return F.get(F.filter(known, lambda t: test(t["value"])), F.lit(0))["value"]
+
+        return F.coalesce(*map(first, prefer))
+
+    return let(tally(values), winner)
 
 
 def word_vote(text: Column, words: list[str], legacy_vote: bool = False) -> Column:

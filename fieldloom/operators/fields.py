@@ -7,11 +7,14 @@ nothing is shuffled; the table forms are for sources stored apart.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import model as m
 from fieldloom.functions.amounts import derive_person_type
+from fieldloom.functions.binding import let, let2
 from fieldloom.functions.checks import is_vehicle_line
 from fieldloom.functions.regex import apply_pattern, extract_value, prepare_column
 from fieldloom.functions.text import present
@@ -207,32 +210,28 @@ def resolve_sources(long_fields: DataFrame) -> DataFrame:
 
 def overlay(first: Column, *others: Column) -> Column:
     """Array form of the resolution: earlier arrays win, field by field."""
-    result = first
-    for other in others:
+    def add(result: Column, other: Column) -> Column:
         known = F.transform(result, lambda f: f["field"])
-        result = F.concat(result, F.filter(other, lambda f, known=known: ~F.array_contains(known, f["field"])))
-    return result
+        return F.concat(result, let(known, lambda names: F.filter(other, lambda f: ~F.array_contains(names, f["field"]))))
+
+    return reduce(add, others, first)
 
 
 def complete_fields(found: Column, lists: Column, product_id: Column) -> Column:
     """Add fixed values, then the missing fields of the product."""
     expected = F.coalesce(F.try_element_at(lists, product_id.cast("string")), F.array().cast("array<struct<field:string,fixed_value:string>>"))
-    names = F.transform(found, lambda f: f["field"])
-    rest = F.filter(expected, lambda e: ~F.array_contains(names, e["field"]))
-    # a field may be listed twice (global and specific): the fixed value wins
-    distinct = F.array_distinct(F.transform(rest, lambda e: e["field"]))
-    added = F.transform(
-        distinct,
-        lambda name: F.struct(
-            name.alias("field"),
-            F.array_max(F.transform(F.filter(rest, lambda e: e["field"] == name), lambda e: e["fixed_value"])).alias("value"),
-        ),
-    )
-    return F.concat(
-        found,
-        F.transform(added, lambda a: _field(a["field"], a["value"],
-                                            F.when(a["value"].isNotNull(), m.METHOD_FIXED).otherwise(m.METHOD_NONE), None)),
-    )
+
+    def added(names: Column, wanted: Column) -> Column:
+        rest = F.filter(wanted, lambda e: ~F.array_contains(names, e["field"]))
+
+        def item(name: Column, candidates: Column) -> Column:
+            # a field may be listed twice (global and specific): the fixed value wins
+            fixed = F.array_max(F.transform(F.filter(candidates, lambda e: e["field"] == name), lambda e: e["fixed_value"]))
+            return let(fixed, lambda v: _field(name, v, F.when(v.isNotNull(), m.METHOD_FIXED).otherwise(m.METHOD_NONE), None))
+
+        return let(rest, lambda r: F.transform(F.array_distinct(F.transform(r, lambda e: e["field"])), lambda n: item(n, r)))
+
+    return F.concat(found, let2(F.transform(found, lambda f: f["field"]), expected, added))
 
 
 def value_of(fields: Column, name: str) -> Column:
@@ -242,10 +241,15 @@ def value_of(fields: Column, name: str) -> Column:
 
 def with_person_type(fields: Column, output: str = "label") -> Column:
     """Set the derived person type where the document gives none."""
-    derived = derive_person_type(F.lit(None).cast("string"), value_of(fields, "rfc"), value_of(fields, "nombre_cliente"), output)
-    add = value_of(fields, "entidad").isNull() & derived.isNotNull()
-    others = F.filter(fields, lambda f: f["field"] != "entidad")
-    return F.when(add, F.concat(others, F.array(_field("entidad", derived, F.lit(m.METHOD_DERIVED), None)))).otherwise(fields)
+
+    def add(kind: Column) -> Column:
+        others = F.filter(fields, lambda f: f["field"] != "entidad")
+        return F.when(kind.isNotNull(), F.concat(others, F.array(_field("entidad", kind, F.lit(m.METHOD_DERIVED), None)))).otherwise(fields)
+
+    none = F.lit(None).cast("string")
+    derive = lambda tax_id, name: derive_person_type(none, tax_id, name, output)
+    derived = let2(value_of(fields, "rfc"), value_of(fields, "nombre_cliente"), derive)
+    return let(F.when(value_of(fields, "entidad").isNull(), derived), add)
 
 
 def derive_fields(long_fields: DataFrame, output: str = "label") -> DataFrame:
@@ -280,7 +284,11 @@ def method_counters(long_fields: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def counters_of(fields: Column) -> list[Column]:
     """Array form of the counters."""
-    return [F.size(F.filter(fields, lambda f, b=b: method_bucket(f["method"]) == b)).alias(name) for name, b in COUNTERS]
+
+    def size(bucket: str) -> Column:
+        return F.size(F.filter(fields, lambda f: method_bucket(f["method"]) == bucket))
+
+    return [size(b).alias(name) for name, b in COUNTERS]
 
 
 def field_map(long_fields: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.binding import let, regexp_extract
 from fieldloom.functions.text import present, strip
 from fieldloom.operators.bounds import join_small
 
@@ -65,35 +66,40 @@ def nearest_value(spans: Column, label: Column, exclude: list[str] | None = None
                   max_dy: float = 45, same_row: bool = True, below: bool = True, max_dx: float | None = None) -> Column:
     """Value right of the label in its row, else the nearest one below in its column."""
 
-    def place(s: Column) -> Column:
-        dy = s["y0"] - label["y0"]
-        right = (F.abs(dy) <= tol_row) & (s["x0"] > label["x1"] - 2)
+    def place(s: Column, mark: Column) -> Column:
+        dy = s["y0"] - mark["y0"]
+        right = (F.abs(dy) <= tol_row) & (s["x0"] > mark["x1"] - 2)
         if max_dx is not None:
-            right = right & (s["x0"] - label["x1"] <= max_dx)
-        under = (dy > 0) & (dy <= max_dy) & (F.abs(s["x0"] - label["x0"]) <= tol_x)
-        result = F.lit(None).cast("struct<class:int,gap:double>")
-        if below:
-            result = F.when(under, F.struct(F.lit(1).alias("class"), dy.cast("double").alias("gap"))).otherwise(result)
-        if same_row:
-            result = F.when(right, F.struct(F.lit(0).alias("class"), (s["x0"] - label["x1"]).cast("double").alias("gap"))).otherwise(result)
-        return F.when(result.isNotNull(), F.struct(result["class"].alias("class"), result["gap"].alias("gap"),
-                                                   s["ord"].alias("ord"), s["text"].alias("text")))
+            right = right & (s["x0"] - mark["x1"] <= max_dx)
+        under = (dy > 0) & (dy <= max_dy) & (F.abs(s["x0"] - mark["x0"]) <= tol_x)
+        kind = F.when(right & F.lit(same_row), 0).when(under & F.lit(below), 1)
+        gap = F.when(kind == 0, s["x0"] - mark["x1"]).otherwise(dy)
+        return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), gap.alias("gap"), s["ord"].alias("ord"), s["text"].alias("text")))
 
-    placed = F.transform(_others(spans, label, exclude or []), place)
-    best = F.array_min(F.filter(placed, lambda p: p.isNotNull()))
-    return F.when(label.isNotNull(), present(strip(best["text"])))
+    def best(mark: Column) -> Column:
+        placed = F.transform(_others(spans, mark, exclude or []), lambda s: place(s, mark))
+        return present(strip(F.array_min(F.filter(placed, lambda p: p.isNotNull()))["text"]))
+
+    return let(label, lambda mark: F.when(mark.isNotNull(), best(mark)))
 
 
 def column_lines(spans: Column, label: Column, exclude: list[str] | None = None, tol_x: float = 14, max_dy: float = 90,
                  max_lines: int = 4, max_gap: float = 20) -> Column:
     """Lines below the label in its column, up to the first large gap, joined by a blank."""
-    under = F.filter(
-        _others(spans, label, exclude or []),
-        lambda s: (s["y0"] > label["y0"]) & (s["y0"] - label["y0"] <= max_dy) & (F.abs(s["x0"] - label["x0"]) <= tol_x),
-    )
-    ordered = F.slice(
-        F.array_sort(F.transform(under, lambda s: F.struct(s["y0"].alias("y"), s["ord"].alias("o"), s["text"].alias("t")))), 1, max_lines
-    )
+
+    def below(mark: Column) -> Column:
+        under = F.filter(
+            _others(spans, mark, exclude or []),
+            lambda s: (s["y0"] > mark["y0"]) & (s["y0"] - mark["y0"] <= max_dy) & (F.abs(s["x0"] - mark["x0"]) <= tol_x),
+        )
+        keyed = F.transform(under, lambda s: F.struct(s["y0"].alias("y"), s["ord"].alias("o"), s["text"].alias("t")))
+        return let(F.slice(F.array_sort(keyed), 1, max_lines), lambda ordered: join_until_gap(ordered, max_gap))
+
+    return let(label, lambda mark: F.when(mark.isNotNull(), present(below(mark))))
+
+
+def join_until_gap(ordered: Column, max_gap: float) -> Column:
+    """Texts (y, o, t) from the top until a vertical gap, joined by a blank."""
     kept = F.filter(
         ordered,
         lambda s, i: ~F.exists(
@@ -101,8 +107,7 @@ def column_lines(spans: Column, label: Column, exclude: list[str] | None = None,
             lambda j: (j < i) & (F.get(ordered, j + 1)["y"] - F.get(ordered, j)["y"] > max_gap),
         ),
     )
-    texts = F.filter(F.transform(kept, lambda s: strip(s["t"])), lambda t: t != "")
-    return F.when(label.isNotNull() & (F.size(texts) > 0), F.array_join(texts, " "))
+    return F.array_join(F.filter(F.transform(kept, lambda s: strip(s["t"])), lambda t: t != ""), " ")
 
 
 def over_pages(spans: Column, label: str, pages: Column | None, value) -> Column:
@@ -110,8 +115,7 @@ def over_pages(spans: Column, label: str, pages: Column | None, value) -> Column
     numbers = F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["page"]))) if pages is None else pages
 
     def on(page: Column) -> Column:
-        part = on_page(spans, page)
-        return value(part, find_label(part, label))
+        return let(on_page(spans, page), lambda part: value(part, find_label(part, label)))
 
     return F.get(F.filter(F.transform(numbers, on), lambda v: v.isNotNull()), F.lit(0))
 
@@ -155,16 +159,16 @@ def table_row(rows: Column, words: list[str], pattern: str, accept, group: int =
     ``rows`` comes from ``layout_lines``.
     """
 
-    def one(row: Column, i: Column) -> Column:
+    def one(row: Column, i: Column, rs: Column) -> Column:
         header = F.lit(True)
         for w in words:
             header = header & F.contains(F.lower(row["text"]), F.lit(w))
-        inline = present(F.regexp_extract(row["text"], F.lit("(?iuU)" + pattern), F.lit(group)))
-        following = F.get(rows, i + 1)
+        inline = present(regexp_extract(row["text"], F.lit("(?iuU)" + pattern), F.lit(group)))
+        following = F.get(rs, i + 1)
         below = F.when((following["page"] == row["page"]) & (following["block"] == row["block"]), present(strip(following["text"])))
         return F.when(header, F.coalesce(F.when(accept(inline), inline), F.when(accept(below), below)))
 
-    return F.get(F.filter(F.transform(rows, one), lambda v: v.isNotNull()), F.lit(0))
+    return let(rows, lambda rs: F.get(F.filter(F.transform(rs, lambda r, i: one(r, i, rs)), lambda v: v.isNotNull()), F.lit(0)))
 
 
 # ---- table form ---------------------------------------------------------------
@@ -219,15 +223,7 @@ def column_values(spans: DataFrame, labels: DataFrame, exclude: list[str] | None
     held = under.groupBy(*PAGE).agg(
         F.slice(F.array_sort(F.collect_list(F.struct(F.col("y0").alias("y"), F.col("ord").alias("o"), F.col("text").alias("t")))), 1, max_lines).alias("_s")
     )
-    s = F.col("_s")
-    kept = F.filter(
-        s,
-        lambda x, i: ~F.exists(
-            F.sequence(F.lit(0), F.greatest(i - 1, F.lit(0))),
-            lambda j: (j < i) & (F.get(s, j + 1)["y"] - F.get(s, j)["y"] > max_gap),
-        ),
-    )
-    return held.select(*PAGE, F.array_join(F.filter(F.transform(kept, lambda x: strip(x["t"])), lambda t: t != ""), " ").alias("value"))
+    return held.select(*PAGE, join_until_gap(F.col("_s"), max_gap).alias("value"))
 
 
 def section_spans(spans: DataFrame, start: DataFrame, end: DataFrame, default_height: float = 200) -> DataFrame:

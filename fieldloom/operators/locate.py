@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.binding import let, let2, regexp_extract
 from fieldloom.functions.text import block_between, present, strip
+from fieldloom.functions.text import lines as split_lines
 
 LineTest = Callable[[Column], Column]
 LinePick = Callable[[Column], Column]
@@ -41,7 +43,7 @@ def matches(pattern: str, flags: str = "(?iuU)") -> LineTest:
 
 def found(pattern: str, group: int = 0, flags: str = "(?U)") -> LinePick:
     """First match in the line."""
-    return lambda line: present(F.regexp_extract(line, F.lit(flags + pattern), F.lit(group)))
+    return lambda line: present(regexp_extract(line, F.lit(flags + pattern), F.lit(group)))
 
 
 def whole(*accept: LineTest) -> LinePick:
@@ -59,14 +61,14 @@ def whole(*accept: LineTest) -> LinePick:
 
 def first_index(lines: Column, is_label: LineTest) -> Column:
     """Position of the first label line, NULL without one."""
-    at = F.array_position(F.transform(lines, lambda x: F.coalesce(is_label(x), F.lit(False))), True)
-    return F.when(at > 0, (at - 1).cast("int"))
+    where = F.array_position(F.transform(lines, lambda x: F.coalesce(is_label(x), F.lit(False))), True)
+    return let(where, lambda w: F.when(w > 0, (w - 1).cast("int")))
 
 
 def last_index(lines: Column, is_label: LineTest) -> Column:
     marks = F.transform(lines, lambda x: F.coalesce(is_label(x), F.lit(False)))
     back = F.array_position(F.reverse(marks), True)
-    return F.when(back > 0, (F.size(lines) - back).cast("int"))
+    return let(back, lambda b: F.when(b > 0, (F.size(lines) - b).cast("int")))
 
 
 def at(lines: Column, position: Column) -> Column:
@@ -86,8 +88,7 @@ def label_offset(lines: Column, is_label: LineTest, offsets: list[int], pick: Li
     tried too.
     """
     if first_only:
-        i = first_index(lines, is_label)
-        return F.coalesce(*[pick(at(lines, i + k)) for k in offsets])
+        return let(first_index(lines, is_label), lambda i: F.coalesce(*[pick(at(lines, i + k)) for k in offsets]))
     tried = F.transform(
         lines, lambda line, i: F.when(is_label(line), F.coalesce(*[pick(at(lines, i + k)) for k in offsets]))
     )
@@ -107,10 +108,10 @@ def label_window(lines: Column, is_label: LineTest, first: int, last: int, pick:
     """First or last acceptable value in a window after a label."""
 
     def choose(values: Column) -> Column:
-        return F.get(values, F.lit(0)) if which == "first" else F.get(values, F.size(values) - 1)
+        return F.get(values, F.lit(0)) if which == "first" else F.try_element_at(values, F.lit(-1))
 
     if first_only:
-        return choose(window_values(lines, first_index(lines, is_label), first, last, pick))
+        return let(first_index(lines, is_label), lambda i: choose(window_values(lines, i, first, last, pick)))
     tried = F.transform(lines, lambda line, i: F.when(is_label(line), choose(window_values(lines, i, first, last, pick))))
     return first_value(tried)
 
@@ -119,7 +120,7 @@ def label_inline(lines: Column, pattern: str, group: int = 1, flags: str = "(?iu
     """First line on which the pattern yields an acceptable value."""
 
     def pick(line: Column) -> Column:
-        value = present(strip(F.regexp_extract(line, F.lit(flags + pattern), F.lit(group))))
+        value = present(strip(regexp_extract(line, F.lit(flags + pattern), F.lit(group))))
         return value if accept is None else F.when(accept(value), value)
 
     return first_value(F.transform(lines, pick))
@@ -127,7 +128,7 @@ def label_inline(lines: Column, pattern: str, group: int = 1, flags: str = "(?iu
 
 def line_matches(lines: Column, pattern: str, group: int = 1, flags: str = "(?U)") -> Column:
     """First match of every line that has one, for a vote."""
-    values = F.transform(lines, lambda x: present(F.regexp_extract(x, F.lit(flags + pattern), F.lit(group))))
+    values = F.transform(lines, lambda x: present(regexp_extract(x, F.lit(flags + pattern), F.lit(group))))
     return F.filter(values, lambda v: v.isNotNull())
 
 
@@ -136,15 +137,20 @@ def section(text: Column, start: str, end: str) -> Column:
     return strip(block_between(text, start, end))
 
 
-def section_lines(lines: Column, start: LineTest, end: LineTest, last_start: bool = False) -> Column:
-    """Lines from the start anchor up to the first end anchor after the top.
+def section_bounds(lines: Column, start: LineTest, end: LineTest) -> Column:
+    """(start, end) positions: the first end line and the last start line up to it."""
+
+    def bounds(stop: Column) -> Column:
+        head = F.slice(lines, 1, F.coalesce(stop + 1, F.lit(0)))
+        return let(last_index(head, start), lambda begin: F.when(begin.isNotNull(), F.struct(begin.alias("start"), stop.alias("end"))))
+
+    return let(first_index(lines, end), bounds)
 
-    With ``last_start`` the last start anchor before the end counts.
-    """
-    stop = first_index(lines, end)
-    before = F.slice(lines, 1, F.coalesce(stop, F.lit(0)))
-    begin = last_index(before, start) if last_start else first_index(before, start)
-    return F.when(begin.isNotNull() & stop.isNotNull(), F.slice(lines, begin + 1, stop - begin))
+
+def section_lines(lines: Column, start: LineTest, end: LineTest) -> Column:
+    """Lines of the section, start line included, end line not."""
+    part = lambda b: F.when(b.isNotNull(), F.slice(lines, b["start"] + 1, b["end"] - b["start"]))
+    return let(section_bounds(lines, start, end), part)
 
 
 def between_anchors(lines: Column, is_label: LineTest, opens: LineTest, closes: LineTest, max_lines: int = 15) -> Column:
@@ -153,25 +159,76 @@ def between_anchors(lines: Column, is_label: LineTest, opens: LineTest, closes:
     The last opening line before the first closing line counts.
     """
 
-    def inside(position: Column) -> Column:
-        part = F.transform(F.slice(lines, position + 1, max_lines), strip)
-        stop = first_index(part, closes)
-        start = last_index(F.slice(part, 1, F.coalesce(stop, F.lit(0))), lambda x: opens(x) & ~closes(x))
-        held = F.filter(F.slice(part, start + 2, F.greatest(stop - start - 1, F.lit(0))), lambda x: x != "")
-        return F.when(F.size(held) > 0, F.array_join(held, " "))
+    return first_value(F.transform(lines, lambda line, i: F.when(is_label(line), between_at(lines, i, opens, closes, max_lines))))
+
 
-    return first_value(F.transform(lines, lambda line, i: F.when(is_label(line), inside(i))))
+def between_at(lines: Column, position: Column, opens: LineTest, closes: LineTest, max_lines: int) -> Column:
+    """Lines between an opening and a closing line from one position on."""
+
+    def cut(part: Column, stop: Column) -> Column:
+        start = last_index(F.slice(part, 1, F.coalesce(stop, F.lit(0))), opens)
+        held = let(start, lambda s: F.filter(F.slice(part, s + 2, F.greatest(stop - s - 1, F.lit(0))), lambda x: x != ""))
+        return present(F.array_join(held, " "))
+
+    part = F.transform(F.slice(lines, position + 1, max_lines), strip)
+    return let(part, lambda p: let(first_index(p, closes), lambda stop: cut(p, stop)))
 
 
 def relative_to(lines: Column, other: Column, offset: int, pick: LinePick = whole()) -> Column:
     """Value ``offset`` lines from the first line that holds another field's value."""
-    i = first_index(lines, lambda line: F.contains(line, other))
-    return F.when(other.isNotNull() & (other != ""), pick(at(lines, i + offset)))
+
+    def near(value: Column) -> Column:
+        i = first_index(lines, lambda line: F.contains(line, value))
+        return F.when(value != "", pick(at(lines, i + offset)))
+
+    return let(other, near)
+
+
+def line_before(lines: Column, other: Column) -> Column:
+    """Line before the first line, not being the very first, that holds another value."""
+
+    def before(all_lines: Column, value: Column) -> Column:
+        tried = F.transform(all_lines, lambda line, i: F.when(F.contains(line, value) & (i > 0), strip(F.get(all_lines, i - 1))))
+        return F.when(value != "", first_value(tried))
+
+    return let2(lines, other, before)
+
+
+def label_steps(lines: Column, is_label: LineTest, steps: list[Callable[[Column, Column], Column]], first_only: bool = False) -> Column:
+    """Several ways to a value, all tried at one label line before the next.
+
+    A step is a function of (lines, position).
+    """
+    if first_only:
+        return let(first_index(lines, is_label), lambda i: F.when(i.isNotNull(), F.coalesce(*[s(lines, i) for s in steps])))
+    tried = F.transform(lines, lambda line, i: F.when(is_label(line), F.coalesce(*[s(lines, i) for s in steps])))
+    return first_value(tried)
+
+
+def step_at(offset: int, pick: LinePick) -> Callable[[Column, Column], Column]:
+    return lambda lines, i: pick(at(lines, i + offset))
+
+
+def step_window(first: int, last: int, pick: LinePick, which: str = "first") -> Callable[[Column, Column], Column]:
+    def step(lines: Column, i: Column) -> Column:
+        values = window_values(lines, i, first, last, pick)
+        return F.get(values, F.lit(0)) if which == "first" else F.try_element_at(values, F.lit(-1))
+
+    return step
+
+
+def last_found(pattern: str, flags: str = "(?U)") -> LinePick:
+    """Last match in the line."""
+
+    def pick(line: Column) -> Column:
+        return F.try_element_at(F.regexp_extract_all(line, F.lit(flags + pattern), F.lit(0)), F.lit(-1))
+
+    return pick
 
 
 def from_block_end(lines: Column, back: int, pick: LinePick = whole()) -> Column:
     """Value ``back`` lines before the end of a block."""
-    return pick(at(lines, F.size(lines) - back))
+    return let(lines, lambda block: pick(at(block, F.size(block) - back)))
 
 
 def context_before(lines: Column, position: Column, back: int, test: LineTest) -> Column:
@@ -184,34 +241,39 @@ def context_before(lines: Column, position: Column, back: int, test: LineTest) -
 def context_window(lines: Column, is_label: LineTest, first: int, last: int, back: int, context: LineTest) -> Column:
     """First line in the window whose preceding lines pass the context test."""
 
-    def inside(position: Column) -> Column:
-        steps = [
-            F.when(context_before(lines, position + k, back, context), strip(at(lines, position + k)))
-            for k in range(first, last + 1)
-        ]
-        return F.coalesce(*steps)
+    def search(block: Column) -> Column:
+        def inside(position: Column) -> Column:
+            steps = [
+                F.when(context_before(block, position + k, back, context), strip(at(block, position + k)))
+                for k in range(first, last + 1)
+            ]
+            return F.coalesce(*steps)
+
+        return first_value(F.transform(block, lambda line, i: F.when(is_label(line), inside(i))))
 
-    return first_value(F.transform(lines, lambda line, i: F.when(is_label(line), inside(i))))
+    return let(lines, search)
 
 
 def penultimate_line(lines: Column, back: int, context: LineTest) -> Column:
     """Last line but one of a block, when the lines before it pass the test."""
-    position = F.size(lines) - 2
-    return F.when((position >= 0) & context_before(lines, position, back, context), strip(at(lines, position)))
+
+    def take(block: Column) -> Column:
+        position = F.size(block) - 2
+        return F.when((position >= 0) & context_before(block, position, back, context), strip(at(block, position)))
+
+    return let(lines, take)
 
 
 def numbered_block(text: Column, anchor: str, is_key: LineTest, length: int = 400) -> Column:
     """(key, name): first key line after an anchor and the line before it."""
     start = F.instr(text, anchor)
-    from fieldloom.functions.text import lines as split_lines
-
     part = F.filter(F.transform(split_lines(F.substr(text, start, F.lit(length))), strip), lambda x: x != "")
-    rest = F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(0)))
-    i = first_index(rest, is_key)
-    return F.when(
-        (start > 0) & i.isNotNull(),
-        F.struct(F.get(rest, i).alias("key"), F.when(i > 0, F.get(rest, i - 1)).alias("name")),
-    )
+
+    def pair(rest: Column, i: Column) -> Column:
+        return F.when(i.isNotNull(), F.struct(F.get(rest, i).alias("key"), F.when(i > 0, F.get(rest, i - 1)).alias("name")))
+
+    after = let(part, lambda p: F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))))
+    return F.when(start > 0, let(after, lambda rest: let(first_index(rest, is_key), lambda i: pair(rest, i))))
 
 
 def without(value: Column, excluded: list[str], fold: Callable[[Column], Column] = F.lower) -> Column:
@@ -231,6 +293,4 @@ def constant_if(test: Column, value: str) -> Column:
 
 def line_table(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, line_no, line): table form, for joins and votes over many lines."""
-    from fieldloom.functions.text import lines as split_lines
-
     return docs.select("doc_id", F.posexplode(split_lines(F.col(text))).alias("line_no", "line"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.binding import regexp_extract
 from fieldloom import model as m
 from fieldloom.functions.text import context_window, lookup
 from fieldloom.operators.bounds import join_small
@@ -341,7 +342,7 @@ def confirm_batch(queue: DataFrame, taken_names: DataFrame) -> tuple[DataFrame,
     )
     suffix = F.concat(F.lit("_"), F.left("sha256", F.lit(6)))
     unique = F.when(
-        F.col("_taken"), F.concat(F.regexp_replace("name", "(\\.[^.]*)?$", ""), suffix, F.regexp_extract("name", "(\\.[^.]*)?$", 1))
+        F.col("_taken"), F.concat(F.regexp_replace("name", "(\\.[^.]*)?$", ""), suffix, regexp_extract("name", "(\\.[^.]*)?$", 1))
     ).otherwise(F.col("name"))
     training = training.select(F.col("product_id_prop").alias("product_id"), unique.alias("name"), "doc_id", "sha256")
     snapshot = queue.withColumns(

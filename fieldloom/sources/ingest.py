@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.functions.binding import regexp_extract
 from fieldloom import model as m
 from fieldloom.functions.text import strip
 from fieldloom.operators.bounds import rows_within
@@ -97,7 +98,7 @@ def clean_json(raw: Column) -> Column:
 def json_object(raw: Column) -> Column:
     """A JSON object as text: the cleaned answer, else the widest {...} block, else NULL."""
     whole = clean_json(raw)
-    block = F.nullif(F.regexp_extract(raw, F.lit("(?s)\\{.*\\}"), F.lit(0)), F.lit(""))
+    block = F.nullif(regexp_extract(raw, F.lit("(?s)\\{.*\\}"), F.lit(0)), F.lit(""))
     usable = lambda c: F.when(F.try_parse_json(c).isNotNull() & F.startswith(c, F.lit("{")), c)
     return F.coalesce(usable(whole), usable(block))
 

@@ -88,7 +88,7 @@ def queue_writer(folder: str, catalogue: DataFrame) -> Callable[[DataFrame, int]
         doubles = duplicates(rows, "sha256", "arrived", "doc_id")
         first = rows.join(doubles.select("doc_id"), "doc_id", "left_anti")
         doubles.select("doc_id", "sha256").write.mode("overwrite").parquet(f"{folder}/to_delete/batch={batch_id}")
-        if batch_id > 0 and _exists(spark, f"{folder}/queue"):
+        if _exists(spark, f"{folder}/queue"):
             stored = spark.read.parquet(f"{folder}/queue").filter(F.col("batch") != batch_id)
             first = fresh_only(first, stored)
         queue_rows(first, catalogue).write.mode("overwrite").parquet(f"{folder}/queue/batch={batch_id}")
