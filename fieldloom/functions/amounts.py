@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldloom.functions.binding import let
 from fieldloom.functions.checks import LEGAL, NATURAL, filled, is_legal_person_name, person_type
 
 MONEY = "decimal(18,2)"
@@ -12,8 +13,7 @@ MONEY = "decimal(18,2)"
 
 def to_amount(value: Column) -> Column:
     """Printed amount as a decimal; absent or unreadable counts as zero."""
-    return F.coalesce(F.try_to_number(F.replace(value, F.lit(","), F.lit("")), F.lit("S999999999999999D99")).cast(MONEY),
-                      F.replace(value, F.lit(","), F.lit("")).try_cast(MONEY), F.lit(0).cast(MONEY))
+    return F.coalesce(F.replace(value, F.lit(","), F.lit("")).try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
 def subtotal(net: Column, discount: Column, surcharge: Column, fees: Column) -> Column:
@@ -29,17 +29,16 @@ def reconcile(computed: Column, printed: Column, total: Column, tax: Column) ->
     ``printed``   it does not, and the document prints one
     ``unchecked`` it does not, and there is nothing else
     """
-    gap = F.abs(to_amount(computed) - (to_amount(total) - to_amount(tax)))
-    agrees = filled(computed) & filled(total) & filled(tax) & (gap <= F.lit("0.01").cast(MONEY))
-    status = (
-        F.when(agrees, F.lit("checked"))
-        .when(filled(printed), F.lit("printed"))
-        .when(filled(computed), F.lit("unchecked"))
-    )
-    return F.struct(
-        F.when(agrees, computed).when(filled(printed), printed).otherwise(computed).alias("value"),
-        status.alias("status"),
-    )
+
+    def choose(made: Column) -> Column:
+        gap = F.abs(to_amount(made) - (to_amount(total) - to_amount(tax)))
+        agrees = F.coalesce(filled(made) & filled(total) & filled(tax) & (gap <= F.lit("0.01").cast(MONEY)), F.lit(False))
+        return let(agrees, lambda ok: F.struct(
+            F.when(ok, made).when(filled(printed), printed).otherwise(made).alias("value"),
+            F.when(ok, "checked").when(filled(printed), "printed").when(filled(made), "unchecked").alias("status"),
+        ))
+
+    return let(computed, choose)
 
 
 def discounted_net(text: Column, net: Column, discounted: Column, marker: str) -> Column:

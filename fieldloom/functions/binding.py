@@ -21,6 +21,11 @@ def let2(a: Column, b: Column, body: Callable[[Column, Column], Column]) -> Colu
     return let(a, lambda x: let(b, lambda y: body(x, y)))
 
 
+def keep_if(value: Column, test: Callable[[Column], Column]) -> Column:
+    """The value when it passes the test, else NULL; the value is evaluated once."""
+    return F.get(F.filter(F.array(value), test), F.lit(0))
+
+
 def regexp_extract(text: Column | str, pattern: Column | str, group: Column | int) -> Column:
     """``regexp_extract`` with columns (or plain values) for pattern and group."""
     return F.call_function(

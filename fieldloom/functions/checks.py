@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldloom.functions.binding import regexp_extract
-from fieldloom.functions.text import present, strip, upper_plain
+from fieldloom.functions.binding import keep_if, let, regexp_extract
+from fieldloom.functions.text import strip, upper_plain
 
 NATURAL, LEGAL = "Persona Física", "Persona Moral"
 
@@ -136,21 +136,19 @@ def full_match(value: Column, pattern: str, flags: str = "(?U)") -> Column:
 
 
 def contains_any(value: Column, words: list[str]) -> Column:
-    result = F.lit(False)
-    for word in words:
-        result = result | F.contains(value, F.lit(word))
-    return result
+    """Does the value hold one of the words, letter by letter?"""
+    return F.rlike(value, F.lit("|".join(f"\\Q{w}\\E" for w in words)))
 
 
 def real_value(value: Column) -> Column:
     """The value, or NULL when it is a "nothing found" text."""
-    return F.when(~F.lower(strip(value)).isin(*SENTINELS), value)
+    return keep_if(value, lambda v: ~F.lower(strip(v)).isin(*SENTINELS))
 
 
 def person_type(tax_id: Column) -> Column:
     """Natural person for four leading letters and six digits, legal person for three."""
-    head = F.length(regexp_extract(F.upper(strip(tax_id)), F.lit("^([A-ZÑ&]{3,4})[0-9]{6}"), F.lit(1)))
-    return F.when(head == 4, F.lit(NATURAL)).when(head == 3, F.lit(LEGAL))
+    head = F.length(regexp_extract(F.upper(strip(tax_id)), "^([A-ZÑ&]{3,4})[0-9]{6}", 1))
+    return let(head, lambda n: F.when(n == 4, F.lit(NATURAL)).when(n == 3, F.lit(LEGAL)))
 
 
 def normal_name(name: Column) -> Column:
@@ -228,4 +226,5 @@ def company_gate(text: Column, name: str | None, words: list[str], fold=F.upper)
 
 
 def filled(value: Column) -> Column:
-    return F.coalesce(present(value).isNotNull(), F.lit(False))
+    """Neither NULL nor empty."""
+    return F.coalesce(value != "", F.lit(False))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.functions.binding import regexp_extract
-from fieldloom.functions.text import strip
+from fieldloom.functions.text import present, strip
 
 # Unicode case folding and classes, ^/$ per line, "\n" as the only line end:
 # what re.IGNORECASE | re.MULTILINE does on a str.
@@ -133,7 +133,7 @@ def apply_pattern(text: Column, pattern: str) -> Column:
 
 def first_match(text: Column, pattern: str, group: int = 0, flags: str = "(?iuUd)") -> Column:
     """Raw ``group`` of the first match, NULL when the match is absent or empty."""
-    return F.nullif(regexp_extract(text, F.lit(flags + to_java(pattern)), F.lit(group)), F.lit(""))
+    return present(regexp_extract(text, flags + to_java(pattern), group))
 
 
 def cascade(text: Column, patterns: list[str], group: int = 1, flags: str = "(?iuUd)") -> Column:

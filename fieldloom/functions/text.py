@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldloom.functions.binding import regexp_extract
+from fieldloom.functions.binding import keep_if, let, regexp_extract
 
 # What str.strip() and str.splitlines() regard as white space and line ends.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -36,14 +36,12 @@ def strip(value: Column) -> Column:
 
 def present(value: Column) -> Column:
     """NULL instead of the empty string."""
-    return F.nullif(value, F.lit(""))
+    return keep_if(value, lambda v: v != "")
 
 
 def lines(text: Column) -> Column:
     """Lines of a text; a final line end adds no empty line."""
-    parts = F.split(text, LINE_END)
-    last_empty = F.element_at(parts, -1) == ""
-    return F.when(last_empty, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END)
 
 
 def without_accents(value: Column) -> Column:
@@ -90,21 +88,13 @@ def pad_postal_code(value: Column) -> Column:
 
 def format_plate(value: Column) -> Column:
     """Plate with its hyphen; other lengths come back cleaned only."""
-    p = alphanumeric(value)
-    three = F.concat(F.substr(p, F.lit(1), F.lit(3)), F.lit("-"), F.substr(p, F.lit(4)))
-    four = F.concat(F.substr(p, F.lit(1), F.lit(4)), F.lit("-"), F.substr(p, F.lit(5)))
-    return (
-        F.when(F.length(p) == 6, three)
-        .when((F.length(p) == 7) & F.rlike(p, F.lit("^.{3}[0-9]")), three)
-        .when(F.length(p) == 7, four)
-        .otherwise(p)
-    )
+    hyphened = F.regexp_replace(alphanumeric(value), "\\A(.{3})(.{3}|[0-9].{3})\\z", "$1-$2")
+    return F.regexp_replace(hyphened, "\\A([A-Z0-9]{4})([A-Z0-9]{3})\\z", "$1-$2")
 
 
 def after_colon(line: Column) -> Column:
     """Trimmed text after the first colon, NULL without a colon."""
-    at = F.instr(line, ":")
-    return F.when(at > 0, strip(F.substr(line, at + 1)))
+    return strip(F.get(F.split(line, ":", 2), F.lit(1)))
 
 
 def after_label(line: Column, label_pattern: str) -> Column:
@@ -127,9 +117,8 @@ def literal_at(text: Column, literal: Column) -> Column:
 
 
 def block_between(text: Column, start: str, end: str) -> Column:
-    """Text between two anchors, shortest span, across lines."""
-    found = regexp_extract(text, F.lit(f"(?isuU){start}(.*?)(?:{end})"), F.lit(1))
-    return F.when(F.rlike(text, F.lit(f"(?isuU){start}(.*?)(?:{end})")), found)
+    """Text between two anchors, shortest span, across lines; NULL when empty."""
+    return present(regexp_extract(text, f"(?isuU){start}(.*?)(?:{end})", 1))
 
 
 # ---- fixed values: abbreviated company forms and their spelling without dots.
@@ -186,11 +175,14 @@ FLEET_PRODUCT = "Flotilla de Vehiculos"
 
 def first_category(value: Column, categories: list[tuple[str, str]], otherwise: Column | None = None) -> Column:
     """Category of the first key word contained in the value (accents and case ignored)."""
-    key = upper_plain(value)
-    result = F.lit(None).cast("string") if otherwise is None else otherwise
-    for word, category in reversed(categories):
-        result = F.when(F.contains(key, F.lit(word)), F.lit(category)).otherwise(result)
-    return result
+
+    def choose(key: Column) -> Column:
+        result = F.lit(None).cast("string") if otherwise is None else otherwise
+        for word, category in reversed(categories):
+            result = F.when(F.contains(key, F.lit(word)), F.lit(category)).otherwise(result)
+        return result
+
+    return let(upper_plain(value), choose)
 
 
 def vehicle_origin(value: Column) -> Column:

@@ -17,7 +17,6 @@ from fieldloom.functions.amounts import derive_person_type
 from fieldloom.functions.binding import let, let2
 from fieldloom.functions.checks import is_vehicle_line
 from fieldloom.functions.regex import apply_pattern, extract_value, prepare_column
-from fieldloom.functions.text import present
 from fieldloom.operators.bounds import fits, join_small, literal, rows_within, salted_join
 
 MAX_UNROLLED_RULES = 400
@@ -67,6 +66,11 @@ def zone_text(spans: Column, bbox: Column, pad: float = 5.0) -> Column:
     )
 
 
+def _filled(value: Column) -> Column:
+    """NULL instead of an empty value; stays inside generated code."""
+    return F.nullif(value, F.lit(""))
+
+
 def _field(name, value: Column, method: Column, rule_id) -> Column:
     return F.struct(
         (name if isinstance(name, Column) else F.lit(name)).alias("field"), value.alias("value"), method.alias("method"),
@@ -95,17 +99,18 @@ def rule_fields(docs: DataFrame, rules: DataFrame, text: str = "text", spans: st
     for product_id, group in by_product.items():
         items = []
         for r in group:
-            value = present(apply_pattern(F.col(text), r["pattern"]))
+            value = _filled(apply_pattern(F.col(text), r["pattern"]))
             if r["bbox"] is not None and spans is not None:
                 box = literal(r["bbox"].asDict(), "struct<page:int,x0:double,top:double,x1:double,bottom:double>")
-                value = F.coalesce(present(apply_pattern(zone_text(F.col(spans), box), r["pattern"])), value)
+                value = F.coalesce(_filled(apply_pattern(zone_text(F.col(spans), box), r["pattern"])), value)
             item = _field(r["field"], value, _rule_method(value), r["rule_id"])
             items.append(item if exclude is None else F.when(~F.array_contains(exclude, r["field"]), item))
         result = F.when(F.col("product_id") == product_id, F.array_compact(F.array(*items)).cast(FIELDS)).otherwise(result)
     return docs.withColumn(as_column, result)
 
 
-def apply_rules(docs: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
+def apply_rules(docs: DataFrame, rules: DataFrame, text: str = "text", max_unrolled: int = MAX_UNROLLED_RULES,
+                max_broadcast: int = MAX_BROADCAST_RULES) -> DataFrame:
     """Long result of all rules on the documents of their product.
 
     Few rules are unrolled into one projection.  More are broadcast, their
@@ -113,18 +118,18 @@ def apply_rules(docs: DataFrame, rules: DataFrame, text: str = "text") -> DataFr
     because one product may own most documents.
     """
     active = usable_rules(rules)
-    if rows_within(active, MAX_UNROLLED_RULES) is not None:
+    if rows_within(active, max_unrolled) is not None:
         wide = rule_fields(docs.select("doc_id", "product_id", text), rules, text)
         return wide.select("doc_id", F.inline("rule_fields"))
     ready = screen_rules(active.select("rule_id", "product_id", "field", "pattern"))
     slim = docs.select("doc_id", "product_id", F.col(text).alias("_text"))
-    if fits(ready, MAX_BROADCAST_RULES):
+    if fits(ready, max_broadcast):
         joined = slim.join(F.broadcast(ready), "product_id")
     else:
         joined = salted_join(slim, ready, ["product_id"])
     value = F.when(
         F.col("java").isNotNull(),
-        present(extract_value(F.col("_text"), F.coalesce("java", F.lit("$^")), F.coalesce("groups", F.lit(0)),
+        _filled(extract_value(F.col("_text"), F.coalesce("java", F.lit("$^")), F.coalesce("groups", F.lit(0)),
                               F.coalesce("optional_first", F.lit(False)))),
     )
     return joined.select("doc_id", "field", value.alias("value"), "rule_id").select(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.binding import let, regexp_extract
+from fieldloom.functions.binding import keep_if, let, regexp_extract
 from fieldloom.functions.text import present, strip
 from fieldloom.operators.bounds import join_small
 
@@ -163,10 +163,11 @@ def table_row(rows: Column, words: list[str], pattern: str, accept, group: int =
         header = F.lit(True)
         for w in words:
             header = header & F.contains(F.lower(row["text"]), F.lit(w))
-        inline = present(regexp_extract(row["text"], F.lit("(?iuU)" + pattern), F.lit(group)))
+        inline = regexp_extract(row["text"], "(?iuU)" + pattern, group)
         following = F.get(rs, i + 1)
-        below = F.when((following["page"] == row["page"]) & (following["block"] == row["block"]), present(strip(following["text"])))
-        return F.when(header, F.coalesce(F.when(accept(inline), inline), F.when(accept(below), below)))
+        below = F.when((following["page"] == row["page"]) & (following["block"] == row["block"]), strip(following["text"]))
+        usable = lambda v: (v != "") & accept(v)
+        return F.when(header, F.coalesce(keep_if(inline, usable), keep_if(below, usable)))
 
     return let(rows, lambda rs: F.get(F.filter(F.transform(rs, lambda r, i: one(r, i, rs)), lambda v: v.isNotNull()), F.lit(0)))
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.binding import let, let2, regexp_extract
+from fieldloom.functions.binding import keep_if, let, let2, regexp_extract
 from fieldloom.functions.text import block_between, present, strip
 from fieldloom.functions.text import lines as split_lines
 
@@ -23,13 +23,10 @@ LinePick = Callable[[Column], Column]
 def has(*labels: str) -> LineTest:
     """Line contains one of the labels."""
 
-    def test(line: Column) -> Column:
-        result = F.contains(line, F.lit(labels[0]))
-        for label in labels[1:]:
-            result = result | F.contains(line, F.lit(label))
-        return result
-
-    return test
+    if len(labels) == 1:
+        return lambda line: F.contains(line, F.lit(labels[0]))
+    pattern = "|".join(f"\\Q{label}\\E" for label in labels)
+    return lambda line: F.rlike(line, F.lit(pattern))
 
 
 def equals(label: str, fold: Callable[[Column], Column] | None = None) -> LineTest:
@@ -49,14 +46,13 @@ def found(pattern: str, group: int = 0, flags: str = "(?U)") -> LinePick:
 def whole(*accept: LineTest) -> LinePick:
     """The trimmed line, when every test accepts it and it is not empty."""
 
-    def pick(line: Column) -> Column:
-        value = strip(line)
+    def usable(value: Column) -> Column:
         ok = value != ""
         for test in accept:
             ok = ok & test(value)
-        return F.when(ok, value)
+        return ok
 
-    return pick
+    return lambda line: keep_if(strip(line), usable)
 
 
 def first_index(lines: Column, is_label: LineTest) -> Column:
@@ -120,8 +116,8 @@ def label_inline(lines: Column, pattern: str, group: int = 1, flags: str = "(?iu
     """First line on which the pattern yields an acceptable value."""
 
     def pick(line: Column) -> Column:
-        value = present(strip(regexp_extract(line, F.lit(flags + pattern), F.lit(group))))
-        return value if accept is None else F.when(accept(value), value)
+        value = strip(regexp_extract(line, flags + pattern, group))
+        return keep_if(value, lambda v: (v != "") if accept is None else (v != "") & accept(v))
 
     return first_value(F.transform(lines, pick))
 
@@ -278,7 +274,7 @@ def numbered_block(text: Column, anchor: str, is_key: LineTest, length: int = 40
 
 def without(value: Column, excluded: list[str], fold: Callable[[Column], Column] = F.lower) -> Column:
     """NULL when the value is one of the excluded ones."""
-    return F.when(~fold(value).isin(*excluded), value)
+    return keep_if(value, lambda v: ~fold(v).isin(*excluded))
 
 
 def first_of(*candidates: Column, default: str | None = None) -> Column:

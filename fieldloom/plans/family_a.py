@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import amounts, checks, votes
 from fieldloom.functions import text as tx
-from fieldloom.functions.binding import let, let2, regexp_extract
+from fieldloom.functions.binding import keep_if, let, let2, regexp_extract
 from fieldloom.functions.regex import find_all, first_match
 from fieldloom.operators import layout
 from fieldloom.operators import locate as loc
@@ -104,17 +104,16 @@ def name_after_field(doc: Doc, other: str) -> Column:
 def engine_after_serial(doc: Doc) -> Column:
     """The line after the one with the serial number."""
     vin = first_match(doc.text, VIN, 1, "(?uU)")
-    line = loc.relative_to(doc.lines, vin, 1)
-    made = F.rlike(F.upper(line), F.lit("^" + checks.any_of(ENGINE_WORDS)))
-    return F.when(made, tx.title_case(line)).otherwise(line)
+    made = lambda line: F.rlike(F.upper(line), F.lit("^" + checks.any_of(ENGINE_WORDS)))
+    return let(loc.relative_to(doc.lines, vin, 1), lambda line: F.when(made(line), tx.title_case(line)).otherwise(line))
 
 
 @strategy
 def engine_far_below(doc: Doc) -> Column:
-    def pick(line: Column) -> Column:
-        v = tx.strip(line)
+    def usable(v: Column) -> Column:
         return F.when(F.rlike(v, F.lit(r"(?U)\b[A-Z0-9]{9,13}\b")), v).when(checks.contains_any(v, ENGINE_WORDS), tx.title_case(v))
 
+    pick = lambda line: let(tx.strip(line), usable)
     return loc.label_offset(doc.upper_lines, loc.has("MOTOR"), [9, 10, 11], pick)
 
 
@@ -136,13 +135,13 @@ def plates(doc: Doc) -> Column:
     in_table = layout.table_row(layout.layout_lines(doc.spans), ["modelo", "placas"], PLATE_INLINE + r"\b", checks.is_plate)
     in_vehicle = loc.section(doc.text, r"VEH[ÍI]CULO ASEGURADO", r"\n{2,}|DESGLOSE|CONSIDERACIONES|IMPORTE|OBSERVACIONES")
     in_section = first_match(in_vehicle, PLATE_INLINE + r"(?=\s|$|Motor|Serie|Modelo)", 1)
-    valid = lambda v: F.when(checks.is_plate(v), v)
+    valid = lambda v: keep_if(v, checks.is_plate)
     anywhere = [valid(first_match(doc.text, p, 1)) for p in PLATE_ANYWHERE]
     strict = tx.format_plate(F.coalesce(near_heading, near_label, in_table, valid(in_section), *anywhere))
 
     described = tx.lines(tx.block_between(doc.text, VEHICLE_ANY, r"\n{2,}|DATOS|OBSERVACIONES|COBERTURAS|RESPONSABLE"))
     five = loc.first_value(
-        F.transform(described, lambda x: F.when(labelled()(x) & (F.length(tx.alphanumeric(tx.after_colon(x))) == 5), tx.alphanumeric(tx.after_colon(x))))
+        F.transform(described, lambda x: F.when(labelled()(x), keep_if(tx.alphanumeric(tx.after_colon(x)), lambda v: F.length(v) == 5)))
     )
 
     def loose(i: Column) -> Column:
@@ -183,7 +182,7 @@ def postal_code_vote(doc: Doc) -> Column:
 @strategy
 def municipality(doc: Doc) -> Column:
     """Inline up to the state label, inline alone, else between postal code and state."""
-    place = lambda v: F.when((v != "") & ~checks.is_state(v) & ~checks.is_postal_code(v), v)
+    place = lambda v: keep_if(v, lambda x: (x != "") & ~checks.is_state(x) & ~checks.is_postal_code(x))
     inline = lambda pattern: lambda lines, i: place(tx.strip(regexp_extract(F.get(lines, i), F.lit("(?iuU)" + pattern), F.lit(1))))
 
     def between(lines: Column, i: Column) -> Column:
@@ -198,7 +197,7 @@ def municipality(doc: Doc) -> Column:
 @strategy
 def vehicle_type(doc: Doc) -> Column:
     """Known type near the heading, by vote over all headings, else after any type label."""
-    known = lambda v: F.when(F.rlike(v, F.lit("(?iuU)^" + checks.any_of(VEHICLE_TYPES))), v)
+    known = lambda v: keep_if(v, lambda x: F.rlike(x, F.lit("(?iuU)^" + checks.any_of(VEHICLE_TYPES))))
     labelled_type = lambda line: known(tx.strip(regexp_extract(line, F.lit(r"(?iuU)Tipo\s*:\s*(.+)"), F.lit(1))))
     pick = lambda line: F.coalesce(known(tx.strip(line)), labelled_type(line))
     heading = loc.matches(VEHICLE)
@@ -252,9 +251,8 @@ def _insured_block(lines: Column) -> Column:
 def colony(doc: Doc, other: str) -> Column:
     """Below its label or at the block end, preceded by a state; else after the municipality line."""
     state = lambda line: line.isin(*checks.STATES)
-    under = lambda lines, i: F.when(
-        F.rlike(F.get(lines, i + 1), F.lit(r"(?iuU)\bCOLONIA:")), tx.after_colon(tx.strip(F.get(lines, i + 1)))
-    )
+    labelled_line = lambda x: F.rlike(x, F.lit(r"(?iuU)\bCOLONIA:"))
+    under = lambda lines, i: tx.after_colon(keep_if(F.get(lines, i + 1), labelled_line))
 
     def search(block: Column, place: Column) -> Column:
         below = loc.context_window(block, loc.matches(r"\bCOLONIA:"), 6, 9, 5, state)

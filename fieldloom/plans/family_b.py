@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import amounts, checks
 from fieldloom.functions import text as tx
-from fieldloom.functions.binding import let, regexp_extract
+from fieldloom.functions.binding import keep_if, let, let2, regexp_extract
 from fieldloom.functions.regex import cascade, find_all, first_match
 from fieldloom.operators import layout
 from fieldloom.operators import locate as loc
@@ -88,7 +88,7 @@ def nearest(doc: Doc, section: str, labels: list[str], exact: bool = True, exclu
 
     value = let(SECTIONS[section](doc.spans), find)
     for a in accept or []:
-        value = F.when(ACCEPT[a](value), value)
+        value = keep_if(value, ACCEPT[a])
     return value
 
 
@@ -115,8 +115,7 @@ def option_in_line(doc: Doc, label: str, options: list[str]) -> Column:
     """Known word after a label in its line."""
 
     def pick(t: Column) -> Column:
-        word = tx.capitalize(tx.strip(t))
-        return F.when(word.isin(*options), word)
+        return keep_if(tx.capitalize(tx.strip(t)), lambda word: word.isin(*options))
 
     return layout.after_label_in_line(doc.spans, label, pick)
 
@@ -147,7 +146,7 @@ def name_below_contractor(doc: Doc) -> Column:
 @strategy
 def tax_id_in_section(doc: Doc) -> Column:
     value = F.upper(nearest(doc, "contractor", ["R.F.C.", "RFC"], False, ["código de cliente", "nombre", "dirección", "referencia"], same_row=False))
-    return F.when((value != OWN_TAX_ID) & checks.full_match(value, TAX_ID_SHAPE), value)
+    return keep_if(value, lambda v: (v != OWN_TAX_ID) & checks.full_match(v, TAX_ID_SHAPE))
 
 
 @strategy
@@ -177,8 +176,8 @@ def description_lines(doc: Doc) -> Column:
     usable = lambda v: (v != "") & ~checks.full_match(v, r"[A-HJ-NPR-Z0-9]{17}") & ~F.rlike(F.lower(v), F.lit("(?U)serie|modelo|placa|versión"))
 
     def two_lines(part: Column, i: Column) -> Column:
-        one, two = tx.strip(F.get(part, i + 2)), tx.strip(F.get(part, i + 3))
-        return F.when(usable(one), F.when(usable(two), F.concat(one, F.lit(" "), two)).otherwise(one))
+        line = lambda k: keep_if(tx.strip(F.get(part, i + k)), usable)
+        return let2(line(2), line(3), lambda one, two: F.when(two.isNotNull(), F.concat(one, F.lit(" "), two)).otherwise(one))
 
     label = lambda x: F.contains(F.lower(x), F.lit("descripción"))
     return let(_below_vehicle_heading(doc), lambda part: let(loc.first_index(part, label), lambda i: two_lines(part, i)))

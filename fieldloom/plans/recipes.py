@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from fieldloom import model as m
 from fieldloom.functions import checks, votes
 from fieldloom.functions import text as tx
+from fieldloom.functions.binding import let
 from fieldloom.functions.regex import cascade, find_all
 from fieldloom.operators import locate as loc
 from fieldloom.operators.bounds import rows_within
@@ -71,7 +72,7 @@ POST: dict[str, Callable[[Column], Column]] = {
     "no_blanks": lambda v: F.replace(v, F.lit(" "), F.lit("")),
     "no_commas": lambda v: F.replace(v, F.lit(","), F.lit("")),
     "unsigned": lambda v: F.ltrim(v, F.lit("-")),
-    "company_form": lambda v: F.when(checks.is_legal_person_name(v), tx.plain_company_form(v)).otherwise(v),
+    "company_form": lambda v: let(v, lambda n: F.when(checks.is_legal_person_name(n), tx.plain_company_form(n)).otherwise(n)),
     "origin": tx.vehicle_origin,
     "strip": tx.strip,
 }
@@ -242,7 +243,7 @@ def run_recipe(doc: Doc, recipe: Recipe) -> Column:
         value = loc.without(value, exclude)
     for name in post:
         value = POST[name](value)
-    return checks.real_value(tx.present(value))
+    return checks.real_value(value)
 
 
 def recipe_fields(docs: DataFrame, families: list[Family], text: str = "text", as_column: str = "recipe_fields") -> DataFrame:
