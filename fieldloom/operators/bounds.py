@@ -40,3 +40,14 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 6
 def literal(value, ddl: str) -> Column:
     """Configuration as one constant; the optimizer folds it before execution."""
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), ddl)
+
+
+def unpack(df: DataFrame, keep: list[str], array: str | Column) -> DataFrame:
+    """One row per struct of an array column; empty arrays give no row.
+
+    The outer form keeps the optimizer from evaluating the array a second time in
+    a filter of its own.
+    """
+    column = F.col(array) if isinstance(array, str) else array
+    rows = df.select(*keep, F.explode_outer(column).alias("_row"))
+    return rows.filter(F.col("_row").isNotNull()).select(*keep, "_row.*")

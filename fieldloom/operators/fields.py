@@ -17,7 +17,7 @@ from fieldloom.functions.amounts import derive_person_type
 from fieldloom.functions.binding import let, let2
 from fieldloom.functions.checks import is_vehicle_line
 from fieldloom.functions.regex import apply_pattern, extract_value, prepare_column
-from fieldloom.operators.bounds import fits, join_small, literal, rows_within, salted_join
+from fieldloom.operators.bounds import fits, join_small, literal, rows_within, salted_join, unpack
 
 MAX_UNROLLED_RULES = 400
 MAX_BROADCAST_RULES = 100_000
@@ -120,7 +120,7 @@ def apply_rules(docs: DataFrame, rules: DataFrame, text: str = "text", max_unrol
     active = usable_rules(rules)
     if rows_within(active, max_unrolled) is not None:
         wide = rule_fields(docs.select("doc_id", "product_id", text), rules, text)
-        return wide.select("doc_id", F.inline("rule_fields"))
+        return unpack(wide, ["doc_id"], "rule_fields")
     ready = screen_rules(active.select("rule_id", "product_id", "field", "pattern"))
     slim = docs.select("doc_id", "product_id", F.col(text).alias("_text"))
     if fits(ready, max_broadcast):

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.bounds import literal
+from fieldloom.operators.bounds import literal, unpack
 from fieldloom.session import materialize
 
 SEED = 3
@@ -35,8 +35,8 @@ def contains_join(docs: DataFrame, terms: DataFrame, same: list[str] | None = No
     wanted = wanted.withColumn("_seed", F.substring("term", 1, SEED))
     doc_seeds = low.select(
         "doc_id", *same,
-        F.explode(F.flatten(F.array(*[seeds(F.col("_low"), w) for w in range(1, SEED + 1)]))).alias("_seed"),
-    )
+        F.explode_outer(F.flatten(F.array(*[seeds(F.col("_low"), w) for w in range(1, SEED + 1)]))).alias("_seed"),
+    ).filter(F.col("_seed").isNotNull())
     # seeds no term starts with are dropped before the shuffle by a runtime filter or the join itself
     pairs = doc_seeds.join(wanted, [*same, "_seed"])
     # the candidates of one document are at most the terms; the text is shuffled once
@@ -44,7 +44,7 @@ def contains_join(docs: DataFrame, terms: DataFrame, same: list[str] | None = No
     found = low.select("doc_id", "_low").join(candidates, "doc_id").select(
         "doc_id", F.filter("_cands", lambda c: F.contains(F.col("_low"), c["term"])).alias("_hits")
     )
-    return found.select("doc_id", F.inline("_hits"))
+    return unpack(found, ["doc_id"], "_hits")
 
 
 def pattern_hits(docs: DataFrame, patterns: DataFrame, batch: int = 2_000) -> DataFrame:
@@ -59,7 +59,8 @@ def pattern_hits(docs: DataFrame, patterns: DataFrame, batch: int = 2_000) -> Da
     def flush() -> None:
         config = literal(held, "array<struct<term_id:bigint,java:string>>")
         hits = F.filter(config, lambda p: F.rlike(F.col("_low"), p["java"]))
-        parts.append(materialize(low.select("doc_id", F.explode(F.transform(hits, lambda p: p["term_id"])).alias("term_id"))))
+        found = low.select("doc_id", F.explode_outer(F.transform(hits, lambda p: p["term_id"])).alias("term_id"))
+        parts.append(materialize(found.filter(F.col("term_id").isNotNull())))
         held.clear()
 
     for row in patterns.select("term_id", "java").toLocalIterator():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import model as m
 from fieldloom.functions.text import context_window, literal_at
-from fieldloom.operators.bounds import literal, rows_within
+from fieldloom.operators.bounds import literal, rows_within, unpack
 from fieldloom.operators.terms import contains_join
 
 MAX_SELECTIONS = 2_000
@@ -34,7 +34,7 @@ def locate_literals(selections: DataFrame, docs: DataFrame, batch: str = "produc
             "doc_id", "text",
             F.filter("_mine", lambda s: ~s["origin"].eqNullSafe(F.col("doc_id")) & F.contains(F.col("_low"), F.lower(s["value"]))).alias("_hits"),
         )
-        pairs = hit.select("doc_id", "text", F.inline("_hits")).select("selection_id", "doc_id", "value", "text")
+        pairs = unpack(hit, ["doc_id", "text"], "_hits").select("selection_id", "doc_id", "value", "text")
     else:
         terms = slim.select(F.col("selection_id").alias("term_id"), F.col("batch").alias(batch), F.col("value").alias("term"))
         hits = contains_join(docs.select("doc_id", "text", batch), terms, same=[batch]).select(F.col("term_id").alias("selection_id"), "doc_id")

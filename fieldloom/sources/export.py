@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom import model as m
 from fieldloom.functions.amounts import person_label
+from fieldloom.operators.bounds import unpack
 from fieldloom.operators.detect import detection_method
 from fieldloom.operators.fields import counters_of, value_of
 
@@ -62,7 +63,7 @@ def header_rows(results: DataFrame, fields: str = "fields", text: str = "text")
 
 def long_rows(results: DataFrame, fields: str = "fields") -> DataFrame:
     """One row per document and field."""
-    return results.select("doc_id", F.inline(fields))
+    return unpack(results, ["doc_id"], fields)
 
 
 def write_extraction(results: DataFrame, folder: str, fields: str = "fields", text: str = "text", mode: str = "append") -> None:

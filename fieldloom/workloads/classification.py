@@ -10,7 +10,7 @@ from fieldloom.operators import coverage as cov
 from fieldloom.operators import detect as det
 from fieldloom.operators import trainer
 from fieldloom.sources import ingest
-from fieldloom.workloads.registry import query, table
+from fieldloom.workloads.registry import documents, query, table
 
 # (level, id, parent, name, alias, keywords, patterns, active, priority)
 ENTRIES = [
@@ -77,7 +77,7 @@ DETECTED = ["doc_id", "company_id", "company", "line_id", "line", "product_id",
 
 
 def detected(spark: SparkSession, folder: str) -> DataFrame:
-    return det.detect(table(spark, folder, "documents").select("doc_id", "text"), catalogue(spark))
+    return det.detect(documents(spark, folder).select("doc_id", "text"), catalogue(spark))
 
 
 @query(f"WITH {DETECT_SQL} SELECT {', '.join(DETECTED)} FROM level")
@@ -89,7 +89,7 @@ def detect_hierarchy(spark, folder):
 @query(f"WITH {DETECT_SQL} SELECT {', '.join(DETECTED)} FROM level")
 def detect_hierarchy_joined(spark, folder):
     """The same through the joins for large catalogues."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     return det.detect_by_join(docs, catalogue(spark)).select(*DETECTED)
 
 
@@ -142,7 +142,7 @@ _PATTERN_SQL = " UNION ALL ".join(
 @query(_PATTERN_SQL)
 def pattern_hit_counts(spark, folder):
     """In how many texts does each pattern occur?"""
-    return cov.pattern_counts(table(spark, folder, "documents"), PATTERNS)
+    return cov.pattern_counts(documents(spark, folder), PATTERNS)
 
 
 _TESTED = r"the ([a-z]+)\."
@@ -152,7 +152,7 @@ _TESTED = r"the ([a-z]+)\."
 SELECT source, count(*) FILTER (found) AS found, count(*) AS total, bool_and(found) AS passes FROM t GROUP BY source""")
 def regex_batch_test(spark, folder):
     """One pattern on all documents of each batch (source)."""
-    tested = cov.test_pattern(table(spark, folder, "documents").select("doc_id", "source", "text"), _TESTED)
+    tested = cov.test_pattern(documents(spark, folder).select("doc_id", "source", "text"), _TESTED)
     return cov.batch_summary(tested, ["source"])
 
 
@@ -160,7 +160,7 @@ def regex_batch_test(spark, folder):
   regexp_matches(text, '(?i){_TESTED}') AS found FROM documents""")
 def regex_document_test(spark, folder):
     """The same pattern, value by document."""
-    return cov.test_pattern(table(spark, folder, "documents").select("doc_id", "text"), _TESTED).select("doc_id", "value", "found")
+    return cov.test_pattern(documents(spark, folder).select("doc_id", "text"), _TESTED).select("doc_id", "value", "found")
 
 
 _SELECTED = "substr(text, 1, 24)"
@@ -172,7 +172,7 @@ SELECT selection_id, doc_id, substr(text, CAST(p AS INT), length(v)) AS value,
 FROM (SELECT *, instr(lower(text), lower(v)) AS p FROM documents, sel) WHERE p > 0""")
 def literal_autodetect(spark, folder):
     """Beginnings of the benchmark passages found again in the documents, with context."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", F.lit(1).alias("product_id"))
+    docs = documents(spark, folder).select("doc_id", "text", F.lit(1).alias("product_id"))
     return trainer.locate_literals(_selections(spark, folder), docs)
 
 
@@ -187,7 +187,7 @@ SELECT selection_id, count(*) FILTER (contains(lower(text), lower(v))) AS found,
   count(*) FILTER (NOT contains(lower(text), lower(v))) AS not_found FROM documents, sel WHERE length(text) > 0 GROUP BY selection_id""")
 def literal_batch_summary(spark, folder):
     """How many documents hold each selected text, through the join for many selections."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", F.lit(1).alias("product_id"))
+    docs = documents(spark, folder).select("doc_id", "text", F.lit(1).alias("product_id"))
     chosen = _selections(spark, folder)
     hits = trainer.locate_literals(chosen, docs, max_selections=0)
     return trainer.literal_summary(chosen, docs, hits)
@@ -203,7 +203,7 @@ def catalogue_vote(spark, folder):
     """The fixed word that occurs most often in each text."""
     from fieldloom.functions.votes import word_vote
 
-    return table(spark, folder, "documents").select("doc_id", word_vote(F.col("text"), _WORDS).alias("word"))
+    return documents(spark, folder).select("doc_id", word_vote(F.col("text"), _WORDS).alias("word"))
 
 
 @query(f"""WITH {DETECT_SQL}, cat AS (SELECT '[' || string_agg('{{"company_id":' || c.id || ',"company":"' || c.name || '","line_id":' || l.id || ',"line":"' || l.name
@@ -220,7 +220,7 @@ def model_requests(spark, folder):
 FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY lang""")
 def example_requests(spark, folder):
     """Labelled examples of each group in one request text."""
-    docs = table(spark, folder, "documents").join(table(spark, folder, "labels").filter("toxic = 1"), "doc_id")
+    docs = documents(spark, folder).join(table(spark, folder, "labels").filter("toxic = 1"), "doc_id")
     examples = docs.select("doc_id", "lang", F.substring("text", 1, 20).alias("value"), F.col("text").alias("context"))
     out = ingest.example_requests(examples, ["lang"])
     return out.withColumn("n_examples", F.col("n_examples").cast("bigint"))

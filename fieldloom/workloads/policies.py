@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.workloads.registry import table
+from fieldloom.workloads.registry import spread, table
 
 SPARK = {"date": "date_format({c}, '{f}')", "money": "format_number(cast({c} as decimal(18,2)) / 100, 2)",
          "dmy": "dd/MM/yyyy", "ymd": "yyMMdd", "div": "({a} div {b})"}
@@ -89,7 +89,7 @@ def policies(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, nation_id, segment, product_id, priority, status, text)."""
     return spark.sql(
         _statement(SPARK).replace("FROM orders o", "FROM {orders} o").replace("JOIN customer c", "JOIN {customer} c").replace("JOIN nation ON", "JOIN {nation} ON"),
-        orders=table(spark, folder, "orders"), customer=table(spark, folder, "customer"), nation=table(spark, folder, "nation"),
+        orders=spread(table(spark, folder, "orders")), customer=table(spark, folder, "customer"), nation=table(spark, folder, "nation"),
     )
 
 

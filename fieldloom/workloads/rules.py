@@ -9,6 +9,7 @@ from fieldloom import model as m
 from fieldloom.operators import coverage as cov
 from fieldloom.operators import fields as fl
 from fieldloom.operators import upkeep
+from fieldloom.operators.bounds import unpack
 from fieldloom.plans.recipes import RECIPE_SCHEMA, Family, Recipe, from_table, recipe_fields, to_rows
 from fieldloom.sources import export
 from fieldloom.workloads.policies import POLICY, WITH_LINES, policies
@@ -395,4 +396,4 @@ def recipe_runner(spark, folder):
     rows = [r for family in (FAMILY_ONE, FAMILY_TWO) for r in to_rows(family)]
     families = from_table(spark.createDataFrame(rows, RECIPE_SCHEMA), {f.company: f.gate for f in (FAMILY_ONE, FAMILY_TWO)})
     docs = policies(spark, folder).withColumn("company", F.col("segment"))
-    return recipe_fields(docs, families).select("doc_id", F.inline("recipe_fields")).select("doc_id", "field", "value")
+    return unpack(recipe_fields(docs, families), ["doc_id"], "recipe_fields").select("doc_id", "field", "value")
