@@ -44,7 +44,7 @@ CATALOGUE = """cat AS (
     CASE WHEN s_acctbal > 2000 THEN 1 ELSE 0 END, s_acctbal > 0, s_nationkey FROM supplier)"""
 
 
-@query(f"""WITH {CATALOGUE} SELECT c.id, c.name, sum(x.n_pat) AS n_patterns FROM cat c JOIN (
+@query(f"""WITH {CATALOGUE} SELECT c.id, c.name, CAST(sum(x.n_pat) AS BIGINT) AS n_patterns FROM cat c JOIN (
   SELECT id AS cid, n_pat FROM cat WHERE level = 'company' AND active UNION ALL SELECT parent_id, n_pat FROM cat WHERE level = 'line' AND active
   UNION ALL SELECT l.parent_id, p.n_pat FROM cat p JOIN cat l ON l.level = 'line' AND l.active AND p.parent_id = l.id WHERE p.level = 'product' AND p.active) x ON cid = c.id
 WHERE c.level = 'company' GROUP BY ALL""")
@@ -142,7 +142,7 @@ def export_alias(spark, folder):
     return named.select("o_orderkey", "company", "line", "product", person_label((F.col("o_orderkey") % 3).cast("string")).alias("person"))
 
 
-@query("""SELECT c_custkey, r_regionkey AS company_id FROM customer LEFT JOIN region ON lower(CASE c_custkey % 3 WHEN 0 THEN 'Africa' WHEN 1 THEN 'aSIA' ELSE 'Nowhere' END) = lower(r_name)""")
+@query("""SELECT c_custkey, CAST(r_regionkey AS BIGINT) AS company_id FROM customer LEFT JOIN region ON lower(CASE c_custkey % 3 WHEN 0 THEN 'Africa' WHEN 1 THEN 'aSIA' ELSE 'Nowhere' END) = lower(r_name)""")
 def name_prefill(spark, folder):
     """Catalogue id of a typed name, case-blind."""
     typed = F.when(F.col("c_custkey") % 3 == 0, "Africa").when(F.col("c_custkey") % 3 == 1, "aSIA").otherwise("Nowhere")

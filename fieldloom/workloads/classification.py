@@ -61,7 +61,8 @@ score AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, level, parent ORDER BY score DESC,
            CASE WHEN level = 'line' THEN NULL ELSE priority END ASC NULLS LAST, id) AS rn FROM score),
 detected AS (
-  SELECT d.doc_id, c.id AS company_id, c.name AS company, l.id AS line_id, l.name AS line, p.id AS product_id, p.name AS product,
+  SELECT d.doc_id, CAST(c.id AS BIGINT) AS company_id, c.name AS company, CAST(l.id AS BIGINT) AS line_id, l.name AS line,
+         CAST(p.id AS BIGINT) AS product_id, p.name AS product,
          coalesce(c.score, 0) AS score_company, coalesce(l.score, 0) AS score_line, coalesce(p.score, 0) AS score_product
   FROM documents d
   LEFT JOIN ranked c ON c.doc_id = d.doc_id AND c.level = 'company' AND c.rn = 1 AND c.score > 0
@@ -93,7 +94,7 @@ def detect_hierarchy_joined(spark, folder):
     return det.detect_by_join(docs, catalogue(spark)).select(*DETECTED)
 
 
-@query(f"""WITH {DETECT_SQL} SELECT doc_id, CAST(rn AS INT) AS place, id, name, score, n_patterns, n_keywords FROM (
+@query(f"""WITH {DETECT_SQL} SELECT doc_id, CAST(rn AS INT) AS place, CAST(id AS BIGINT) AS id, name, score, n_patterns, n_keywords FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, priority ASC NULLS LAST, id) AS rn FROM score WHERE level = 'company') WHERE rn <= 3""")
 def detect_top3_candidates(spark, folder):
     """The three best companies of each document, zero scores kept."""

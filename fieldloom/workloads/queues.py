@@ -138,14 +138,14 @@ def history_page(spark, folder):
 
 @query("""WITH b AS (SELECT strftime(ts, '%Y-%m-%d') AS batch_id, event_type, count(*) AS n FROM events GROUP BY ALL)
 SELECT batch_id, CAST(sum(n) AS BIGINT) AS results, CAST(sum(n) FILTER (event_type = 'error') AS BIGINT) AS errors FROM b WHERE batch_id NOT IN
-  (SELECT strftime(ts, '%Y-%m-%d') FROM events WHERE value > 80) GROUP BY batch_id""")
+  (SELECT strftime(ts, '%Y-%m-%d') FROM events WHERE value > 330) GROUP BY batch_id""")
 def batch_totals(spark, folder):
     """Results of each batch, unpacked from its list, batches of another list left out."""
     events = table(spark, folder, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("batch_id"), "event_type", "value")
     # a batch holds one entry per kind of result: pre-aggregated before it becomes a list
     counts = events.groupBy("batch_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     batches = counts.groupBy("batch_id").agg(F.collect_list(F.struct("event_type", "n")).alias("results"))
-    kept = batches.join(events.filter("value > 80").select("batch_id").distinct(), "batch_id", "left_anti")
+    kept = batches.join(events.filter("value > 330").select("batch_id").distinct(), "batch_id", "left_anti")
     flat = kept.select("batch_id", F.inline("results"))
     return flat.groupBy("batch_id").agg(F.sum("n").alias("results"), F.sum(F.when(F.col("event_type") == "error", F.col("n"))).alias("errors"))
 
@@ -161,8 +161,8 @@ def batch_expiry(spark, folder):
     return spans.select("batch_id", stamp("started"), stamp("expires"), "n_activities")
 
 
-@query("""SELECT user_id AS batch_id, count(*) AS n_activities FROM events GROUP BY user_id HAVING max(ts) >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 25 MINUTE""")
+@query("""SELECT user_id AS batch_id, count(*) AS n_activities FROM events GROUP BY user_id HAVING max(ts) >= TIMESTAMP '2024-01-30 20:00:00' - INTERVAL 25 MINUTE""")
 def live_batches_now(spark, folder):
     """Batches that are still alive at one moment."""
     activity = table(spark, folder, "events").select(F.col("user_id").alias("batch_id"), "ts")
-    return live_batches(activity, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).drop("last_activity")
+    return live_batches(activity, F.lit("2024-01-30 20:00:00").cast("timestamp_ntz")).drop("last_activity")

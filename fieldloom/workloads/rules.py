@@ -61,7 +61,7 @@ _GOOD = [(r[0], r[1], r[2], r[3] if "(" in r[3] else f"({r[3]})") for r in RULES
 _BAD = " UNION ALL SELECT doc_id, product_id, 'roto', NULL, 33 FROM policy WHERE product_id = 2"
 RULED = f"""{POLICY},
 rule(rule_id, product_id, field, pattern) AS (VALUES {_values(_GOOD)}),
-ruled AS (SELECT doc_id, product_id, field, nullif(trim(regexp_extract(text, '(?im)' || pattern, 1)), '') AS value, rule_id
+ruled AS (SELECT doc_id, product_id, field, nullif(trim(regexp_extract(text, '(?im)' || pattern, 1)), '') AS value, CAST(rule_id AS BIGINT) AS rule_id
           FROM policy JOIN rule USING (product_id) {_BAD}),
 long_rule AS (SELECT *, CASE WHEN value IS NULL THEN 'no_encontrado' ELSE 'regla' END AS method FROM ruled),
 gfield(field, grp, fixed) AS (VALUES {_values(GLOBALS)}),
@@ -132,7 +132,7 @@ def resolve_in_arrays(spark, folder):
     return export.long_rows(_arrays(spark, folder)).drop("rule_id")
 
 
-@query(f"""{WITH_RULES} SELECT doc_id, count(*) FILTER (method IN ('regla', 'valor_fijo')) AS by_rule, 0 AS by_model,
+@query(f"""{WITH_RULES} SELECT doc_id, count(*) FILTER (method IN ('regla', 'valor_fijo')) AS by_rule, CAST(0 AS BIGINT) AS by_model,
   count(*) FILTER (method = 'no_encontrado') AS not_found FROM resolved GROUP BY doc_id""")
 def method_counters(spark, folder):
     return fl.method_counters(_resolved(spark, folder))
@@ -173,7 +173,7 @@ def pivot_export(spark, folder):
 
 
 @query(f"""{WITH_RULES} SELECT 'P' || r.doc_id AS name, segment AS company, max(value) FILTER (field = 'documento') AS documento,
-  max(value) FILTER (field = 'moneda') AS moneda, max(value) FILTER (field = 'placas') AS placas, NULL AS deducible,
+  max(value) FILTER (field = 'moneda') AS moneda, max(value) FILTER (field = 'placas') AS placas, CAST(NULL AS VARCHAR) AS deducible,
   'Regla(' || count(*) FILTER (method <> 'no_encontrado') || ')' AS method, '' AS error, '—' AS confidence
   FROM resolved r JOIN policy USING (doc_id) GROUP BY r.doc_id, segment""")
 def wide_export(spark, folder):
