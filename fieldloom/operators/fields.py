@@ -213,6 +213,32 @@ def resolve_sources(long_fields: DataFrame) -> DataFrame:
     return long_fields.groupBy("doc_id", "field").agg(best.alias("_b")).select("doc_id", "field", "_b.*")
 
 
+def complete_sources(doc_products: DataFrame, fields: DataFrame, found: DataFrame) -> DataFrame:
+    """Resolved rows of all fields: found ones, fixed values, missing ones.
+
+    ``found`` is read once: the expected fields of each document join it in one
+    grouping instead of two anti-joins.  A field with a rule never takes the fixed
+    value, hit or not.
+    """
+    listed = fields.groupBy("product_id", "field").agg(F.max(F.when(F.col("is_global"), F.col("fixed_value"))).alias("value"))
+    wanted = join_small(doc_products.select("doc_id", "product_id"), listed, "product_id")
+    expected = wanted.select(
+        "doc_id", "field", "value", F.when(F.col("value").isNotNull(), m.METHOD_FIXED).otherwise(m.METHOD_NONE).alias("method"),
+        F.lit(None).cast("bigint").alias("rule_id"),
+    )
+    rank = F.when(F.col("value").isNull(), m.RANK_MISSING).otherwise(source_rank(F.col("method")))
+    order = F.struct(rank, F.coalesce(-F.col("rule_id"), F.lit(2**62)))
+    best = found.select(expected.columns).unionByName(expected).groupBy("doc_id", "field").agg(
+        F.min_by(F.struct("value", "method", "rule_id"), order).alias("_b"), F.max("rule_id").alias("_rule")
+    )
+    refused = (F.col("_b.method") == m.METHOD_FIXED) & F.col("_rule").isNotNull()
+    return best.select(
+        "doc_id", "field", F.when(~refused, F.col("_b.value")).alias("value"),
+        F.when(refused, m.METHOD_NONE).otherwise(F.col("_b.method")).alias("method"),
+        F.when(refused, F.col("_rule")).otherwise(F.col("_b.rule_id")).alias("rule_id"),
+    )
+
+
 def overlay(first: Column, *others: Column) -> Column:
     """Array form of the resolution: earlier arrays win, field by field."""
     def add(result: Column, other: Column) -> Column:
@@ -315,8 +341,7 @@ def reapply_product(extractions: DataFrame, chosen: DataFrame, rules: DataFrame,
     """
     docs = extractions.select("doc_id", "text").join(chosen, "doc_id")
     found = apply_rules(docs, rules)
-    fixed = fixed_values(docs, fields, found)
-    fresh = resolve_sources(found.unionByName(fixed).unionByName(missing_fields(docs, fields, found)))
+    fresh = complete_sources(docs, fields, found)
     return stored.join(chosen.select("doc_id"), "doc_id", "left_anti").unionByName(fresh)
 
 

@@ -287,6 +287,21 @@ def constant_if(test: Column, value: str) -> Column:
     return F.when(test, F.lit(value))
 
 
+def table_offsets(lines: DataFrame, labels: Column, offsets: dict[str, int]) -> DataFrame:
+    """Label lines with the lines at some offsets as columns, from the line table.
+
+    One join on (document, line number), so a very long document is spread over
+    many tasks; only the label lines and their targets are grouped.
+    """
+    items = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(k).alias("k")) for name, k in offsets.items()])
+    wanted = lines.filter(labels).select("doc_id", F.col("line_no").alias("_label_no"), F.col("line").alias("_label"), F.inline(items))
+    wanted = wanted.select("doc_id", "_label_no", "_label", "name", (F.col("_label_no") + F.col("k")).alias("line_no"))
+    joined = wanted.join(lines, ["doc_id", "line_no"], "left")
+    columns = [F.max(F.when(F.col("name") == name, F.col("line"))).alias(name) for name in offsets]
+    grouped = joined.groupBy("doc_id", "_label_no", "_label").agg(*columns)
+    return grouped.select("doc_id", F.col("_label").alias("line"), *offsets)
+
+
 def line_table(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, line_no, line): table form, for joins and votes over many lines."""
     return docs.select("doc_id", F.posexplode(split_lines(F.col(text))).alias("line_no", "line"))

@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.bounds import literal, unpack
+from fieldloom.functions.binding import let
+from fieldloom.operators.bounds import join_small, literal, unpack
 from fieldloom.session import materialize
 
 SEED = 3
@@ -37,8 +38,8 @@ def contains_join(docs: DataFrame, terms: DataFrame, same: list[str] | None = No
         "doc_id", *same,
         F.explode_outer(F.flatten(F.array(*[seeds(F.col("_low"), w) for w in range(1, SEED + 1)]))).alias("_seed"),
     ).filter(F.col("_seed").isNotNull())
-    # seeds no term starts with are dropped before the shuffle by a runtime filter or the join itself
-    pairs = doc_seeds.join(wanted, [*same, "_seed"])
+    # with few terms their side is copied, so only seeds that start a term are shuffled
+    pairs = join_small(doc_seeds, wanted, [*same, "_seed"])
     # the candidates of one document are at most the terms; the text is shuffled once
     candidates = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("term_id", "term")).alias("_cands"))
     found = low.select("doc_id", "_low").join(candidates, "doc_id").select(
@@ -53,13 +54,12 @@ def pattern_hits(docs: DataFrame, patterns: DataFrame, batch: int = 2_000) -> Da
     ``patterns``: term_id, java (already checked and rewritten).  Each batch is
     one pass without a shuffle; its hits are written out before the next one.
     """
-    low = docs.select("doc_id", F.lower("text").alias("_low"))
     parts, held = [], []
 
     def flush() -> None:
         config = literal(held, "array<struct<term_id:bigint,java:string>>")
-        hits = F.filter(config, lambda p: F.rlike(F.col("_low"), p["java"]))
-        found = low.select("doc_id", F.explode_outer(F.transform(hits, lambda p: p["term_id"])).alias("term_id"))
+        hits = let(F.lower("text"), lambda low: F.filter(config, lambda p: F.rlike(low, p["java"])))
+        found = docs.select("doc_id", F.explode_outer(F.transform(hits, lambda p: p["term_id"])).alias("term_id"))
         parts.append(materialize(found.filter(F.col("term_id").isNotNull())))
         held.clear()
 

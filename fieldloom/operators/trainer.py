@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import model as m
+from fieldloom.functions.binding import let
 from fieldloom.functions.text import context_window, literal_at
 from fieldloom.operators.bounds import literal, rows_within, unpack
 from fieldloom.operators.terms import contains_join
@@ -22,18 +23,15 @@ def locate_literals(selections: DataFrame, docs: DataFrame, batch: str = "produc
     by the seed join.
     """
     slim = selections.select("selection_id", F.col(batch).alias("batch"), F.col("doc_id").alias("origin"), "value")
-    rows = rows_within(slim, max_selections)
+    rows = rows_within(slim.withColumn("value", F.lower("value")), max_selections)
     if rows is not None:
         by_batch: dict[str, list] = {}
         for r in rows:
             by_batch.setdefault(str(r["batch"]), []).append({"selection_id": r["selection_id"], "origin": r["origin"], "value": r["value"]})
         table = literal(by_batch, "map<string,array<struct<selection_id:bigint,origin:bigint,value:string>>>")
         mine = F.try_element_at(table, F.col(batch).cast("string"))
-        low = docs.select("doc_id", "text", F.lower("text").alias("_low"), mine.alias("_mine"))
-        hit = low.select(
-            "doc_id", "text",
-            F.filter("_mine", lambda s: ~s["origin"].eqNullSafe(F.col("doc_id")) & F.contains(F.col("_low"), F.lower(s["value"]))).alias("_hits"),
-        )
+        held = lambda low: F.filter(mine, lambda s: ~s["origin"].eqNullSafe(F.col("doc_id")) & F.contains(low, s["value"]))
+        hit = docs.select("doc_id", "text", let(F.lower("text"), held).alias("_hits"))
         pairs = unpack(hit, ["doc_id", "text"], "_hits").select("selection_id", "doc_id", "value", "text")
     else:
         terms = slim.select(F.col("selection_id").alias("term_id"), F.col("batch").alias(batch), F.col("value").alias("term"))

@@ -36,9 +36,7 @@ WINDOW w AS (PARTITION BY doc_id ORDER BY no) QUALIFY line IN ('PRIMA NETA', 'I.
 def label_offset_table(spark, folder):
     """The same lead by k lines on the line table, joined on the line number."""
     lines = loc.line_table(policies(spark, folder).select("doc_id", "text"))
-    labels = lines.filter(F.col("line").isin("PRIMA NETA", "I.V.A."))
-    after = lambda k, name: lines.select("doc_id", (F.col("line_no") - k).alias("line_no"), F.col("line").alias(name))
-    return labels.join(after(1, "next_line"), ["doc_id", "line_no"], "left").join(after(8, "value"), ["doc_id", "line_no"], "left").drop("line_no")
+    return loc.table_offsets(lines, F.col("line").isin("PRIMA NETA", "I.V.A."), {"next_line": 1, "value": 8})
 
 
 @query(f"""{WITH_LINES}, hit AS (SELECT a.doc_id, v.no, regexp_extract(v.line, '{CENTS}') AS v FROM lines a JOIN lines v

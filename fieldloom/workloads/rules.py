@@ -89,8 +89,7 @@ def _ruled(spark, folder):
 
 def _resolved(spark, folder):
     docs, found = _ruled(spark, folder)
-    fields = field_table(spark)
-    return fl.resolve_sources(found.unionByName(fl.fixed_values(docs, fields, found)).unionByName(fl.missing_fields(docs, fields, found)))
+    return fl.complete_sources(docs, field_table(spark), found)
 
 
 def _arrays(spark, folder):
@@ -149,12 +148,9 @@ def extraction_headers(spark, folder):
         {"company_id": F.lit(1), "line_id": F.lit(1), "company": none, "line": none, "product": none, "score_company": F.lit(3), "confidence": none}
     )
     head = export.header_rows(docs)
-    names = F.array_sort(F.transform(F.filter("fields", lambda f: f["method"].isin(m.METHOD_RULE, m.METHOD_RECIPE)), lambda f: f["field"]))
-    covered = docs.select("doc_id", names.alias("covered"))
     pairs = F.array_sort(F.transform(F.map_entries("record"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-")))))
-    out = head.select("doc_id", "product_id", pairs.alias("pairs"), F.col("by_rule").cast("bigint").alias("by_rule"),
+    return head.select("doc_id", "covered", "product_id", pairs.alias("pairs"), F.col("by_rule").cast("bigint").alias("by_rule"),
                       F.col("not_found").cast("bigint").alias("not_found"), F.col("text").alias("stored_text"))
-    return out.join(covered, "doc_id")
 
 
 @query(f"""{WITH_RULES} SELECT doc_id, list_sort(list(field) FILTER (method = 'regla')) AS covered, count(*) AS n_fields FROM resolved GROUP BY doc_id""")
