@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import model as m
-from fieldloom.functions.binding import let
+from fieldloom.functions.binding import let, let2
 from fieldloom.functions.text import context_window, literal_at
 from fieldloom.operators.bounds import literal, rows_within, unpack
 from fieldloom.operators.terms import contains_join
 
 MAX_SELECTIONS = 2_000
+BLANKS = "[ \\t\\r\\n]+"
+
+
+def inner_word(value: str | None) -> str | None:
+    """Longest word with blanks on both sides: a text with the value has it as a word."""
+    words = re.split(BLANKS, value or "")[1:-1]
+    return max(words, key=len) or None if words else None
 
 
 def locate_literals(selections: DataFrame, docs: DataFrame, batch: str = "product_id", width: int = m.LITERAL_CONTEXT,
@@ -27,11 +36,21 @@ def locate_literals(selections: DataFrame, docs: DataFrame, batch: str = "produc
     if rows is not None:
         by_batch: dict[str, list] = {}
         for r in rows:
-            by_batch.setdefault(str(r["batch"]), []).append({"selection_id": r["selection_id"], "origin": r["origin"], "value": r["value"]})
-        table = literal(by_batch, "map<string,array<struct<selection_id:bigint,origin:bigint,value:string>>>")
+            by_batch.setdefault(str(r["batch"]), []).append(
+                {"selection_id": r["selection_id"], "origin": r["origin"], "value": r["value"], "anchor": inner_word(r["value"])}
+            )
+        table = literal(by_batch, "map<string,array<struct<selection_id:bigint,origin:bigint,value:string,anchor:string>>>")
         mine = F.try_element_at(table, F.col(batch).cast("string"))
-        held = lambda low: F.filter(mine, lambda s: ~s["origin"].eqNullSafe(F.col("doc_id")) & F.contains(low, s["value"]))
-        hit = docs.select("doc_id", "text", let(F.lower("text"), held).alias("_hits"))
+
+        def held(low: Column, selected: Column) -> Column:
+            # one hashed intersection decides for most values that they cannot occur
+            words = F.array_intersect(F.transform(selected, lambda s: s["anchor"]), F.split(low, BLANKS))
+            return let(words, lambda known: F.filter(selected, lambda s: (
+                (s["anchor"].isNull() | F.array_contains(known, s["anchor"]))
+                & ~s["origin"].eqNullSafe(F.col("doc_id")) & F.contains(low, s["value"])
+            )))
+
+        hit = docs.select("doc_id", "text", let2(F.lower("text"), mine, held).alias("_hits"))
         pairs = unpack(hit, ["doc_id", "text"], "_hits").select("selection_id", "doc_id", "value", "text")
     else:
         terms = slim.select(F.col("selection_id").alias("term_id"), F.col("batch").alias(batch), F.col("value").alias("term"))
