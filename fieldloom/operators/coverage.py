@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import model as m
@@ -29,6 +29,16 @@ def flag_covered(fields: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("covered", F.coalesce(covered, F.lit(False))).drop("_rule")
 
 
+def covered_first() -> list[Column]:
+    """Order of a field list: covered fields first, then by their number."""
+    return [F.desc("covered"), F.asc_nulls_last("order")]
+
+
+def global_first() -> list[Column]:
+    """Order of a field list: global fields first, then by their number."""
+    return [F.desc("is_global"), F.asc_nulls_last("order")]
+
+
 def _coverage(grouped) -> DataFrame:
     out = grouped.agg(F.count(F.lit(1)).alias("total"), F.count_if("covered").alias("covered"))
     return out.withColumn("missing", F.greatest(F.lit(0), F.col("total") - F.col("covered"))).withColumn(

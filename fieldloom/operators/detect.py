@@ -16,6 +16,7 @@ from fieldloom.functions.regex import prepare, prepare_column
 from fieldloom.functions.text import fleet_heading, product_of_type
 from fieldloom.operators.bounds import join_small, literal, rows_within
 from fieldloom.operators.terms import contains_join, pattern_hits
+from fieldloom.session import materialize
 
 MAX_ENTRIES = 20_000
 ENTRY = "struct<id:bigint,name:string,kw:array<string>,pt:array<string>,nk:int,np:int>"
@@ -179,7 +180,8 @@ def detect_by_join(docs: DataFrame, catalogue: DataFrame, text: str = "text") ->
                        F.coalesce(F.size("keywords"), F.lit(0)).alias("n_keywords")),
         ["level", "id"],
     )
-    described = described.withColumn(
+    # hits are few compared to the texts; written once, read by every level below
+    described = materialize(described).withColumn(
         "r", F.struct(F.col("score"), (-F.coalesce(F.col("tie"), F.lit(2**31 - 1))).alias("t"), (-F.col("id")).alias("i"),
                       "id", "name", "n_patterns", "n_keywords")
     )

@@ -27,13 +27,16 @@ FIELDS = f"array<{m.FIELD_TYPE}>"
 
 # ---- rules -----------------------------------------------------------------
 
-def usable_rules(rules: DataFrame, product_id: int | None = None, drafts: bool = False) -> DataFrame:
-    """Active rules (or active drafts), a missing draft flag counts as false, by field."""
+def usable_rules(rules: DataFrame, product_id: int | None = None, drafts: bool = False, ordered: bool = False) -> DataFrame:
+    """Active rules (or active drafts); a missing draft flag counts as false.
+
+    ``ordered`` sorts them by field for a listing.
+    """
     draft = F.coalesce(F.col("draft"), F.lit(False))
     kept = rules.filter(F.col("active") & (draft if drafts else ~draft))
     if product_id is not None:
         kept = kept.filter(F.col("product_id") == product_id)
-    return kept
+    return kept.orderBy("field", "rule_id") if ordered else kept
 
 
 def screen_rules(rules: DataFrame) -> DataFrame:

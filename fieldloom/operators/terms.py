@@ -34,9 +34,10 @@ def contains_join(docs: DataFrame, terms: DataFrame, same: list[str] | None = No
     low = docs.select("doc_id", *same, F.lower("text").alias("_low"))
     wanted = terms.select("term_id", *same, F.lower("term").alias("term")).filter(F.col("term") != "")
     wanted = wanted.withColumn("_seed", F.substring("term", 1, SEED))
+    widths = sorted(r[0] for r in wanted.select(F.length("_seed")).distinct().collect()) or [SEED]  # at most SEED values
     doc_seeds = low.select(
         "doc_id", *same,
-        F.explode_outer(F.flatten(F.array(*[seeds(F.col("_low"), w) for w in range(1, SEED + 1)]))).alias("_seed"),
+        F.explode_outer(F.flatten(F.array(*[seeds(F.col("_low"), w) for w in widths]))).alias("_seed"),
     ).filter(F.col("_seed").isNotNull())
     # with few terms their side is copied, so only seeds that start a term are shuffled
     pairs = join_small(doc_seeds, wanted, [*same, "_seed"])

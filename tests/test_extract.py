@@ -1,16 +1,17 @@
-from pyspark.sql import functions as F
+import pytest
 
 import samples
 from fieldloom.plans.extract import extract
 
 
-def run(spark):
-    out = extract(samples.documents(spark), samples.catalogue(spark), samples.rules(spark), samples.product_fields(spark))
-    return {r["doc_id"]: r for r in out.collect()}
+@pytest.fixture(scope="module")
+def extracted(spark):
+    """Built once: writing some sixty recipes into a plan takes a while."""
+    return extract(samples.documents(spark), samples.catalogue(spark), samples.rules(spark), samples.product_fields(spark))
 
 
-def test_both_families_end_to_end(spark):
-    rows = run(spark)
+def test_both_families_end_to_end(extracted):
+    rows = {r["doc_id"]: r for r in extracted.collect()}
     assert set(rows) == {1, 2, 3}
     a = {f["field"]: f for f in rows[1]["fields"]}
     got = {k: v["value"] for k, v in a.items()}
@@ -39,8 +40,25 @@ def test_both_families_end_to_end(spark):
     assert rows[3]["fields"] == [] and rows[3]["confidence"] == "sin_datos"
 
 
-def test_extraction_is_one_pass(spark):
-    out = extract(samples.documents(spark), samples.catalogue(spark), samples.rules(spark), samples.product_fields(spark))
-    plan = out._jdf.queryExecution().executedPlan().toString()
+def test_extraction_is_one_pass(extracted):
+    plan = extracted._jdf.queryExecution().executedPlan().toString()
     # only the catalogue is aggregated, the documents stay where they are
     assert "hashpartitioning(doc_id" not in plan and "SortMergeJoin" not in plan
+
+
+def test_field_sets(spark):
+    from pyspark.sql import functions as F
+
+    from fieldloom import field_sets
+    from fieldloom.operators.coverage import covered_first, flag_covered, global_first
+    from fieldloom.operators.fields import product_fields
+
+    products = spark.createDataFrame([(1, "Vehículos"), (2, "Fianzas")], "product_id bigint, line string")
+    own = products.join(field_sets.line_fields(spark), "line").drop("line")
+    listed = product_fields(products, field_sets.global_fields(spark), own)
+    counts = {r["product_id"]: r["n"] for r in listed.groupBy("product_id").agg(F.count("*").alias("n")).collect()}
+    assert counts == {1: 20 + 6, 2: 15 + 4}
+    first = listed.filter("product_id = 2").orderBy(*global_first()).select(field_sets.field_label(F.col("field")).alias("l")).first()["l"]
+    assert first == "RFC"
+    rules = spark.createDataFrame([(1, 1, "placas", "x", True, False, None)], "rule_id bigint, product_id bigint, field string, pattern string, active boolean, draft boolean, bbox string")
+    assert flag_covered(listed, rules).filter("product_id = 1").orderBy(*covered_first()).first()["field"] == "placas"
