@@ -29,10 +29,13 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", max_ro
     return left.join(F.broadcast(right) if fits(right, max_rows) else right, on, how)
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 64, how: str = "inner") -> DataFrame:
-    """Equi-join for a hot key on the left: its rows go to ``salts`` tasks, the right side is repeated."""
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, salts: int = 64, how: str = "inner") -> DataFrame:
+    """Equi-join for a hot key on the left: its rows go to ``salts`` tasks, the right side is repeated.
+
+    ``by``: a column of the left side with many values, it decides the task.
+    """
     key = "_salt"
-    spread = left.withColumn(key, F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    spread = left.withColumn(key, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     repeated = right.withColumn(key, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(repeated, [*on, key], how).drop(key)
 

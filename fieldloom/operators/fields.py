@@ -129,7 +129,7 @@ def apply_rules(docs: DataFrame, rules: DataFrame, text: str = "text", max_unrol
     if fits(ready, max_broadcast):
         joined = slim.join(F.broadcast(ready), "product_id")
     else:
-        joined = salted_join(slim, ready, ["product_id"])
+        joined = salted_join(slim, ready, ["product_id"], by="doc_id")
     value = F.when(
         F.col("java").isNotNull(),
         _filled(extract_value(F.col("_text"), F.coalesce("java", F.lit("$^")), F.coalesce("groups", F.lit(0)),

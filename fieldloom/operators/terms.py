@@ -17,6 +17,7 @@ from fieldloom.operators.bounds import join_small, literal, unpack
 from fieldloom.session import materialize
 
 SEED = 3
+MAX_CANDIDATES = 20_000
 
 
 def seeds(text, width: int):
@@ -34,15 +35,19 @@ def contains_join(docs: DataFrame, terms: DataFrame, same: list[str] | None = No
     low = docs.select("doc_id", *same, F.lower("text").alias("_low"))
     wanted = terms.select("term_id", *same, F.lower("term").alias("term")).filter(F.col("term") != "")
     wanted = wanted.withColumn("_seed", F.substring("term", 1, SEED))
-    widths = sorted(r[0] for r in wanted.select(F.length("_seed")).distinct().collect()) or [SEED]  # at most SEED values
+    by_width = wanted.groupBy(F.length("_seed").alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most SEED rows
+    widths = sorted(r["w"] for r in by_width) or [SEED]
+    parts = 1 + sum(r["n"] for r in by_width) // MAX_CANDIDATES
     doc_seeds = low.select(
         "doc_id", *same,
         F.explode_outer(F.flatten(F.array(*[seeds(F.col("_low"), w) for w in widths]))).alias("_seed"),
     ).filter(F.col("_seed").isNotNull())
     # with few terms their side is copied, so only seeds that start a term are shuffled
     pairs = join_small(doc_seeds, wanted, [*same, "_seed"])
-    # the candidates of one document are at most the terms; the text is shuffled once
-    candidates = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("term_id", "term")).alias("_cands"))
+    # a list holds at most about MAX_CANDIDATES terms; with fewer terms than that there
+    # is one list per document and the text is shuffled once
+    part = F.pmod(F.xxhash64("term_id"), F.lit(parts))
+    candidates = pairs.groupBy("doc_id", part.alias("_part")).agg(F.collect_list(F.struct("term_id", "term")).alias("_cands"))
     found = low.select("doc_id", "_low").join(candidates, "doc_id").select(
         "doc_id", F.filter("_cands", lambda c: F.contains(F.col("_low"), c["term"])).alias("_hits")
     )

@@ -67,15 +67,17 @@ def long_rows(results: DataFrame, fields: str = "fields") -> DataFrame:
     return unpack(results, ["doc_id"], fields)
 
 
-def write_extraction(results: DataFrame, folder: str, fields: str = "fields", text: str = "text", mode: str = "append") -> None:
-    """Write results once, then header and long table from the written copy.
+def write_extraction(results: DataFrame, folder: str, batch: str, fields: str = "fields", text: str = "text") -> None:
+    """Write one batch of results, then its header and long rows from the written copy.
 
-    The extraction itself runs a single time however many tables are derived.
+    The extraction itself runs a single time however many tables are derived.  Each
+    batch owns its partition of the three tables; a repeated batch replaces it.
     """
-    results.write.mode(mode).parquet(f"{folder}/results")
-    stored = results.sparkSession.read.schema(results.schema).parquet(f"{folder}/results")
-    header_rows(stored, fields, text).write.mode("overwrite").parquet(f"{folder}/extractions")
-    long_rows(stored, fields).write.mode("overwrite").parquet(f"{folder}/fields")
+    target = lambda name: f"{folder}/{name}/batch={batch}"
+    results.write.mode("overwrite").parquet(target("results"))
+    stored = results.sparkSession.read.schema(results.schema).parquet(target("results"))
+    header_rows(stored, fields, text).write.mode("overwrite").parquet(target("extractions"))
+    long_rows(stored, fields).write.mode("overwrite").parquet(target("fields"))
 
 
 def method_text(by_rule: Column, by_model: Column) -> Column:

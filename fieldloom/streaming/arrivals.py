@@ -36,9 +36,16 @@ def watch_table(spark: SparkSession, folder: str, schema, per_trigger: int = 1_0
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def drop_repeated(stream: DataFrame, time: str, delay: str = "1 hour", text: str = "text") -> DataFrame:
-    """First arrival of each content within the delay; state is bounded by the watermark."""
-    return stream.withColumn("sha256", content_hash(text)).withWatermark(time, delay).dropDuplicatesWithinWatermark(["sha256"])
+def drop_repeated(stream: DataFrame, time: str, delay: str | None = "1 hour", text: str = "text") -> DataFrame:
+    """First arrival of each content within the delay; state is bounded by the watermark.
+
+    Without a delay the state keeps every hash ever seen (use the RocksDB state
+    store): each trigger then costs as much as its own rows, however long the history.
+    """
+    hashed = stream.withColumn("sha256", content_hash(text))
+    if delay is None:
+        return hashed.dropDuplicates(["sha256"])
+    return hashed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["sha256"])
 
 
 def classify(stream: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -85,7 +92,8 @@ def queue_writer(folder: str, catalogue: DataFrame) -> Callable[[DataFrame, int]
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch if "sha256" in batch.columns else batch.withColumn("sha256", content_hash("text"))
-        doubles = duplicates(rows, "sha256", "arrived", "doc_id")
+        # only ids and hashes are compared, the texts stay where they are
+        doubles = duplicates(rows.select("doc_id", "sha256", "arrived"), "sha256", "arrived", "doc_id")
         first = rows.join(doubles.select("doc_id"), "doc_id", "left_anti")
         doubles.select("doc_id", "sha256").write.mode("overwrite").parquet(f"{folder}/to_delete/batch={batch_id}")
         if _exists(spark, f"{folder}/queue"):

@@ -105,7 +105,7 @@ def test_derived_person_type_in_the_long_table(spark):
 def test_salted_join_is_a_join(spark):
     left = spark.createDataFrame([(i, 1 if i % 3 else 2) for i in range(50)], "id bigint, k int")
     right = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string")
-    assert sorted(map(tuple, salted_join(left, right, ["k"], 4).select("id", "v").collect())) == sorted(map(tuple, left.join(right, "k").select("id", "v").collect()))
+    assert sorted(map(tuple, salted_join(left, right, ["k"], "id", 4).select("id", "v").collect())) == sorted(map(tuple, left.join(right, "k").select("id", "v").collect()))
 
 
 def test_literals_with_and_without_anchor_words(spark):

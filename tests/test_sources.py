@@ -42,10 +42,12 @@ def test_write_and_wide_export(spark, tmp_path):
     schema = ("doc_id bigint, text string, company_id bigint, line_id bigint, product_id bigint, company string, line string, product string, score_company int, "
               "confidence string, fields array<struct<field:string,value:string,method:string,rule_id:bigint>>")
     results = spark.createDataFrame(rows, schema)
-    export.write_extraction(results, str(tmp_path))
+    for batch in ("1", "2", "1"):
+        export.write_extraction(results, str(tmp_path), batch)
+    assert spark.read.parquet(str(tmp_path / "extractions")).count() == 2
     head = spark.read.parquet(str(tmp_path / "extractions")).first()
     assert (head["by_rule"], head["not_found"], head["detection_method"], head["record"]["documento"]) == (2, 1, "patrones", "7")
-    assert spark.read.parquet(str(tmp_path / "fields")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "fields")).count() == 6
     wide = export.export_wide(results.withColumns({"name": F.lit("f.pdf"), "error": F.lit(None).cast("string")})).first()
     assert len(wide) == 4 + 28 + 3 and wide["Entidad"] == "Persona Física" and wide["Método"] == "Regla(2)" and wide["Error"] == ""
 
