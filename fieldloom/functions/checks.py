@@ -218,9 +218,8 @@ def is_vehicle_line(line_name: Column) -> Column:
     return F.coalesce(contains_any(F.lower(line_name), VEHICLE_LINE_WORDS), F.lit(False))
 
 
-def company_gate(text: Column, name: str | None, words: list[str], fold=F.upper) -> Column:
-    """Company name printed (if asked for) and at least one of the words."""
-    folded = fold(text)
+def company_gate(folded: Column, name: str | None, words: list[str]) -> Column:
+    """Company name printed (if asked for) and at least one of the words, in the folded text."""
     gate = contains_any(folded, words)
     return gate if name is None else F.contains(folded, F.lit(name)) & gate
 

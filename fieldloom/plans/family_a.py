@@ -64,7 +64,7 @@ POLICY_TYPES = ["AMPLIA", "LIMITADA", "BÁSICA", "RESPONSABILIDAD CIVIL"]
 
 
 def gate(doc: Doc) -> Column:
-    return checks.company_gate(doc.text, GATE_NAME, GATE_WORDS)
+    return checks.company_gate(doc.upper, GATE_NAME, GATE_WORDS)
 
 
 def labelled(fold: str = "lower"):

@@ -34,7 +34,7 @@ PLATE_INLINE = r"(?:Placas|Placa)\s*[:\-]?\s*([A-Z0-9]{6,7})"
 
 
 def gate(doc: Doc) -> Column:
-    return checks.company_gate(doc.text, None, GATE_WORDS, fold=F.lower)
+    return checks.company_gate(F.lower(doc.text), None, GATE_WORDS)
 
 
 def contractor_section(spans: Column) -> Column:

@@ -227,11 +227,10 @@ def from_table(table: DataFrame, gates: dict[str, Callable[[Doc], Column]], hidd
 PREPARED = ("_upper", "_plain", "_lines", "_ulines")
 
 
-def prepare_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Forms of the text that the strategies share, computed once per document."""
-    staged = docs.withColumns(
-        {"_upper": F.upper(text), "_plain": tx.upper_plain(F.col(text)), "_lines": tx.lines(F.col(text)), "_ulines": tx.lines(F.upper(text))}
-    )
+def prepare_documents(docs: DataFrame, text: str = "text", needed: Column | None = None) -> DataFrame:
+    """Forms of the text that the strategies share, computed once per document that needs them."""
+    forms = {"_upper": F.upper(text), "_plain": tx.upper_plain(F.col(text)), "_lines": tx.lines(F.col(text)), "_ulines": tx.lines(F.upper(text))}
+    staged = docs.withColumns({name: form if needed is None else F.when(needed, form) for name, form in forms.items()})
     return staged if "spans" in docs.columns else staged.withColumn("spans", F.lit(None).cast(f"array<{m.SPAN_TYPE}>"))
 
 
@@ -251,7 +250,7 @@ def recipe_fields(docs: DataFrame, families: list[Family], text: str = "text", a
 
     A document of another company, or one its gate refuses, gets an empty array.
     """
-    current = prepare_documents(docs, text)
+    current = prepare_documents(docs, text, F.col("company").isin(*[f.company for f in families]))
     result = F.array().cast(FIELDS)
     for n, fam in enumerate(families):
         doc = Doc(F.col(text), F.col("_upper"), F.col("_plain"), F.col("_lines"), F.col("_ulines"), F.col("spans"))

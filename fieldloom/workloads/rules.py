@@ -393,3 +393,39 @@ def recipe_runner(spark, folder):
     families = from_table(spark.createDataFrame(rows, RECIPE_SCHEMA), {f.company: f.gate for f in (FAMILY_ONE, FAMILY_TWO)})
     docs = policies(spark, folder).withColumn("company", F.col("segment"))
     return unpack(recipe_fields(docs, families), ["doc_id"], "recipe_fields").select("doc_id", "field", "value")
+
+
+# ---- end to end ------------------------------------------------------------------------
+
+CATALOGUE = [
+    (m.COMPANY, 1, None, "Quálitas", None, ["qualitas"], ["poliza"], True, 1),
+    (m.COMPANY, 2, None, "Otra", None, ["agente"], [], True, 2),
+    (m.LINE, 1, 1, "Vehículos", None, ["motor"], ["placas"], True, None),
+    (m.PRODUCT, 1, 1, "Automóviles", None, ["tipo"], ["prima neta"], True, 1),
+    (m.PRODUCT, 2, 1, "Camiones", None, ["tractor"], [], True, 2),
+]
+
+
+@query(f"""{WITH_LINES}, f AS (SELECT doc_id, max(line) FILTER (no = 22) AS prima_neta, max(line) FILTER (no = 25) AS iva, max(line) FILTER (no = 26) AS prima_total,
+  max(line) FILTER (no = 10) AS vt, max(line) FILTER (no = 13) AS issued FROM lines GROUP BY doc_id)
+SELECT doc_id, CASE WHEN priority IN ('1-URGENT', '4-NOT SPECIFIED') THEN 'Camiones' ELSE 'Automóviles' END AS product, 'alta' AS confidence,
+  replace(regexp_extract(text, 'R\\.F\\.C\\.: (\\S+)', 1), '-', '') AS rfc, prima_neta, iva, prima_total, 'KA' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS motor,
+  CASE WHEN nation_id >= 12 THEN 'Persona Física' ELSE 'Persona Moral' END AS entidad, CASE WHEN nation_id < 20 THEN 'Pesos' ELSE 'Usd' END AS moneda,
+  CASE WHEN priority IN ('1-URGENT', '4-NOT SPECIFIED') THEN replace(issued, 'EMITIDA ', '') END AS concepto,
+  CASE WHEN priority NOT IN ('1-URGENT', '4-NOT SPECIFIED') THEN 'fijo' END AS canal, 'no_encontrado' AS estado_method
+FROM policy JOIN f USING (doc_id)""")
+def extract_fields(spark, folder):
+    """The whole extraction of the first family: detection, recipes, override, rules, fixed, missing, derived."""
+    from fieldloom.plans import family_a
+    from fieldloom.plans.extract import extract
+
+    docs = policies(spark, folder).select("doc_id", F.concat("text", F.lit("\nQualitas")).alias("text"))
+    rules_ = spark.createDataFrame([(1, 2, "concepto", r"EMITIDA (\S+)", True, False, None), (2, 2, "canal", "absent", True, False, None)], m.RULE_SCHEMA)
+    products = spark.createDataFrame([(1, "Vehículos"), (2, "Vehículos")], "product_id bigint, line string")
+    globals_ = spark.createDataFrame([("rfc", None, None), ("canal", None, "fijo")], "field string, group string, fixed_value string")
+    specific = spark.createDataFrame([(1, "estado"), (2, "estado")], "product_id bigint, field string")
+    fields = fl.product_fields(products, globals_, specific, dedupe=False)
+    out = extract(docs, spark.createDataFrame(CATALOGUE, m.CATALOGUE_SCHEMA), rules_, fields, families=[family_a.FAMILY])
+    names = ["rfc", "prima_neta", "iva", "prima_total", "motor", "entidad", "moneda", "concepto", "canal"]
+    state = F.get(F.filter("fields", lambda f: f["field"] == "estado"), F.lit(0))["method"]
+    return out.select("doc_id", "product", "confidence", *[fl.value_of(F.col("fields"), n).alias(n) for n in names], state.alias("estado_method"))

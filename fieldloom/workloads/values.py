@@ -145,7 +145,7 @@ def id_and_money_checks(spark, folder):
     return staged.select(
         "doc_id", checks.is_amount(line(23)).alias("money_ok"), checks.is_plate_word(line(2)).alias("plate_word"),
         checks.is_tax_id_candidate(tx.compact_tax_id(first_match(t, TAX, 1))).alias("tax_ok"),
-        checks.company_gate(t, "POLIZA", ["PLACAS", "COBERTURA"]).alias("gate"), checks.looks_like_name(line(2)).alias("name_ok"),
+        checks.company_gate(F.upper(t), "POLIZA", ["PLACAS", "COBERTURA"]).alias("gate"), checks.looks_like_name(line(2)).alias("name_ok"),
         amounts.discounted_net(t, line(22), line(27), "SEMESTRAL").alias("net"), amounts.to_date(first_match(t, r"EMITIDA (\S+)", 1)).cast("string").alias("issued"),
         amounts.to_money(line(27)).cast("string").alias("total"), F.when(checks.is_agent_key(key), key).alias("agent_key"),
     )
