@@ -11,7 +11,7 @@ from fieldloom.functions.binding import keep_if, let, regexp_extract
 
 # What str.strip() and str.splitlines() regard as white space and line ends.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
-LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+RARE_LINE_END = "\\r\\n?|[\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -41,7 +41,8 @@ def present(value: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines of a text; a final line end adds no empty line."""
-    return F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END)
+    plain = F.when(F.rlike(text, F.lit(RARE_LINE_END)), F.regexp_replace(text, RARE_LINE_END, "\n")).otherwise(text)
+    return F.split(F.regexp_replace(plain, "\n\\z", ""), "\n")
 
 
 def without_accents(value: Column) -> Column:

@@ -8,6 +8,7 @@ or NULL.  Positions are 0-based like the offsets.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +24,17 @@ LinePick = Callable[[Column], Column]
 def has(*labels: str) -> LineTest:
     """Line contains one of the labels."""
 
-    if len(labels) == 1:
-        return lambda line: F.contains(line, F.lit(labels[0]))
-    pattern = "|".join(f"\\Q{label}\\E" for label in labels)
-    return lambda line: F.rlike(line, F.lit(pattern))
+    return lambda line: reduce(Column.__or__, [F.contains(line, F.lit(label)) for label in labels])
+
+
+def mentions(*labels: str) -> LineTest:
+    """Line contains one of the (upper-case) labels in any case."""
+    return lambda line: has(*labels)(F.upper(line))
+
+
+def word(label: str, pattern: str) -> LineTest:
+    """Line matches the pattern; the label in it is looked for first, which is cheaper."""
+    return lambda line: F.contains(F.upper(line), F.lit(label)) & matches(pattern)(line)
 
 
 def equals(label: str, fold: Callable[[Column], Column] | None = None) -> LineTest:

@@ -33,8 +33,10 @@ TAX_ID = r"\b[A-Z&Ñ]{3,4}[-\s]?\d{6}[-\s]?[A-Z0-9]{0,3}\b"
 INSURED_BLOCK = r"INFORMACION DEL ASEGURADO.*?(?:\n\n|\Z)"
 INSURED = r"INFORMACIÓN DEL ASEGURADO"
 INSURED_ANY = r"INFORMACI[ÓO]N DEL ASEGURADO"
+INSURED_LABELS = ["INFORMACIÓN DEL ASEGURADO", "INFORMACION DEL ASEGURADO"]
 VEHICLE = r"DESCRIPCIÓN DEL VEHÍCULO ASEGURADO"
 VEHICLE_ANY = r"DESCRIPCI[ÓO]N DEL VEH[ÍI]CULO ASEGURADO"
+VEHICLE_LABELS = ["DESCRIPCIÓN DEL VEHÍCULO ASEGURADO", "DESCRIPCION DEL VEHICULO ASEGURADO", "DESCRIPCIÓN DEL VEHICULO ASEGURADO", "DESCRIPCION DEL VEHÍCULO ASEGURADO"]
 VIN = r"\b([A-HJ-NPR-Z0-9]{17})\b"
 ENGINE_INLINE = r"Motor\s*:\s*([A-Za-z0-9]+?)\s*(?=Color\s*:|Placas\s*:|\n|$)"
 ENGINE_WORDS = ["HECHO EN", "FABRICADO EN", "ENSAMBLADO EN"]
@@ -130,7 +132,7 @@ def _plate(line: Column) -> Column:
 @strategy
 def plates(doc: Doc) -> Column:
     """Validated plate from several places, then looser forms near the label."""
-    near_heading = loc.label_window(doc.lines, loc.matches(checks.any_of([INSURED_ANY, VEHICLE_ANY])), 0, 10, _plate, first_only=False)
+    near_heading = loc.label_window(doc.lines, loc.mentions(*INSURED_LABELS, *VEHICLE_LABELS), 0, 10, _plate, first_only=False)
     near_label = loc.label_window(doc.lines, labelled(), 0, 10, _plate, first_only=False)
     in_table = layout.table_row(layout.layout_lines(doc.spans), ["modelo", "placas"], PLATE_INLINE + r"\b", checks.is_plate)
     in_vehicle = loc.section(doc.text, r"VEH[ÍI]CULO ASEGURADO", r"\n{2,}|DESGLOSE|CONSIDERACIONES|IMPORTE|OBSERVACIONES")
@@ -156,20 +158,20 @@ def postal_code_candidates(text: Column, lines: Column) -> Column:
     """Postal codes from three anchors, in the order they are looked at."""
     code = loc.whole(checks.is_postal_code)
 
-    def after(part: Column, label: str, first: int, last: int, only_first: bool) -> Column:
+    def after(part: Column, label: loc.LineTest, first: int, last: int, only_first: bool) -> Column:
         def values(line: Column, i: Column) -> Column:
             held = loc.window_values(part, i, first, last, code)
-            return F.when(F.rlike(line, F.lit("(?iuU)" + label)), F.slice(held, 1, 1) if only_first else held)
+            return F.when(label(line), F.slice(held, 1, 1) if only_first else held)
 
         return F.flatten(F.filter(F.transform(part, values), lambda v: v.isNotNull()))
 
-    inside = lambda block: let(tx.lines(block), lambda part: after(part, r"\bC\.P\.:", 7, 9, True))
-    by_item = after(lines, r"\bINCISO\b", 7, 9, False)
+    inside = lambda block: let(tx.lines(block), lambda part: after(part, loc.word("C.P.:", r"\bC\.P\.:"), 7, 9, True))
+    by_item = after(lines, loc.word("INCISO", r"\bINCISO\b"), 7, 9, False)
     blocks = F.split(text, "(?iuU)" + INSURED_ANY)
     inner = let(blocks, lambda bs: F.transform(F.slice(bs, 2, F.greatest(F.size(bs) - 1, F.lit(0))), inside))
     five = loc.found(r"\b\d{5}\b")
     by_note = F.filter(
-        F.transform(lines, lambda line, i: F.when(F.rlike(line, F.lit(r"(?iuU)\bENDOSO\b")), five(loc.at(lines, i + 10)))), lambda v: v.isNotNull()
+        F.transform(lines, lambda line, i: F.when(loc.word("ENDOSO", r"\bENDOSO\b")(line), five(loc.at(lines, i + 10)))), lambda v: v.isNotNull()
     )
     return F.concat(by_item, F.flatten(inner), by_note)
 
@@ -189,7 +191,7 @@ def municipality(doc: Doc) -> Column:
         return loc.between_at(lines, i, checks.is_postal_code, checks.is_state, 15)
 
     return loc.label_steps(
-        doc.lines, loc.matches(r"\bMunicipio\b"),
+        doc.lines, loc.word("MUNICIPIO", r"\bMunicipio\b"),
         [inline(r"Municipio\s*:\s*(.*?)\s*Estado\s*:"), inline(r"Municipio\s*:\s*(.+)"), between],
     )
 
@@ -198,9 +200,11 @@ def municipality(doc: Doc) -> Column:
 def vehicle_type(doc: Doc) -> Column:
     """Known type near the heading, by vote over all headings, else after any type label."""
     known = lambda v: keep_if(v, lambda x: F.rlike(x, F.lit("(?iuU)^" + checks.any_of(VEHICLE_TYPES))))
-    labelled_type = lambda line: known(tx.strip(regexp_extract(line, F.lit(r"(?iuU)Tipo\s*:\s*(.+)"), F.lit(1))))
+    labelled_type = lambda line: F.when(
+        loc.mentions("TIPO")(line), known(tx.strip(regexp_extract(line, r"(?iuU)Tipo\s*:\s*(.+)", 1)))
+    )
     pick = lambda line: F.coalesce(known(tx.strip(line)), labelled_type(line))
-    heading = loc.matches(VEHICLE)
+    heading = loc.mentions(VEHICLE)
     near = loc.label_window(doc.lines, heading, 0, 10, pick)
     both = lambda line: F.filter(F.array(known(tx.strip(line)), labelled_type(line)), lambda v: v.isNotNull())
     around = F.transform(doc.lines, lambda line, i: F.when(heading(line), F.flatten(F.transform(F.slice(doc.lines, i + 1, 11), both))))
@@ -227,13 +231,13 @@ def vehicle_description(doc: Doc) -> Column:
         j = loc.first_index(block, lambda line: F.contains(line, date))
         return let(j, lambda k: F.when(k > 1, tx.strip(F.get(block, k - 1))))
 
-    insured = loc.section_lines(lines, loc.matches(INSURED), loc.matches("INFORMACIÓN IMPORTANTE"))
+    insured = loc.section_lines(lines, loc.mentions(INSURED), loc.mentions("INFORMACIÓN IMPORTANTE"))
     dated = let(insured, lambda block: let(first_date(block), lambda date: before_date(block, date)))
-    head = loc.section_lines(lines, loc.matches("PÓLIZA DE SEGURO DE AUTOMÓVILES"), loc.matches(INSURED))
+    head = loc.section_lines(lines, loc.mentions("PÓLIZA DE SEGURO DE AUTOMÓVILES"), loc.mentions(INSURED))
     at_end = let(head, lambda block: F.when(first_date(block).isNotNull() & (F.size(block) > 7), tx.strip(F.get(block, F.size(block) - 7))))
 
     def vote(dated_line: Column, end_line: Column) -> Column:
-        by_number = let(loc.first_index(lines, loc.matches("English")), numbered)
+        by_number = let(loc.first_index(lines, loc.mentions("ENGLISH")), numbered)
         void = F.coalesce(checks.has_legal_phrase(end_line), F.lit(False))
         return F.when(~void, votes.most_common(F.concat(by_number, F.array(dated_line, end_line))))
 
@@ -255,7 +259,7 @@ def colony(doc: Doc, other: str) -> Column:
     under = lambda lines, i: tx.after_colon(keep_if(F.get(lines, i + 1), labelled_line))
 
     def search(block: Column, place: Column) -> Column:
-        below = loc.context_window(block, loc.matches(r"\bCOLONIA:"), 6, 9, 5, state)
+        below = loc.context_window(block, loc.word("COLONIA:", r"\bCOLONIA:"), 6, 9, 5, state)
         last = loc.penultimate_line(block, 5, state)
         after_place = loc.label_steps(doc.upper_lines, lambda line: F.contains(line, place), [under])
         return F.when(block.isNotNull(), tx.title_case(F.coalesce(below, last, after_place)))
@@ -267,7 +271,7 @@ def colony(doc: Doc, other: str) -> Column:
 def address(doc: Doc, start_date: str, postal_code: str) -> Column:
     """Line before the postal code of the insured block, else near the start date."""
     lines = doc.lines
-    block = loc.section_lines(lines, loc.matches(INSURED), loc.matches(VEHICLE))
+    block = loc.section_lines(lines, loc.mentions(INSURED), loc.mentions(VEHICLE))
     code = lambda part: tx.pad_postal_code(votes.most_common(postal_code_candidates(F.array_join(part, "\n"), part)))
     in_block = let(block, lambda part: loc.line_before(part, code(part)))
 
@@ -278,7 +282,7 @@ def address(doc: Doc, start_date: str, postal_code: str) -> Column:
         return F.when(i < stop, F.coalesce(*tries, loc.line_before(lines, doc.known[postal_code])))
 
     date_line = loc.first_index(lines, lambda line: F.contains(line, doc.known[start_date]))
-    return F.coalesce(in_block, let2(date_line, loc.first_index(lines, loc.matches(INSURED)), near))
+    return F.coalesce(in_block, let2(date_line, loc.first_index(lines, loc.mentions(INSURED)), near))
 
 
 @strategy
@@ -312,8 +316,9 @@ RECIPES = [
         r"N°\s*P[oó]liza\s*[:\-]?\s*([A-Z0-9\-]{6,20})",
     ]}),
     Recipe("rfc", "tax_id_vote"),
-    Recipe("desde", "date_vote", {"patterns": DATES, "place": 0}),
-    Recipe("hasta", "date_vote", {"patterns": DATES, "place": 1}),
+    Recipe("dates", "date_list", {"patterns": DATES}),
+    Recipe("desde", "pick_from", {"other": "dates", "place": 0}, 1),
+    Recipe("hasta", "pick_from", {"other": "dates", "place": 1}, 1),
     Recipe("prima_neta", "label_offset", {"labels": ["PRIMA NETA"], "offsets": [8, 1], "value": checks.AMOUNT_OPTIONAL_CENTS, "post": ["no_blanks"]}),
     Recipe("descuento", "label_offset", {"labels": ["TASA FINANCIAMIENTO"], "offsets": [8, 1], "value": checks.AMOUNT_SIGNED, "first_only": False, "post": ["unsigned"]}),
     Recipe("derechos", "label_offset", {"labels": ["GASTOS POR EXPEDICIÓN", "GASTOS DE EXPEDICIÓN"], "offsets": [8, 1], "value": checks.AMOUNT_WITH_CENTS, "first_only": False}),
@@ -344,12 +349,12 @@ RECIPES = [
     Recipe("printed_subtotal", "printed_subtotal"),
     Recipe("policy_type", "line_vote", {"pattern": r"PLAN:\s*(AMPLIA|LIMITADA|BÁSICA|RESPONSABILIDAD CIVIL)", "post": ["title"]}),
     Recipe("policy_type", "word_vote", {"words": POLICY_TYPES, "post": ["title"]}),
-    Recipe("nombre_cliente", "name_after_label", {"post": ["title", "company_form"]}, 1),
-    Recipe("nombre_cliente", "name_after_field", {"other": "hasta", "post": ["title", "company_form"]}, 1),
-    Recipe("nombre_cliente", "label_offset", {"labels": ["FAX"], "offsets": [7], "accept": ["not_stopped"], "first_only": False, "post": ["title", "company_form"]}, 1),
+    Recipe("nombre_cliente", "name_after_label", {"post": ["title", "company_form"]}, 2),
+    Recipe("nombre_cliente", "name_after_field", {"other": "hasta", "post": ["title", "company_form"]}, 2),
+    Recipe("nombre_cliente", "label_offset", {"labels": ["FAX"], "offsets": [7], "accept": ["not_stopped"], "first_only": False, "post": ["title", "company_form"]}, 2),
     Recipe("colonia", "colony", {"other": "municipio"}, 1),
-    Recipe("direccion_completa", "address", {"start_date": "desde", "postal_code": "cp"}, 1),
+    Recipe("direccion_completa", "address", {"start_date": "desde", "postal_code": "cp"}, 2),
     Recipe("sub_total", "reconciled_subtotal", {}, 1),
 ]
 
-FAMILY = Family(COMPANY, RECIPES, gate, hidden=("printed_subtotal", "policy_type"))
+FAMILY = Family(COMPANY, RECIPES, gate, hidden=("dates", "printed_subtotal", "policy_type"))

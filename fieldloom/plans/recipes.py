@@ -167,8 +167,24 @@ def date_vote(doc: Doc, patterns: list[str], place: int, on: str = "plain") -> C
     return F.get(date_ranking(doc.scope(on), patterns), F.lit(place))
 
 
+@strategy
+def date_list(doc: Doc, patterns: list[str], on: str = "plain") -> Column:
+    """The two most frequent dates as an array, for ``pick_from``."""
+    return date_ranking(doc.scope(on), patterns)
+
+
+@strategy
+def pick_from(doc: Doc, other: str, place: int) -> Column:
+    """Element of a list found before."""
+    return F.get(doc.known[other], F.lit(place))
+
+
+# strategies whose result is a list, used by later stages only
+LISTS = {"date_list"}
+
+
 def date_ranking(text: Column, patterns: list[str]) -> Column:
-    found = F.concat(*[find_all(text, p) for p in patterns])
+    found = F.concat(*[find_all(text, p, flags="(?iud)") for p in patterns])
     return votes.top_values(found, 2)
 
 
@@ -238,6 +254,8 @@ def run_recipe(doc: Doc, recipe: Recipe) -> Column:
     params = dict(recipe.params)
     post, exclude = params.pop("post", []), params.pop("exclude_values", None)
     value = STRATEGIES[recipe.strategy](doc, **params)
+    if recipe.strategy in LISTS:
+        return value
     if exclude:
         value = loc.without(value, exclude)
     for name in post:
