@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from fieldloom import model as m
 from fieldloom.functions.amounts import derive_person_type
-from fieldloom.functions.binding import let, let2
+from fieldloom.functions.binding import keep_if, let, let2, regexp_extract
 from fieldloom.functions.checks import is_vehicle_line
-from fieldloom.functions.regex import apply_pattern, extract_value, prepare_column
+from fieldloom.functions.regex import apply_pattern, extract_value, prepare, prepare_column
+from fieldloom.functions.text import strip
 from fieldloom.operators.bounds import fits, join_small, literal, rows_within, salted_join, unpack
 
 MAX_UNROLLED_RULES = 400
@@ -85,6 +86,19 @@ def _rule_method(value: Column) -> Column:
     return F.when(value.isNotNull(), m.METHOD_RULE).otherwise(m.METHOD_NONE)
 
 
+def rule_value(text: Column, pattern: str) -> Column:
+    """Value of a rule, NULL when absent or empty; ordinary patterns are searched once."""
+    ready = prepare(pattern)
+    if ready is not None and (ready.groups == 0 or (ready.groups == 1 and not ready.optional_first)):
+        return strip(regexp_extract(text, ready.java, ready.groups))
+    return apply_pattern(text, pattern)
+
+
+def rule_item(field: str, rule_id: int, value: Column) -> Column:
+    """Field row of a rule; the value is evaluated once."""
+    return let(keep_if(value, lambda v: v != ""), lambda v: _field(field, v, _rule_method(v), rule_id))
+
+
 def rule_fields(docs: DataFrame, rules: DataFrame, text: str = "text", spans: str | None = None,
                 exclude: Column | None = None, as_column: str = "rule_fields") -> DataFrame:
     """Add the results of all rules of the document's product as an array column.
@@ -102,11 +116,11 @@ def rule_fields(docs: DataFrame, rules: DataFrame, text: str = "text", spans: st
     for product_id, group in by_product.items():
         items = []
         for r in group:
-            value = _filled(apply_pattern(F.col(text), r["pattern"]))
+            value = rule_value(F.col(text), r["pattern"])
             if r["bbox"] is not None and spans is not None:
                 box = literal(r["bbox"].asDict(), "struct<page:int,x0:double,top:double,x1:double,bottom:double>")
-                value = F.coalesce(_filled(apply_pattern(zone_text(F.col(spans), box), r["pattern"])), value)
-            item = _field(r["field"], value, _rule_method(value), r["rule_id"])
+                value = F.coalesce(keep_if(rule_value(zone_text(F.col(spans), box), r["pattern"]), lambda v: v != ""), value)
+            item = rule_item(r["field"], r["rule_id"], value)
             items.append(item if exclude is None else F.when(~F.array_contains(exclude, r["field"]), item))
         result = F.when(F.col("product_id") == product_id, F.array_compact(F.array(*items)).cast(FIELDS)).otherwise(result)
     return docs.withColumn(as_column, result)
