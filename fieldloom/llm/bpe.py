@@ -19,10 +19,8 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import regex
-import tiktoken
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -46,6 +44,9 @@ class Codec:
     """Encoder and decoder of one vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str):
+        import regex
+        import tiktoken
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_alphabet()
@@ -79,11 +80,24 @@ class Codec:
         """Ids of one unsplit pre-token or a part of one."""
         return self.core._encode_single_piece(piece)
 
-    def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
-        lengths = self.length[ids]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - (ends - lengths), lengths)
-        return self.bytes[at]
+    def decode_bytes(self, ids: np.ndarray, most: int = 1 << 18) -> bytes:
+        """Bytes of the ids, some at a time because each byte needs a place in memory while it is gathered."""
+        parts = []
+        for i in range(0, len(ids), most):
+            some = ids[i : i + most]
+            lengths = self.length[some]
+            ends = np.cumsum(lengths)
+            parts.append(self.bytes[np.arange(ends[-1]) + np.repeat(self.start[some] - (ends - lengths), lengths)].tobytes())
+        return b"".join(parts)
+
+    def texts(self, column: pa.Array) -> pa.Array:
+        """The text of each list of ids."""
+        ids = column.flatten().to_numpy(zero_copy_only=False)
+        counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        data = self.decode_bytes(ids)
+        ends = np.concatenate([[0], np.cumsum(self.length[ids])])[np.cumsum(counts, dtype=np.int64)].tolist()
+        valid = pc.is_valid(column).to_pylist()
+        return pa.array([data[a:b].decode("utf-8", errors="replace") if ok else None for a, b, ok in zip([0, *ends], ends, valid)], pa.string())
 
     def leaves(self, text: str, leaf: int) -> Iterator[tuple[int, str | None, bytes]]:
         """(run, text to encode, bytes of an unsplit piece) in order; pieces of one run are joined later."""
@@ -155,9 +169,11 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), type=pa.int32()))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long_text: int = LONG_TEXT, leaf: int = LEAF) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long_text: int = LONG_TEXT, leaf: int = LEAF, decoded: bool = False) -> DataFrame:
     """(id, ids array<int>) of every whole text, as the tokenizers library encodes it without added tokens.
 
+    ``decoded``: also the text that its ids decode to, from the same pass.
+
     A null text is the empty text and has no ids.  Rows that repeat are encoded each for
     itself.  Other columns are not looked at.
     """
@@ -167,18 +183,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         own = codec(path)
         for whole in batches:
             for batch in slices(whole, "text"):
-                keys, row, run, ids, text, raw = [], [], [], [], [], []
-                for n, (i, key, value) in enumerate(zip(batch.column("_row").to_pylist(), batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                keys, run, ids, text, raw = [], [], [], [], []
+                for i, key, value in zip(batch.column("_row").to_pylist(), batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     if value is None or len(value) <= long_text:
                         found = [(0, 0, own.encode(value or ""), None, None)]
                     else:
                         found = [(k, r, np.empty(0, np.int32), t, b) for k, (r, t, b) in enumerate(own.leaves(value, leaf), 1)]
                     for k, r, x, t, b in found:
                         keys.append((i, key, k)), run.append(r), ids.append(x), text.append(t), raw.append(b)
-                    row.append(n)
+                lists = _lists(ids)
+                back = own.texts(lists) if decoded else pa.nulls(len(ids), pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], batch.schema.field("id").type), pa.array([k[2] for k in keys], pa.int32()), pa.array(run, pa.int32()), _lists(ids), pa.array(text, pa.string()), pa.array(raw, pa.binary())],
-                    names=["_row", "id", "part", "run", "ids", "text", "raw"],
+                    [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], batch.schema.field("id").type), pa.array([k[2] for k in keys], pa.int32()), pa.array(run, pa.int32()), lists, back, pa.array(text, pa.string()), pa.array(raw, pa.binary())],
+                    names=["_row", "id", "part", "run", "ids", "decoded", "text", "raw"],
                 )
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,24 +204,27 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             ids = [own.encode(t) if t is not None else np.array(own.encode_bytes(b), np.int32) for t, b in zip(batch.column("text").to_pylist(), batch.column("raw").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("_row", "id", "part", "run")] + [_lists(ids)], names=["_row", "id", "part", "run", "ids"])
 
-    def joined(rows: pd.DataFrame) -> pd.DataFrame:
+    def joined(rows):
+        import pandas as pd
+
         own = codec(path)
         how = {"size": lambda t: int(own.length[t]), "data": lambda t: own.bytes[own.start[t] : own.start[t] + own.length[t]].tobytes(), "encode": own.encode_bytes}
         out: list[int] = []
         for _, run in rows.sort_values("part").groupby("run", sort=True):
             out += join_tree([list(map(int, x)) for x in run["ids"]], **how)
-        return pd.DataFrame({"id": rows["id"].iloc[:1], "ids": [out]})
+        return pd.DataFrame({"id": rows["id"].iloc[:1], "ids": [out], "decoded": own.texts(_lists([np.array(out, np.int32)])).to_pylist()})
 
     base = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    shape = f"_row bigint, id {id_type}, part int, run int, ids array<int>, decoded string, text string, raw binary"
+    wanted = [F.col("id").alias(id_col), "ids", *(["decoded"] if decoded else [])]
     if base.filter(F.length("text") > long_text).isEmpty():
-        done = base.mapInArrow(first, f"_row bigint, id {id_type}, part int, run int, ids array<int>, text string, raw binary")
-        return done.select(F.col("id").alias(id_col), "ids")
+        return base.mapInArrow(first, shape).select(*wanted)
     # each leaf of a long text is a row of its own, so one text is encoded by many tasks
-    held = materialize(base.mapInArrow(first, f"_row bigint, id {id_type}, part int, run int, ids array<int>, text string, raw binary"))
+    held = materialize(base.mapInArrow(first, shape))
     leaves = held.filter("part > 0").select("_row", "id", "part", "run", "text", "raw")
     encoded = leaves.repartition("_row", "part").mapInArrow(second, f"_row bigint, id {id_type}, part int, run int, ids array<int>")
-    long_ones = encoded.groupBy("_row").applyInPandas(joined, f"id {id_type}, ids array<int>")
-    return held.filter("part = 0").select("id", "ids").unionByName(long_ones).withColumnRenamed("id", id_col)
+    long_ones = encoded.groupBy("_row").applyInPandas(joined, f"id {id_type}, ids array<int>, decoded string")
+    return held.filter("part = 0").select("id", "ids", "decoded").unionByName(long_ones).select(*wanted)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -214,15 +234,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            column = batch.column(ids_col)
-            lists = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            counts = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            data = own.decode_bytes(lists).tobytes()
-            tokens = np.concatenate([[0], np.cumsum(own.length[lists])])
-            ends = tokens[np.cumsum(counts)]
-            starts = np.concatenate([[0], ends[:-1]])
-            out = [None if not ok else data[a:b].decode("utf-8", errors="replace") for a, b, ok in zip(starts.tolist(), ends.tolist(), pa.compute.is_valid(column).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, own.texts(batch.column(ids_col))], names=[*batch.schema.names, out_col])
 
     return encoded.mapInArrow(texts, schema)
 
@@ -240,7 +252,7 @@ def default_vocabulary() -> str:
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    done = decode(encode(docs, path), path)
+    done = encode(docs, path, decoded=True)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
