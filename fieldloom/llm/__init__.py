@@ -8,7 +8,7 @@ from importlib import import_module
 
 from fieldloom.llm.common import QUERIES, SQL
 
-MODULES = ("bpe", "warc", "sharding", "mixing")
+MODULES = ("bpe", "warc", "sharding", "mixing", "fingerprint")
 
 for _name in MODULES:
     import_module(f"fieldloom.llm.{_name}")
