@@ -147,9 +147,10 @@ def with_next(docs: DataFrame, column: str, made: dict[str, Column], rows_per_ra
     rows = ranged.select("*", *[v.alias(k) for k, v in made.items()])
     next_row = F.struct(column, *made)
     inside = rows.withColumn("next", F.lead(next_row).over(Window.partitionBy("_range").orderBy(F.desc_nulls_last("doc_id"), column)))
+    # a row per range: at most (QUANTILES + 2) * MOST_CUTS
     tops = ranged.groupBy("_range").agg(F.max("doc_id").alias("_top"))
     heads = (
-        ranged.join(tops, "_range").filter(F.col("doc_id").eqNullSafe(F.col("_top")))
+        ranged.join(F.broadcast(tops), "_range").filter(F.col("doc_id").eqNullSafe(F.col("_top")))
         .groupBy("_range").agg(F.min(F.struct(column)).alias("_h")).select("_range", f"_h.{column}")
         .select(F.col("_range").alias("_from"), F.struct(column, *[v.alias(k) for k, v in made.items()]).alias("_head"))
     )
