@@ -11,8 +11,8 @@ prefixes, and breaks ties by a hash of its own.  Any order is exact; the sketch
 decides how many candidates there are.
 
 Copies and groups.  Equal sets are one class, joined as one.  Within the sets that
-share a prefix token (a block) not all pairs are made: first a set is paired with its
-neighbours and a leader, and links that hold give components.  Then only pairs of
+share a prefix token (a block) not all pairs are made: first a set is paired with a
+neighbour, a leader and the block's most central set, and links that hold give components.  Then only pairs of
 different components are left, and all of them are made and verified, so no link
 between components is lost.  A group of near copies costs its size, not its square.
 """
@@ -25,6 +25,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ from fieldloom.operators.bounds import fits, join_small
 
 #: Similarity and words of a shingle when a contract does not say otherwise.
 SIMILARITY, WIDTH = Fraction(4, 5), 5
-#: Token orders, counters of the sketch, blocks up to SMALL sets make all pairs at once, sets led by one.
-ORDERS, SKETCH, SMALL, LED = 2, 1 << 18, 4, 256
+#: Token orders, counters of the sketch and of a part of it, blocks up to SMALL sets make all pairs at once, sets led by one, groups of the spread.
+ORDERS, SKETCH, CHUNK, SMALL, LED, SPREAD = 2, 1 << 20, 1 << 14, 4, 256, 256
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -45,39 +46,61 @@ def prefix_length(n: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def token_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, set_key, n) of every row; texts of one set share set_key; null without words."""
+    """Rows (doc_id, set_key, n, spread) of all documents, and rows (chunk, counts) of the token counts of each task.
+
+    Texts of one set share set_key, which is null without words.  spread: how many tokens of
+    the set fall into each of SPREAD groups; null if one number exceeds a byte.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SKETCH, np.int64)
         for whole in batches:
             for batch in slices(whole, "text"):
                 tokens, counts = shingle_sets(batch.column("text"), width)
+                held += np.bincount(_places(tokens), minlength=SKETCH)
                 ends = np.cumsum(counts)
                 names = [hashlib.sha256(tokens[e - c : e].tobytes()).digest()[:16] if c else None for e, c in zip(ends, counts, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(counts, pa.int64())], names=["doc_id", "set_key", "n"])
+                row = np.repeat(np.arange(len(counts)), counts)
+                spread = np.bincount(row * SPREAD + (tokens % np.uint64(SPREAD)).astype(np.int64), minlength=len(counts) * SPREAD).reshape(-1, SPREAD)
+                spelt = [x.tobytes() if ok else None for x, ok in zip(spread.astype(np.uint8), spread.max(axis=1, initial=0) < 256, strict=True)]
+                nothing = len(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(counts, pa.int64()), pa.array(spelt, pa.binary()), pa.nulls(nothing, pa.int32()), pa.nulls(nothing, pa.binary())],
+                    names=["doc_id", "set_key", "n", "spread", "chunk", "counts"],
+                )
+        parts = [held[i : i + CHUNK].tobytes() for i in range(0, SKETCH, CHUNK)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.binary()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())],
+            names=["doc_id", "set_key", "n", "spread", "chunk", "counts"],
+        )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(keys, "doc_id bigint, set_key binary, n bigint")
+    return rows.mapInArrow(keys, "doc_id bigint, set_key binary, n bigint, spread binary, chunk int, counts binary")
 
 
 def _places(tokens: np.ndarray) -> np.ndarray:
     return (mix(tokens) >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64)
 
 
-def sketch(texts: DataFrame, width: int) -> np.ndarray:
-    """A frequency class for each of SKETCH groups of tokens, counted over all sets."""
+def sketch(counted: DataFrame) -> np.ndarray:
+    """A frequency class for each of SKETCH groups of tokens, from the counts of all tasks.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(SKETCH, np.int64)
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                held += np.bincount(_places(shingle_sets(batch.column("text"), width)[0]), minlength=SKETCH)
-        at = np.nonzero(held)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], names=["i", "c"])
+    Counts are summed in two steps, so that no task sees those of all others.
+    """
 
-    sums = texts.select("text").mapInArrow(count, "i bigint, c bigint").groupBy("i").agg(F.sum("c").alias("c"))
+    def total(part: pa.Table) -> pa.Table:
+        held = np.zeros(CHUNK, np.int64)
+        for x in part.column("counts"):
+            held += np.frombuffer(x.as_py(), np.int64)
+        return pa.table({"chunk": part.column("chunk")[:1], "counts": pa.array([held.tobytes()], pa.binary())})
+
+    rows = counted.filter("chunk IS NOT NULL").select("chunk", "counts", F.pmod(F.xxhash64("counts"), F.lit(256)).alias("_s"))
+    some = rows.groupBy("chunk", "_s").applyInArrow(total, "chunk int, counts binary")
+    sums = some.groupBy("chunk").applyInArrow(total, "chunk int, counts binary")
     out = np.zeros(SKETCH, np.uint8)
-    for r in sums.select("i", F.least(F.lit(255), F.round(6 * F.log2("c"))).cast("int").alias("c")).toArrow().to_batches():  # at most SKETCH rows
-        out[r.column("i").to_numpy()] = r.column("c").to_numpy()
+    classes = lambda x: np.minimum(255, np.round(6 * np.log2(np.maximum(x, 1)))).astype(np.uint8)
+    for r in sums.toLocalIterator():  # SKETCH / CHUNK rows of a fixed size
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = classes(np.frombuffer(r["counts"], np.int64))
     return out
 
 
@@ -122,8 +145,8 @@ def first_pairs(posted: DataFrame, t: Fraction) -> DataFrame:
     """What the blocks give at once: rows (null, id, null, other) are pairs, rows (token, id, n, null) are larger blocks.
 
     The sets of a block stream by in the order of their sizes.  A block of up to SMALL
-    sets makes all its pairs.  In a larger one a set meets the two before it and the
-    leader of its run of LED sets, and leaders meet the leader before.
+    sets makes all its pairs.  In a larger one a set meets the one before it and the
+    leader of its run of LED sets.
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +170,10 @@ def first_pairs(posted: DataFrame, t: Fraction) -> DataFrame:
             large = size[at] > SMALL
             pairs = []
             for back in range(1, SMALL):
-                use = at[(place[at] >= back) & (~large | (back <= 2))]
+                use = at[(place[at] >= back) & (~large | (back == 1))]
                 pairs.append((use, use - back))
             led = at[large & (place[at] % LED > 2)]
             pairs.append((led, led - place[led] % LED))
-            leaders = at[large & (place[at] % LED == 0) & (place[at] > 0)]
-            pairs.append((leaders, leaders - LED))
             x, y = (np.concatenate(c) for c in zip(*pairs, strict=True))
             near = np.minimum(n[x], n[y]) * t.denominator >= np.maximum(n[x], n[y]) * t.numerator
             x, y = ids[x[near]], ids[y[near]]
@@ -175,6 +196,47 @@ def _and_last(batches):
     yield None
 
 
+def possible(pairs: DataFrame, spreads: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs whose spreads allow the similarity: two sets share at most the smaller number of each group.
+
+    Small rows go to the pairs here, so that texts only go to what is left.
+    """
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            good = np.minimum(na, nb) * t.denominator >= np.maximum(na, nb) * t.numerator
+            known = np.nonzero(good & pc.and_(pc.is_valid(batch.column("sa")), pc.is_valid(batch.column("sb"))).to_numpy(zero_copy_only=False))[0]
+            for some in np.array_split(known, max(1, len(known) // 4096)):
+                at = pa.array(some)
+                sa, sb = (np.frombuffer(b"".join(batch.column(c).take(at).to_pylist()), np.uint8).reshape(-1, SPREAD) for c in ("sa", "sb"))
+                common = np.minimum(sa, sb).sum(axis=1, dtype=np.int64)
+                good[some] = common * t.denominator >= (na[some] + nb[some] - common) * t.numerator
+            keep = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = materialize(join_small(spreads, ids, "id", "left_semi"))
+    both = pairs.join(needed.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("spread").alias("sa")), "a")
+    both = both.join(needed.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("spread").alias("sb")), "b")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound, "a bigint, b bigint")
+
+
+def central_pairs(blocks: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs of each set of a larger block with the block's most central one.
+
+    Central: the largest share of the own prefix lies in larger blocks.  Copies with edits of
+    their own have tokens that nobody shares; what they were copied from has none.
+    """
+    held = blocks.groupBy("id").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
+    least = F.ceil(F.col("n") * t.numerator / F.lit(t.denominator))
+    score = held.select("id", (F.col("m") / (F.col("n") - least + 1)).alias("s"))
+    scored = blocks.join(score, "id")
+    hubs = scored.groupBy("token").agg(F.max(F.struct("s", "id", "n")).alias("h")).select("token", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
+    near = F.least("n", "hub_n") * t.denominator >= F.greatest("n", "hub_n") * t.numerator
+    return blocks.join(hubs, "token").filter((F.col("id") != F.col("hub")) & near).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, t: Fraction, classes, orders: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: candidates under the other orders too, then exactly."""
 
@@ -226,23 +288,29 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction =
     through equal sets and the links of the first.  An empty table gives no rows.  Other
     columns are not looked at.
     """
-    sets = materialize(token_sets(docs, width, id_col, text_col))
+    counted = materialize(token_sets(docs, width, id_col, text_col))
+    sets = counted.filter("chunk IS NULL").select("doc_id", "set_key", "n")
     known = sets.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(known.groupBy("set_key").agg(F.min("doc_id").alias("id")))
     # only the first of equal sets is joined; the ids of the others are what is copied or shuffled
     others = sets.select(F.col("doc_id").alias("id")).join(classes.select("id"), "id", "left_anti").filter("id IS NOT NULL").distinct()
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
     texts = texts.join(F.broadcast(others), "id", "left_anti") if fits(others) else materialize(texts.join(others, "id", "left_anti"))
+    spreads = counted.filter("chunk IS NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "n", "spread")
     if not known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").isEmpty():
         texts = materialize(texts.groupBy("id").agg(F.min("text").alias("text")))
-    frequency = docs.sparkSession.sparkContext.broadcast(sketch(texts, width))  # SKETCH bytes, whatever the input
+        spreads = token_sets(texts, width, "id", "text").filter("chunk IS NULL").select(F.col("doc_id").alias("id"), "n", "spread")
+    frequency = docs.sparkSession.sparkContext.broadcast(sketch(counted))  # SKETCH bytes, whatever the input
     met = materialize(first_pairs(postings(texts, width, similarity, frequency), similarity))
-    tried = materialize(met.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct())
-    labels = components(verified(tried, texts, width, similarity, frequency, orders))
     blocks = met.filter("token IS NOT NULL").select("token", "id", "n")
+    first = met.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    tried = materialize(first.unionByName(central_pairs(blocks, similarity)).distinct())
+    likely = materialize(possible(tried, spreads, similarity))
+    labels = components(verified(likely, texts, width, similarity, frequency, orders))
     rest = materialize(cross_pairs(blocks, labels, similarity).join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = materialize(verified(rest, texts, width, similarity, frequency, orders))
+        likely = materialize(possible(rest, spreads, similarity))
+        more = materialize(verified(likely, texts, width, similarity, frequency, orders))
         if not more.isEmpty():
             labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("_c"))
