@@ -13,8 +13,10 @@ decides how many candidates there are.
 Copies and groups.  Equal sets are one class, joined as one.  Within the sets that
 share a prefix token (a block) not all pairs are made: first a set is paired with a
 neighbour, a leader and the block's most central set, and links that hold give components.  Then only pairs of
-different components are left, and all of them are made and verified, so no link
-between components is lost.  A group of near copies costs its size, not its square.
+different components are left.  They are compared by sizes and spreads in cells of
+bounded size, and those that can be similar are verified, so no link between components
+is lost.  A group of linked copies costs its size; only sets that share a prefix token
+and are not linked are compared each with each, a few hundred bytes a set.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ from fieldloom.operators.bounds import fits, join_small
 
 #: Similarity and words of a shingle when a contract does not say otherwise.
 SIMILARITY, WIDTH = Fraction(4, 5), 5
-#: Token orders, counters of the sketch and of a part of it, blocks up to SMALL sets make all pairs at once, sets led by one, groups of the spread.
-ORDERS, SKETCH, CHUNK, SMALL, LED, SPREAD = 2, 1 << 20, 1 << 14, 4, 256, 256
+#: Token orders, counters of the sketch and of a part of it, blocks up to SMALL sets make all pairs at once, sets led by one, groups of the spread, sets in a part of a block.
+ORDERS, SKETCH, CHUNK, SMALL, LED, SPREAD, TILE = 2, 1 << 20, 1 << 14, 4, 256, 256, 512
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -196,8 +198,14 @@ def _and_last(batches):
     yield None
 
 
+def may_be_similar(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray, t: Fraction) -> np.ndarray:
+    """Whether sizes and spreads allow the similarity: two sets share at most the smaller number of each group."""
+    common = np.minimum(sa, sb).sum(axis=1, dtype=np.int64)
+    return common * t.denominator >= (na + nb - common) * t.numerator
+
+
 def possible(pairs: DataFrame, spreads: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs whose spreads allow the similarity: two sets share at most the smaller number of each group.
+    """The pairs whose sizes and spreads allow the similarity.
 
     Small rows go to the pairs here, so that texts only go to what is left.
     """
@@ -210,8 +218,7 @@ def possible(pairs: DataFrame, spreads: DataFrame, t: Fraction) -> DataFrame:
             for some in np.array_split(known, max(1, len(known) // 4096)):
                 at = pa.array(some)
                 sa, sb = (np.frombuffer(b"".join(batch.column(c).take(at).to_pylist()), np.uint8).reshape(-1, SPREAD) for c in ("sa", "sb"))
-                common = np.minimum(sa, sb).sum(axis=1, dtype=np.int64)
-                good[some] = common * t.denominator >= (na[some] + nb[some] - common) * t.numerator
+                good[some] = may_be_similar(na[some], nb[some], sa, sb, t)
             keep = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
@@ -261,20 +268,60 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, t: Fraction, classe
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint")
 
 
-def cross_pairs(blocks: DataFrame, labels: DataFrame, t: Fraction) -> DataFrame:
-    """All pairs of different components in the blocks that still hold several.
+def cross_pairs(blocks: DataFrame, labels: DataFrame, spreads: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs of different components within a block whose sizes and spreads allow the similarity.
 
-    The largest component of a block needs no pairs within itself: the sets of all
-    others meet every set of the block.
+    Only blocks that still hold several components are looked at.  A block is cut into
+    parts of about TILE sets, and each two parts meet in a cell of their own, so no task
+    holds a whole block; a cell compares numbers and hands on the pairs that can be similar.
     """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _and_last(batches):
+            if batch is not None:
+                rows = pa.Table.from_batches([batch])
+                held = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            if held is None or not held.num_rows:
+                continue
+            token, i, j, part, ids, n, c = (held.column(k).to_numpy() for k in ("token", "i", "j", "part", "id", "n", "c"))
+            n = n.astype(np.int64)
+            fresh = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            starts = np.concatenate([[0], np.nonzero(fresh)[0] + 1])
+            ends = np.append(starts[1:], len(token))
+            if batch is not None:  # more rows of the last cell may come
+                starts, ends = starts[:-1], ends[:-1]
+            known = pc.is_valid(held.column("spread")).to_numpy()
+            nothing = bytes(SPREAD)
+            spread = np.frombuffer(b"".join(x or nothing for x in held.column("spread").to_pylist()), np.uint8).reshape(-1, SPREAD)
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for s, e in zip(starts, ends, strict=True):
+                at = slice(s, e)
+                meets = (c[at, None] != c[None, at]) & (np.minimum.outer(n[at], n[at]) * t.denominator >= np.maximum.outer(n[at], n[at]) * t.numerator)
+                if i[s] != j[s]:
+                    meets &= part[at, None] != part[None, at]
+                xs, ys = np.nonzero(np.triu(meets, 1))
+                for k in range(0, len(xs), 4096):
+                    x, y = xs[k : k + 4096] + s, ys[k : k + 4096] + s
+                    good = may_be_similar(n[x], n[y], spread[x], spread[y], t) | ~known[x] | ~known[y]
+                    left.append(ids[x[good]])
+                    right.append(ids[y[good]])
+            x, y = np.concatenate(left), np.concatenate(right)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            held = held.slice(ends[-1] if len(ends) else 0)
+
     base = blocks.join(labels, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("c"))
     each = base.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
-    mixed = each.groupBy("token").agg(F.max_by("c", F.struct("m", "c")).alias("major"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", "major")
-    held = materialize(base.join(mixed, "token"))
-    left = held.filter("c <> major").select("token", "id", "n", "c")
-    right = held.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    met = left.join(right, "token").filter((F.col("c") != F.col("c2")) & (F.least("n", "n2") * t.denominator >= F.greatest("n", "n2") * t.numerator))
-    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    mixed = each.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.ceil(F.sum("m") / F.lit(TILE)).cast("int").alias("parts")).filter("k > 1").select("token", "parts")
+    rows = materialize(base.join(mixed, "token"))
+    needed = materialize(join_small(spreads, rows.select("id").distinct(), "id", "left_semi"))
+    cells = (
+        rows.join(needed.select("id", "spread"), "id")
+        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("token", F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j"), "part", "id", "n", "c", "spread")
+    )
+    return cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction = SIMILARITY, orders: int = ORDERS,
@@ -307,10 +354,9 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction =
     tried = materialize(first.unionByName(central_pairs(blocks, similarity)).distinct())
     likely = materialize(possible(tried, spreads, similarity))
     labels = components(verified(likely, texts, width, similarity, frequency, orders))
-    rest = materialize(cross_pairs(blocks, labels, similarity).join(tried, ["a", "b"], "left_anti"))
+    rest = materialize(cross_pairs(blocks, labels, spreads, similarity).join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        likely = materialize(possible(rest, spreads, similarity))
-        more = materialize(verified(likely, texts, width, similarity, frequency, orders))
+        more = materialize(verified(rest, texts, width, similarity, frequency, orders))
         if not more.isEmpty():
             labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("_c"))

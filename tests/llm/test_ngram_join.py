@@ -74,6 +74,24 @@ def test_small_blocks_too(spark, monkeypatch):
     assert sorted(tuple(r) for r in nj.ngram_components(docs, 4, Fraction(85, 100)).collect()) == brute(rows, 4, Fraction(85, 100))
 
 
+def test_blocks_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(nj, "TILE", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for k in range(150):
+        body = list(base)
+        for _ in range(rng.randint(1, 6)):
+            body[rng.randrange(len(body))] = f"e{rng.randrange(9)}"
+        rows.append((k, " ".join(body)))
+    docs = spark.createDataFrame([(i, t_, 1, "") for i, t_ in rows], SCHEMA)
+    try:
+        assert sorted(tuple(r) for r in nj.ngram_components(docs, 4, Fraction(85, 100)).collect()) == brute(rows, 4, Fraction(85, 100))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_odd_tables(spark):
     assert nj.ngram_components(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(None, "a b c d e f", 1, ""), (3, "a b c d e f", 1, ""), (3, "a b c d e f", 1, ""), (2, "a B c d e f", 1, ""), (9, "long " * 30000 + "end", 1, "")]
