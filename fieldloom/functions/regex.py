@@ -23,6 +23,14 @@ from fieldloom.functions.text import present, strip
 SEARCH_FLAGS = "(?imuUd)"
 
 
+#: A quantifier in braces; any other brace stands for itself.
+BRACES = re.compile(r"\{(?:(\d+)(,\d*)?|,(\d*))\}")
+
+
+class Untranslatable(ValueError):
+    """A construct that Java's engine does not have."""
+
+
 @dataclass(frozen=True)
 class Pattern:
     """A usable pattern: Java source, number of groups, may group 1 be skipped."""
@@ -33,24 +41,48 @@ class Pattern:
     optional_first: bool
 
 
-def is_valid(pattern: str | None) -> bool:
-    """True if the pattern compiles."""
+def refusal(pattern: str | None) -> str | None:
+    """Why a pattern cannot be used: broken, or without a counterpart in the engine; ``None`` if it can."""
     if pattern is None:
-        return False
+        return "no pattern"
     try:
         re.compile(pattern)
-    except (re.error, OverflowError, RecursionError):
-        return False
-    return True
+        to_java(pattern)
+    except (re.error, OverflowError, RecursionError, Untranslatable) as e:
+        return str(e)
+    return None
+
+
+def is_valid(pattern: str | None) -> bool:
+    """True if the pattern compiles and the engine has a counterpart for all of it."""
+    return refusal(pattern) is None
+
+
+def _plain_names(names: list[str]) -> dict[str, str]:
+    """Names of letters and digits for groups whose own names have other characters."""
+    plain: dict[str, str] = {}
+    for k, name in enumerate(names):
+        plain[name] = name if re.fullmatch(r"[a-zA-Z][a-zA-Z0-9]*", name) else f"named{k}"
+        while plain[name] != name and plain[name] in names:
+            plain[name] += "x"
+    return plain
 
 
 def to_java(pattern: str) -> str:
-    """Rewrite the few constructs that Python and Java spell differently."""
+    """Rewrite the constructs that Python and Java spell differently; raises ``Untranslatable`` for what Java lacks."""
+    names = _plain_names(re.findall(r"\(\?P<(\w+)>", pattern))
     out: list[str] = []
     i, in_class = 0, False
     while i < len(pattern):
         two = pattern[i : i + 2]
         if pattern[i] == "\\":
+            wide = re.match(r"\\U([0-9a-fA-F]{8})|\\0([0-7]{0,2})", pattern[i:])
+            if wide:
+                out.append(f"\\x{{{int(wide[1], 16) if wide[1] else int(wide[2] or '0', 8):x}}}")
+                i += wide.end()
+                continue
+            if two == "\\v" or (two == "\\b" and in_class):
+                two = "\\x0B" if two == "\\v" else "\\x08"
             out.append("\\z" if two == "\\Z" and not in_class else two)
             i += 2
             continue
@@ -71,14 +103,27 @@ def to_java(pattern: str) -> str:
             i += len(head)
             continue
         if pattern.startswith("(?P<", i):
-            out.append("(?<")
-            i += 4
+            end = pattern.index(">", i)
+            out.append("(?<" + names.get(pattern[i + 4 : end], pattern[i + 4 : end]) + ">")
+            i = end + 1
             continue
         if pattern.startswith("(?P=", i):
             end = pattern.index(")", i)
-            out.append("\\k<" + pattern[i + 4 : end] + ">")
+            out.append("\\k<" + names.get(pattern[i + 4 : end], pattern[i + 4 : end]) + ">")
             i = end + 1
             continue
+        if pattern.startswith("(?#", i):
+            i = pattern.index(")", i) + 1
+            continue
+        if pattern.startswith("(?(", i):
+            raise Untranslatable("conditional group")
+        if re.match(r"\(\?[a-zA-Z]*[aL]", pattern[i:]):
+            raise Untranslatable("ASCII or locale flag")
+        if pattern[i] == "{":
+            braces = BRACES.match(pattern, i)
+            out.append("\\{" if not braces else "{0," + braces[3] + "}" if braces[1] is None else braces[0])
+            i = braces.end() if braces else i + 1
+            continue
         out.append(pattern[i])
         i += 1
     return "".join(out)
@@ -109,9 +154,10 @@ def extract_value(text: Column, java: Column, groups: Column, optional_first: Co
     whole = regexp_extract(text, java, F.lit(0))
     first = regexp_extract(text, java, F.least(groups, F.lit(1)))
     second = regexp_extract(text, java, F.least(groups, F.lit(2)))
+    later = F.exists(F.sequence(F.lit(3), F.greatest(groups, F.lit(3))), lambda k: regexp_extract(text, java, F.least(groups, k)) != "")
     value = (
         F.when((groups == 0) | (first != ""), first)
-        .when((groups >= 2) & (second != ""), F.lit(None).cast("string"))
+        .when(((groups >= 2) & (second != "")) | ((groups >= 3) & later), F.lit(None).cast("string"))
         .when(optional_first, whole)
         .otherwise(first)
     )

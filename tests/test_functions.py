@@ -125,3 +125,18 @@ def test_small_parsers(evaluate):
     assert str(evaluate(amounts.to_date, "18/Ago/2026")) == "2026-08-18"
     assert evaluate(text.fleet_heading, "x FLOTILLAS AMPLIA") == "Flotilla de Vehiculos"
     assert evaluate(lambda t, v: text.context_window(t, v, 2), "abcDEfgh", "de") == "bcDEfg"
+
+
+@pytest.mark.parametrize(
+    ("pattern", "text", "value"),
+    [
+        (r"(?P<num_poliza>\d+)", "n 123", "123"), (r"(?P<a_b>x)(?P=a_b)", "xx", "x"), (r"\d{,3}z", "12z", "12z"), (r"(?#note)\d+", "n 7", "7"), (r"a{x", "a{x", "a{x"),
+        (r"(zz)|(yy)|(c9)", "xx c9", None), (r"(P)?(?(1)a|b)", "Pa", None), (r"(?a)\w+", "abc", None), (r"\U00000041b", "ab", "ab"),
+    ],
+)
+def test_python_only_patterns(spark, pattern, text, value):
+    rows = spark.createDataFrame([(text, pattern)], "t string, p string")
+    ready = regex.prepare_column(F.col("p"))
+    per_row = rows.withColumn("r", ready).select(regex.extract_value(F.col("t"), F.col("r.java"), F.col("r.groups"), F.col("r.optional_first")).alias("v"))
+    assert rows.select(regex.apply_pattern(F.col("t"), pattern).alias("v")).first()["v"] == value
+    assert per_row.first()["v"] == value
