@@ -29,10 +29,13 @@ from fieldloom.operators.bounds import fits
 
 #: Key of the digests, most rounds of new surrogates.
 KEY, ROUNDS = "surrogate-key", 40
+#: Stands around entities while a text is cut.
+MARK = "\x01"
 #: Type and shape of the entities, the first that fits wins.
 SHAPES = (
-    ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
-    ("secret", r"(?i:(?<=token = \")|(?<=password = \")|(?<=secret = \")|(?<=api_key = \")|(?<=token=)|(?<=token: ))[A-Za-z0-9+/=_\-]{16,}"),
+    # only a run's first letter, or what follows another entity, is tried as the start of an address
+    ("email", r"(?:(?<![A-Za-z0-9._%+\-])|\G)[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
+    ("secret", r"(?<=[\"= ])(?i:(?<=token = \")|(?<=password = \")|(?<=secret = \")|(?<=api_key = \")|(?<=token=)|(?<=token: ))[A-Za-z0-9+/=_\-]{16,}"),
     ("secret", r"\b(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b"),
     ("secret", r"\b(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{40}\b"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -57,8 +60,13 @@ ENDING = {"latin": ("a", "n"), "cyrillic": ("а", "н"), "greek": ("α", "ν")}
 
 
 def pattern() -> str:
-    """All shapes as one pattern."""
-    return "|".join(shape for _, shape in SHAPES)
+    """All shapes as one pattern.
+
+    Within a word nothing starts but an address of numbers after a letter, or what follows another
+    entity, so the shapes are tried at few places.
+    """
+    ip = next(shape for kind, shape in SHAPES if kind == "ip")
+    return r"(?=[A-Za-z0-9._%+\-(/=])(?:(?<![A-Za-z0-9])|\G)(?:" + "|".join(shape for _, shape in SHAPES) + rf")|(?=\d)(?<=[A-Za-z])(?:{ip})"
 
 
 def kind_of(entity: Column) -> Column:
@@ -168,6 +176,16 @@ def entities_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({pattern()})"), F.lit(1)), F.array().cast("array<string>"))
 
 
+def parts_of(text: Column) -> Column:
+    """What stands between entities and the entities in turn, from one search; no part at all for null.
+
+    Entities are marked and the text cut at the marks; a text that holds the mark itself is searched twice.
+    """
+    marked = F.split(F.regexp_replace(text, F.lit(f"({pattern()})"), F.lit(f"{MARK}$1{MARK}")), MARK, -1)
+    both = let(entities_of(text), lambda found: F.flatten(F.transform(F.split(text, pattern(), -1), lambda x, i: F.when(i < F.size(found), F.array(x, F.get(found, i))).otherwise(F.array(x)))))
+    return F.coalesce(F.when(F.contains(text, F.lit(MARK)), both).otherwise(marked), F.array().cast("array<string>"))
+
+
 def collisions(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(entity, attempt) of the entities whose first surrogate is taken.  ``entities``: distinct spellings.
 
@@ -204,23 +222,22 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives no rows, all other columns are kept (one named like ``count_col`` is replaced).
     """
     kept = [c for c in docs.columns if c != count_col]
-    spelt = docs.select(F.explode_outer(F.array_distinct(entities_of(F.col(text_col)))).alias("entity")).filter(F.col("entity").isNotNull()).distinct()
-    spelt = materialize(spelt)
+    found = F.explode_outer(F.array_distinct(entities_of(F.col(text_col)))).alias("entity")
+    occurring = materialize(docs.select(F.col(id_col).alias("_id"), found).filter(F.col("entity").isNotNull()))
+    spelt = materialize(occurring.select("entity").distinct())
     odd = collisions(spelt, key)
-    base = docs.select(*kept).withColumn("_found", entities_of(F.col(text_col)))
+    base = docs.select(*kept)
     if odd.isEmpty():
         base = base.withColumn("_odd", F.lit(None).cast("map<string,int>"))
     else:
         spellings = spelt.withColumn("kind", kind_of(F.col("entity"))).withColumn("form", normal_form(F.col("entity"), F.col("kind"))).join(odd, ["kind", "form"]).select("entity", "attempt")
-        hit = base.select(F.col(id_col).alias("_id"), F.explode("_found").alias("entity")).distinct().join(spellings, "entity")
+        hit = occurring.join(spellings, "entity")
         per_doc = materialize(hit.groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("_odd")))
         base = base.join(F.broadcast(per_doc) if fits(per_doc) else per_doc, base[id_col].eqNullSafe(per_doc["_id"]), "left").drop("_id")
-    gaps = F.split(F.col(text_col), pattern(), -1)
     attempt = lambda e: F.coalesce(F.get(F.filter(F.map_entries("_odd"), lambda x: x["key"] == e), F.lit(0))["value"], F.lit(0))
-    new = F.transform("_found", lambda e: surrogate(e, attempt(e), key))
-    rebuilt = let(gaps, lambda g: let(new, lambda n: F.array_join(F.transform(g, lambda x, i: F.concat(x, F.coalesce(F.get(n, i), F.lit("")))), "")))
-    text = F.when(F.size("_found") > 0, rebuilt).otherwise(F.col(text_col))
-    out = base.withColumn("_text", text).withColumn("_n", F.size("_found"))
+    rebuilt = F.array_join(F.transform("_parts", lambda x, i: F.when(i % 2 == 1, surrogate(x, attempt(x), key)).otherwise(x)), "")
+    text = F.when(F.size("_parts") > 1, rebuilt).otherwise(F.col(text_col))
+    out = base.withColumn("_parts", parts_of(F.col(text_col))).withColumn("_text", text).withColumn("_n", F.coalesce(F.floor(F.size("_parts") / 2), F.lit(0)).cast("int"))
     columns = [F.col("_text").alias(text_col) if c == text_col else F.col(c) for c in kept]
     return out.select(*columns, *([F.col("_n").alias(count_col)] if count_col else []))
 
