@@ -64,3 +64,12 @@ def test_empty_table_and_native_plan(spark):
     assert out.count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_parts_with_and_without_the_mark(spark):
+    plain = "v1.2.3.4 (555) 123-4567user@x.com, aMr. Bob 12Dr. Who /Dr. No"
+    rows = [(1, plain), (2, plain + pii.MARK), (3, ""), (4, None)]
+    out = spark.createDataFrame(rows, "doc_id bigint, text string").select("doc_id", pii.parts_of(F.col("text")).alias("parts")).orderBy("doc_id").collect()
+    found = ["1.2.3.4", "(555) 123-4567", "user@x.com", "Dr. No"]
+    assert [r["parts"][1::2] for r in out] == [found, found, [], []]
+    assert ["".join(r["parts"]) for r in out] == [plain, plain + pii.MARK, "", ""]
