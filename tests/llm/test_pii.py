@@ -73,3 +73,53 @@ def test_parts_with_and_without_the_mark(spark):
     found = ["1.2.3.4", "(555) 123-4567", "user@x.com", "Dr. No"]
     assert [r["parts"][1::2] for r in out] == [found, found, [], []]
     assert ["".join(r["parts"]) for r in out] == [plain, plain + pii.MARK, "", ""]
+
+
+def _texts(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [r["text"] for r in pii.replace_pii(docs).orderBy("doc_id").collect()]
+
+
+def test_persons_of_one_last_name_stay_apart(spark):
+    both, one, other, alone, women = _texts(spark, [
+        "Mr John Smith, Mr Bob Smith, Mr Smith", "Mr John Smith; Mr. Smith; Herr JOHN SMITH", "Mr Smith of Mr Bob Smith and Mrs Smith", "Mr Smith", "Mrs Ann Smith, Miss Smith, Mr Smith",
+    ])
+    john, bob, unclear = both.split(", ")
+    assert john != bob and john.split()[2] != bob.split()[2] and len({john.split()[2], bob.split()[2], unclear.split()[1]}) == 3
+    assert one == f"{john}; Mr. {john.split()[2]}; Herr {john.split(' ', 1)[1]}"
+    assert other.startswith(f"Mr {bob.split()[2]} of {bob} and Mrs ") and other.split()[-1] != bob.split()[2]
+    # without one full name to stand for, a mention is a person of its own everywhere
+    assert alone == unclear and women.split(", ")[2] == unclear and women.split(", ")[1] == f"Miss {women.split(', ')[0].split()[2]}"
+
+
+def test_a_phone_has_one_surrogate_in_all_spellings(spark):
+    spelt = ["+1 415 555 2671", "+14155552671", "+1 (415) 555-2671", "+44 20 7946 0958", "+442079460958", "+351 21 123 4567", "+351211234567", "(415) 555-2671", "415-555-2671", "+41 5555 2671", "+0 415 555 2671"]
+    new = _texts(spark, spelt)
+    digits = [re.sub("[^+0-9]", "", x) for x in new]
+    assert [re.sub("[0-9]", "9", x) for x in new] == [re.sub("[0-9]", "9", x) for x in spelt]
+    assert digits[0] == digits[1] == digits[2] and digits[3] == digits[4] and digits[5] == digits[6] and digits[7] == digits[8]
+    assert [d[:n] for d, n in zip(digits, (2, 2, 2, 3, 3, 4, 4), strict=False)] == ["+1", "+1", "+1", "+44", "+44", "+351", "+351"]
+    assert len(set(digits)) == 6 and digits[9].startswith("+41") and digits[9][1:] != digits[7]
+
+
+def test_all_spellings_are_compared(spark, monkeypatch):
+    """The surrogate of a spelling that is not the smallest one of its entity is taken by another entity."""
+    taken = {("A@x.org", 0): "one@ex.org", ("a@x.org", 0): "same@ex.org", ("b@x.org", 0): "same@ex.org"}
+
+    def made(e, n, key="k"):
+        new = F.concat(F.lower(e), F.lit("-"), n.cast("string"))
+        for (entity, attempt), to in taken.items():
+            new = F.when((e == entity) & (n == attempt), to).otherwise(new)
+        return new
+
+    monkeypatch.setattr(pii, "surrogate", made)
+    a, upper, b = _texts(spark, ["a@x.org", "A@x.org", "b@x.org"])
+    assert a != b and upper != b
+
+
+def test_names_do_not_run_out(spark, monkeypatch):
+    """Few syllables give few last names; longer ones follow until all persons differ."""
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba", "be", "bi"])
+    persons = [f"Mr {chr(65 + i % 26)}x Y{chr(97 + i // 26)}z" for i in range(130)]
+    new = _texts(spark, persons)
+    assert len({x.split()[2] for x in new}) == 130
