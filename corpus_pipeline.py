@@ -30,12 +30,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return labelled.filter((F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """The rows with a key ``_row`` of their own, made once and written; ids may be null or repeat."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; rows that repeat an id stay once."""
-    groups = ngram_join.ngram_components(docs, WIDTH, SIMILARITY)
-    gone = materialize(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    """Keeps one row of each group of near copies, that with the smallest id, a null one last.
+
+    Rows are grouped by their texts, whatever their ids: copies under one id or without one stay once,
+    different texts under one id stay apart.  Without words nothing is a near copy, only a repeated id is.
+    """
+    rows = with_row_key(docs)
+    groups = ngram_join.ngram_components(rows.select("_row", "text"), WIDTH, SIMILARITY, id_col="_row").withColumnRenamed("doc_id", "_key")
+    named = groups.join(rows.select("_row", "doc_id"), F.col("_key") == F.col("_row"))
+    repeated = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    named = materialize(named.select("_row", "doc_id", F.when(~repeated, F.col("component_id")).alias("_group"), F.when(repeated, F.col("doc_id")).alias("_same")))
+    first = named.groupBy("_group", "_same").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    gone = materialize(named.select("_row").join(first.select(F.col("first._row").alias("_row")), "_row", "left_anti"))
     gone = F.broadcast(gone) if fits(gone) else gone
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +59,12 @@ def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it, a last partial use included; one that is not taken goes."""
-    taken = mixing.mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times")).distinct()
+    """Repeats each row as often as the mix takes it, a last partial use included; one that is not taken goes."""
+    rows = with_row_key(docs)
+    taken = mixing.mix(rows, kept=("_row",)).filter("taken > 0").select("_row", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
     taken = materialize(taken)
     taken = F.broadcast(taken) if fits(taken) else taken
-    rows = docs.join(taken, docs["doc_id"] == F.col("_id"))
+    rows = rows.join(taken, "_row")
     return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 

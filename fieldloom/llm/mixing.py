@@ -67,19 +67,19 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken) of every row.
+        weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, buckets: int = BUCKETS, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source, source_size, target, taken) of every row, then its columns ``kept``.
 
     ``taken``: words of the document in the mix, complete epochs included; the last
     document of a source's sample gives only the words still missing.  A null text has
     no words and is never taken; null is a source, the last one; ties of keys and rows
-    that repeat are ordered by id, then size.  An empty table gives no rows.  Other
-    columns are not looked at.
+    that repeat are ordered by id, then size, then the columns ``kept``.  An empty table
+    gives no rows.  Other columns are not looked at.
     """
     text = F.col(text_col)
     key = -F.log(uniform(F.col(id_col), seed)) / quality_weight(text)
     sized = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), key.alias("_key"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), key.alias("_key"), *kept)
         # half the rate spreads keys of all weights over the buckets
         .withColumn("_bucket", F.floor(buckets * (1 - F.exp(-F.col("_key") / 2))).cast("int"))
     )
@@ -88,14 +88,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     known = sums.withColumn("_before", before).drop("_n").join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     known = known.withColumnRenamed("source", "_source").withColumnRenamed("_bucket", "_b")
-    inside = F.sum("size").over(Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("size").over(Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", *kept).rowsBetween(Window.unboundedPreceding, -1))
     rows = sized.withColumn("_inside", F.coalesce(inside, F.lit(0)))
     # a row per source and bucket on this side
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     budget = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
     more = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("_before") - F.col("_inside")))
-    return rows.select("doc_id", "size", "source", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "source", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"), *kept)
 
 
 SIZED = f"""
