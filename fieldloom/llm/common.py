@@ -19,7 +19,7 @@ SQL: dict[str, str] = {}
 WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["LOWER", "QUERIES", "SQL", "UPPER", "WORD", "ascii_lower", "materialize", "query", "shared_dir", "slices", "table"]
+__all__ = ["LOWER", "QUERIES", "SQL", "UPPER", "WORD", "ascii_lower", "materialize", "query", "shared_dir", "slices", "table", "unused"]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -38,6 +38,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until none of the columns has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case of A-Z alone."""
     return F.translate(text, UPPER, LOWER)

@@ -35,5 +35,5 @@ def test_query_equals_sql(spark, name):
     assert rows_of(df.columns, df.collect()) == rows_of(relation.columns, relation.fetchall())
 
 
-def test_all_ten_are_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_are_there():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 12))
