@@ -8,7 +8,7 @@ from importlib import import_module
 
 from fieldloom.llm.common import QUERIES, SQL
 
-MODULES = ("bpe", "warc", "sharding", "mixing", "fingerprint", "ngram_join", "url_filter", "embedding_dedup", "language", "pii", "importance", "vector_codes")
+MODULES = ("bpe", "warc", "sharding", "mixing", "fingerprint", "ngram_join", "url_filter", "embedding_dedup", "language", "pii", "importance", "vector_codes", "toxicity")
 
 for _name in MODULES:
     import_module(f"fieldloom.llm.{_name}")
