@@ -38,7 +38,7 @@ FEATURES, GRAM, PREFIX, SUFFIX = 1 << 17, 3, 9, 6
 #: Rows a label is learned from, characters of each, texts a word or n-gram must be in, words of a shingle by which copies are told.
 SAMPLE, SPAN, LEAST, SHINGLE = 2500, 3000, 4, 5
 #: Searches for the highest windows, passes after each, windows of a step, step sizes, share of words left to their n-grams, standard errors taken off log odds, seed.
-SEARCHES, PASSES, GROUP, RATE, WORD_RATE, DROP, DOUBT, SEED = 4, 2, 64, 0.01, 0.003, 0.3, 2.0, 11
+SEARCHES, PASSES, GROUP, RATE, WORD_RATE, DROP, DOUBT, SEED = 4, 2, 64, 0.01, 0.003, 0.3, 1.2, 11
 #: A text is predicted toxic from this score on.
 THRESHOLD = 0.7
 #: Windows read at a time, bytes of text a task holds as words.
