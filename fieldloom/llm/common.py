@@ -51,7 +51,7 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose text column holds about ``max_bytes``; a longer row stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
@@ -62,3 +62,4 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iter
         held += size
     if start < batch.num_rows:
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # workers live on from stage to stage
