@@ -28,8 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.functions.binding import let
-from fieldloom.llm.common import materialize, query, table
+from fieldloom.functions.binding import let, let2
+from fieldloom.llm.common import materialize, query, table, unused
 from fieldloom.operators.bounds import fits
 
 #: Key of the digests, most rounds of new surrogates.
@@ -38,8 +38,9 @@ KEY, ROUNDS = "surrogate-key", 40
 MARK = "\x01"
 #: Type and shape of the entities, the first that fits wins.
 SHAPES = (
+    # groups are repeated a bounded number of times, because Java's engine recurses for each (a host has at most 127 labels of 63 letters)
     # only a run's first letter, or what follows another entity, is tried as the start of an address
-    ("email", r"(?:(?<![A-Za-z0-9._%+\-])|\G)[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"(?:(?<![A-Za-z0-9._%+\-])|\G)[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]{1,63}+\.){1,127}[A-Za-z]{2,63}"),
     ("secret", r"(?<=[\"= ])(?i:(?<=token = \")|(?<=password = \")|(?<=secret = \")|(?<=api_key = \")|(?<=token=)|(?<=token: ))[A-Za-z0-9+/=_\-]{16,}"),
     ("secret", r"\b(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b"),
     ("secret", r"\b(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{40}\b"),
@@ -217,11 +218,14 @@ def _spread(entity: Column, kind: Column, form: Column, attempt: Column, key: st
         kept = kept_length(form, kind)
         filled = F.concat(F.substr(bare, F.lit(1), kept), _refilled(F.substr(bare, kept + 1, F.length(bare)), stream))
         # filled without separators, which are put back where they stood
-        return let(filled, lambda new: F.aggregate(
-            F.split(entity, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-            lambda acc, c: F.when(F.rlike(c, F.lit("[0-9A-Za-z]")), F.struct(F.concat(acc["out"], F.substr(new, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at"))),
-            lambda acc: acc["out"],
-        ))
+        is_letter = lambda x: F.rlike(x["c"], F.lit("[0-9A-Za-z]"))
+
+        def put_back(new: Column, old: Column) -> Column:
+            letters = F.transform(F.filter(old, is_letter), lambda x, k: F.struct(x["i"].alias("i"), F.get(new, k).alias("c")))
+            return F.array_join(F.transform(F.array_sort(F.concat(letters, F.filter(old, lambda x: ~is_letter(x)))), lambda x: x["c"]), "")
+
+        places = F.transform(F.split(entity, ""), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+        return let2(F.split(filled, ""), places, put_back)
 
     return let(_long(kind, form, attempt, key), fill)
 
@@ -291,22 +295,24 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows with replaced entities in the text, and how many were replaced.
 
     A null text stays null with no entities; rows that repeat get the same result, an empty
-    table gives no rows, all other columns are kept (one named like ``count_col`` is replaced).
+    table gives no rows, all other columns are kept, whatever their names (one named like ``count_col`` is replaced).
     """
     kept = [c for c in docs.columns if c != count_col]
+    names = [*docs.columns, count_col or ""]
+    key_, odd_, parts_, text_, n_ = (unused(names, c) for c in ("_id", "_odd", "_parts", "_text", "_n"))
     found = F.explode_outer(F.array_distinct(entities_of(F.col(text_col)))).alias("entity")
-    occurring = materialize(docs.select(F.col(id_col).alias("_id"), found).filter(F.col("entity").isNotNull()))
+    occurring = materialize(docs.select(F.col(id_col).alias(key_), found).filter(F.col("entity").isNotNull()))
     spelt = materialize(occurring.select("entity").distinct())
     odd = collisions(spelt, key)
     base = docs.select(*kept)
     if odd.isEmpty():
-        base = base.withColumn("_odd", F.lit(None).cast("map<string,int>"))
+        base = base.withColumn(odd_, F.lit(None).cast("map<string,int>"))
     else:
         spellings = spelt.withColumn("kind", kind_of(F.col("entity"))).withColumn("form", normal_form(F.col("entity"), F.col("kind"))).join(odd, ["kind", "form"]).select("entity", "attempt")
         hit = occurring.join(spellings, "entity")
-        per_doc = materialize(hit.groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("_odd")))
-        base = base.join(F.broadcast(per_doc) if fits(per_doc) else per_doc, base[id_col].eqNullSafe(per_doc["_id"]), "left").drop("_id")
-    attempt = lambda e: F.coalesce(F.get(F.filter(F.map_entries("_odd"), lambda x: x["key"] == e), F.lit(0))["value"], F.lit(0))
+        per_doc = materialize(hit.groupBy(key_).agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias(odd_)))
+        base = base.join(F.broadcast(per_doc) if fits(per_doc) else per_doc, base[id_col].eqNullSafe(per_doc[key_]), "left").drop(key_)
+    attempt = lambda e: F.coalesce(F.get(F.filter(F.map_entries(odd_), lambda x: x["key"] == e), F.lit(0))["value"], F.lit(0))
 
     def replaced(full: Column) -> Column:
         def one(x: Column) -> Column:
@@ -315,13 +321,13 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             made = lambda who: let(surrogate(who, attempt(who), key), lambda new: F.when(who == x, new).otherwise(F.concat(F.regexp_extract(x, r"^(\S+ )", 1), F.regexp_extract(new, r"(\S+)$", 1))))
             return let(F.coalesce(person, x), made)
 
-        return F.transform("_parts", lambda x, i: F.when(i % 2 == 1, one(x)).otherwise(x))
+        return F.transform(parts_, lambda x, i: F.when(i % 2 == 1, one(x)).otherwise(x))
 
-    rebuilt = F.array_join(let(persons(F.col("_parts")), replaced), "")
-    text = F.when(F.size("_parts") > 1, rebuilt).otherwise(F.col(text_col))
-    out = base.withColumn("_parts", parts_of(F.col(text_col))).withColumn("_text", text).withColumn("_n", F.coalesce(F.floor(F.size("_parts") / 2), F.lit(0)).cast("int"))
-    columns = [F.col("_text").alias(text_col) if c == text_col else F.col(c) for c in kept]
-    return out.select(*columns, *([F.col("_n").alias(count_col)] if count_col else []))
+    rebuilt = F.array_join(let(persons(F.col(parts_)), replaced), "")
+    text = F.when(F.size(parts_) > 1, rebuilt).otherwise(F.col(text_col))
+    out = base.withColumn(parts_, parts_of(F.col(text_col))).withColumn(text_, text).withColumn(n_, F.coalesce(F.floor(F.size(parts_) / 2), F.lit(0)).cast("int"))
+    columns = [F.col(text_).alias(text_col) if c == text_col else F.col(c) for c in kept]
+    return out.select(*columns, *([F.col(n_).alias(count_col)] if count_col else []))
 
 
 @query()

@@ -123,3 +123,22 @@ def test_names_do_not_run_out(spark, monkeypatch):
     persons = [f"Mr {chr(65 + i % 26)}x Y{chr(97 + i // 26)}z" for i in range(130)]
     new = _texts(spark, persons)
     assert len({x.split()[2] for x in new}) == 130
+
+
+LONG = ["x@" + "a." * 20000, "x@" + "a" * 60000 + ".com", "a." * 30000, "A" * 60000, "1" * 60000, "4111 " * 20000, "+1 " * 20000, "DE12 " * 15000, "f0" * 30000,
+        "Mr " + "Ab" * 30000, "token = \"" + "aZ3-" * 15000 + "\"", "1.2." * 20000, "(123) " * 9000, "é" * 40000]
+
+
+def test_long_runs_of_each_alphabet(spark):
+    docs = spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.replace_pii(docs).collect()}
+    assert len(rows) == len(LONG)
+    assert rows[10]["n_entities"] == 1 and len(rows[10]["text"]) == len(LONG[10]) and rows[10]["text"] != LONG[10]
+    assert rows[13]["text"] == LONG[13]
+
+
+def test_columns_named_like_helpers_are_kept(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@c.com", 5, "u", 7, "v", 9)], "doc_id long, text string, _parts int, _text string, _n int, _odd string, _id int")
+    (row,) = pii.replace_pii(docs).collect()
+    assert (row["_parts"], row["_text"], row["_n"], row["_odd"], row["_id"], row["n_entities"]) == (5, "u", 7, "v", 9, 1)
+    assert "a.b@c.com" not in row["text"]
