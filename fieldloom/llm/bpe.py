@@ -1,6 +1,6 @@
 """Byte-level BPE: encode and decode whole texts.
 
-An ordinary text is encoded in one go.  A long text is cut at pre-token borders,
+A text of one leaf is encoded in one go.  A longer text is cut at pre-token borders,
 where encoding never looks across, into leaves that become rows of their own and
 are encoded by different tasks.  A pre-token that is itself longer than a leaf
 (unsplit text) is cut anywhere; its halves are then joined as a tree: around each
@@ -29,8 +29,8 @@ from fieldloom.llm.common import materialize, query, slices, table
 
 #: Fixed value: pre-tokens of the byte-level scheme.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters above which a text is cut into leaves, bytes of a leaf, bytes of the first window on each side.
-LONG_TEXT, LEAF, WINDOW = 1 << 20, 1 << 16, 64
+#: Characters (of unsplit text: bytes) of a leaf, bytes of the first window on each side.
+LEAF, WINDOW = 1 << 14, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -169,7 +169,7 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), type=pa.int32()))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long_text: int = LONG_TEXT, leaf: int = LEAF, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, decoded: bool = False) -> DataFrame:
     """(id, ids array<int>) of every whole text, as the tokenizers library encodes it without added tokens.
 
     ``decoded``: also the text that its ids decode to, from the same pass.
@@ -179,23 +179,25 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for whole in batches:
             for batch in slices(whole, "text"):
-                keys, run, ids, text, raw = [], [], [], [], []
+                lists = _lists([own.encode(t or "") for t in batch.column("text").to_pylist()])
+                back = own.texts(lists) if decoded else pa.nulls(batch.num_rows, pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), lists, back], names=["id", "ids", "decoded"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                keys, run, text, raw = [], [], [], []
                 for i, key, value in zip(batch.column("_row").to_pylist(), batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    if value is None or len(value) <= long_text:
-                        found = [(0, 0, own.encode(value or ""), None, None)]
-                    else:
-                        found = [(k, r, np.empty(0, np.int32), t, b) for k, (r, t, b) in enumerate(own.leaves(value, leaf), 1)]
-                    for k, r, x, t, b in found:
-                        keys.append((i, key, k)), run.append(r), ids.append(x), text.append(t), raw.append(b)
-                lists = _lists(ids)
-                back = own.texts(lists) if decoded else pa.nulls(len(ids), pa.string())
+                    for k, (r, t, b) in enumerate(own.leaves(value, leaf)):
+                        keys.append((i, key, k)), run.append(r), text.append(t), raw.append(b)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], batch.schema.field("id").type), pa.array([k[2] for k in keys], pa.int32()), pa.array(run, pa.int32()), lists, back, pa.array(text, pa.string()), pa.array(raw, pa.binary())],
-                    names=["_row", "id", "part", "run", "ids", "decoded", "text", "raw"],
+                    [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], batch.schema.field("id").type), pa.array([k[2] for k in keys], pa.int32()), pa.array(run, pa.int32()), pa.array(text, pa.string()), pa.array(raw, pa.binary())],
+                    names=["_row", "id", "part", "run", "text", "raw"],
                 )
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,17 +216,15 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             out += join_tree([list(map(int, x)) for x in run["ids"]], **how)
         return pd.DataFrame({"id": rows["id"].iloc[:1], "ids": [out], "decoded": own.texts(_lists([np.array(out, np.int32)])).to_pylist()})
 
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shape = f"_row bigint, id {id_type}, part int, run int, ids array<int>, decoded string, text string, raw binary"
-    wanted = [F.col("id").alias(id_col), "ids", *(["decoded"] if decoded else [])]
-    if base.filter(F.length("text") > long_text).isEmpty():
-        return base.mapInArrow(first, shape).select(*wanted)
-    # each leaf of a long text is a row of its own, so one text is encoded by many tasks
-    held = materialize(base.mapInArrow(first, shape))
-    leaves = held.filter("part > 0").select("_row", "id", "part", "run", "text", "raw")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    is_long = F.coalesce(F.length("text") > leaf, F.lit(False))
+    short = base.filter(~is_long).mapInArrow(whole_ones, f"id {id_type}, ids array<int>, decoded string")
+    # each leaf of a longer text is a row of its own, so one text is encoded by many tasks
+    long_ = base.filter(is_long).withColumn("_row", F.monotonically_increasing_id())
+    leaves = materialize(long_.mapInArrow(cut, f"_row bigint, id {id_type}, part int, run int, text string, raw binary"))
     encoded = leaves.repartition("_row", "part").mapInArrow(second, f"_row bigint, id {id_type}, part int, run int, ids array<int>")
-    long_ones = encoded.groupBy("_row").applyInPandas(joined, f"id {id_type}, ids array<int>, decoded string")
-    return held.filter("part = 0").select("id", "ids", "decoded").unionByName(long_ones).select(*wanted)
+    joined_ones = encoded.groupBy("_row").applyInPandas(joined, f"id {id_type}, ids array<int>, decoded string")
+    return short.unionByName(joined_ones).select(F.col("id").alias(id_col), "ids", *(["decoded"] if decoded else []))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
