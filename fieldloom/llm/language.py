@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from fieldloom.llm.common import query, slices, table
+from fieldloom.llm.common import materialize, query, slices, table
 from fieldloom.llm.shingles import mix
 
-#: Rows a language is learned from, characters of each, most languages learned, hashed features, longest affix and n-gram in bytes.
-SAMPLE, SPAN, MOST_LANGUAGES, FEATURES, AFFIX, GRAM = 300, 1500, 128, 1 << 17, 4, 3
+#: Rows a language is learned from, characters of each, hashed features, longest affix and n-gram in bytes.
+SAMPLE, SPAN, FEATURES, AFFIX, GRAM = 300, 1500, 1 << 17, 4, 3
 #: Passes, sequences of a step, pieces and words of a sequence, step size, weight of the prior.
 PASSES, STEP, PIECES, PIECE_WORDS, RATE, PRIOR, SEED = 3, 32, 4, 15, 0.5, 1e-6, 7
 UNKNOWN = "und"
@@ -93,8 +93,8 @@ def emissions(weights: np.ndarray, words: list[str]) -> np.ndarray:
     return sums / np.sqrt(counts)[:, None]
 
 
-def posteriors(scores: np.ndarray, counts: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """Forward-backward over all sequences at once; scores: those of all words, sequence after sequence."""
+def forward_backward(scores: np.ndarray, counts: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward and backward values and emissions, all sequences at once; scores: those of all words, sequence after sequence."""
     starts = np.cumsum(counts) - counts
     order = np.argsort(-counts, kind="stable")
     starts, sizes = starts[order], counts[order]
@@ -118,10 +118,28 @@ def posteriors(scores: np.ndarray, counts: np.ndarray, transition: np.ndarray) -
         state = (now * local[at]) @ jump.T
         state = state / state.sum(axis=1, keepdims=True)
         back[at - 1] = state
+    return ahead, back, local
+
+
+def posteriors(scores: np.ndarray, counts: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Probability of each language at each word."""
+    ahead, back, _ = forward_backward(scores, counts, transition)
     both = ahead * back
     return both / both.sum(axis=1, keepdims=True) if len(both) else both
 
 
+def expected_transitions(scores: np.ndarray, counts: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities at each word, and how often each language is expected to follow each other one."""
+    ahead, back, local = forward_backward(scores, counts, transition)
+    inner = np.ones(len(scores), bool)
+    inner[np.cumsum(counts)[counts > 0] - 1] = False
+    i = np.nonzero(inner)[0]
+    pair = ahead[i][:, :, None] * np.exp(transition)[None] * (local[i + 1] * back[i + 1])[:, None, :]
+    pair /= pair.sum(axis=(1, 2), keepdims=True)
+    both = ahead * back
+    return both / both.sum(axis=1, keepdims=True), pair.sum(axis=0)
+
+
 class Model:
     """Weights of features and transitions for a list of languages."""
 
@@ -184,8 +202,7 @@ def train(texts: list[str], labels: list[str], seed: int = SEED) -> Model:
             feats, root = values[at], np.sqrt(per[local])
             bounds = np.cumsum(per[local]) - per[local]
             scores = (np.add.reduceat(weights[feats], bounds, axis=0) / root[:, None])[inverse]
-            jump = np.exp(transition)
-            found = posteriors(scores, sizes, transition)
+            found, expected = expected_transitions(scores, sizes, transition)
             error = found.copy()
             error[np.arange(len(gold)), gold] -= 1
             by_word = np.stack([np.bincount(inverse, weights=error[:, k], minlength=len(local)) for k in range(size)], axis=1) / root[:, None] / len(gold)
@@ -194,15 +211,12 @@ def train(texts: list[str], labels: list[str], seed: int = SEED) -> Model:
             grad = np.stack([np.bincount(place, weights=spread[:, k], minlength=len(touched)) for k in range(size)], axis=1) + PRIOR * weights[touched]
             squares[touched] += grad * grad * len(gold)
             weights[touched] -= RATE * grad * np.sqrt(len(gold)) / np.sqrt(squares[touched])
-            # expected transitions from neighbours' probabilities, scaled by the jumps
             inner = np.ones(len(gold), bool)
             inner[np.cumsum(sizes) - 1] = False
             i = np.nonzero(inner)[0]
-            pair = found[i][:, :, None] * jump[None] * found[i + 1][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
             observed = np.zeros_like(transition)
             np.add.at(observed, (gold[i], gold[i + 1]), 1)
-            tgrad = (pair.sum(axis=0) - observed) / max(1, len(i))
+            tgrad = (expected - observed) / max(1, len(i))
             tsquares += tgrad * tgrad
             transition -= 0.1 * tgrad / np.sqrt(tsquares)
     return Model(languages, weights.astype(np.float32), transition)
@@ -215,20 +229,17 @@ def is_held_out(key: Column) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, span: int = SPAN) -> Model:
     """A model of the labelled documents that are not held out.
 
-    About ``sample`` rows of each of the MOST_LANGUAGES most frequent languages are drawn
-    by a digest of the id, and ``span`` characters of each from the middle.  Only those
-    reach the driver.
+    About ``sample`` rows of each language are drawn by a digest of the id, and ``span`` characters
+    of each from the middle.  Only those reach the driver.  Without any such row the only language is ``und``.
     """
     key, lang = F.col(id_col), F.col(lang_col)
     rows = docs.filter(~is_held_out(key) & lang.isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(lang == r["lang"], min(1.0, 1.2 * sample / r["n"])).otherwise(share)
+    sizes = materialize(rows.groupBy(lang.alias("_of")).agg(F.count(F.lit(1)).alias("_rows")))  # one row a language
+    share = F.least(F.lit(1.0), 1.2 * sample / F.col("_rows"))
     draw = F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(1_000_000)) / 1_000_000
     middle = F.substr(F.col(text_col), F.greatest(F.lit(1), F.floor((F.length(text_col) - span) / 2).cast("int")), F.lit(span))
-    some = rows.filter(draw < share).select(key.cast("string").alias("id"), lang.alias("lang"), middle.alias("text"))
-    drawn = sorted(some.limit(2 * sample * max(1, len(sizes))).collect(), key=lambda r: (r["lang"], r["id"] or "", r["text"]))  # the documented bound
+    some = rows.select(key.cast("string").alias("id"), lang.alias("lang"), middle.alias("text"), draw.alias("_draw")).join(F.broadcast(sizes), F.col("lang") == F.col("_of")).filter(F.col("_draw") < share).select("id", "lang", "text")
+    drawn = sorted(some.limit(2 * sample * max(1, sizes.count())).collect(), key=lambda r: (r["lang"], r["id"] or "", r["text"]))  # the documented bound
     return train([r["text"] for r in drawn], [r["lang"] for r in drawn])
 
 
@@ -245,7 +256,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for whole in batches:
-            for batch in slices(whole, text_col, 2 << 20):
+            for batch in slices(whole, text_col, (8 << 20) // max(4, len(own.languages))):  # words times languages are held
                 names, scores = own.label(batch.column(text_col))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_out, score_out])
 

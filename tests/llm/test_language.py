@@ -68,3 +68,25 @@ def test_held_out_accuracy(spark):
     right = sum(r["lang_pred"] == r["lang"] for r in held) / len(held)
     assert right > 0.97, right
     assert out.filter(F.col("score").between(0, 1)).count() == len(rows)
+
+
+def test_expected_transitions_are_exact():
+    rng = np.random.default_rng(3)
+    counts, transition = np.array([4, 1, 0, 5]), rng.standard_normal((2, 2))
+    scores = rng.standard_normal((10, 2))
+    at, want = 0, np.zeros((2, 2))
+    for n in counts:
+        own, weights = scores[at : at + n], {}
+        for path in itertools.product(range(2), repeat=int(n)):
+            weights[path] = np.exp(sum(own[t, y] for t, y in enumerate(path)) + sum(transition[a, b] for a, b in zip(path, path[1:])))
+        for path, w in weights.items():
+            for a, b in zip(path, path[1:]):
+                want[a, b] += w / sum(weights.values())
+        at += n
+    assert lg.expected_transitions(scores, counts, transition)[1] == pytest.approx(want)
+
+
+def test_all_languages_are_learned(spark):
+    rows = [(i, f"wort{i % 150:03d} " * 5, f"l{i % 150:03d}") for i in range(1500)]
+    model = lg.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 150
