@@ -331,8 +331,8 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction =
     n_shingles: size of the set of distinct ``width``-word shingles; fewer words are one
     shingle; no words (or null) give an empty set, linked with nothing.  component_id: the
     smallest doc_id that links reach, itself included; null for a null id.  Rows that
-    repeat have one result each; of different texts under one id all join its component,
-    through equal sets and the links of the first.  An empty table gives no rows.  Other
+    repeat have one result each; different texts under one id are compared each for itself
+    and tie their components together.  An empty table gives no rows.  Other
     columns are not looked at.
     """
     counted = materialize(token_sets(docs, width, id_col, text_col))
@@ -345,8 +345,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction =
     texts = texts.join(F.broadcast(others), "id", "left_anti") if fits(others) else materialize(texts.join(others, "id", "left_anti"))
     spreads = counted.filter("chunk IS NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "n", "spread")
     if not known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").isEmpty():
-        texts = materialize(texts.groupBy("id").agg(F.min("text").alias("text")))
-        spreads = token_sets(texts, width, "id", "text").filter("chunk IS NULL").select(F.col("doc_id").alias("id"), "n", "spread")
+        return _by_rows(docs, width, similarity, orders, id_col, text_col)
     frequency = docs.sparkSession.sparkContext.broadcast(sketch(counted))  # SKETCH bytes, whatever the input
     met = materialize(first_pairs(postings(texts, width, similarity, frequency), similarity))
     blocks = met.filter("token IS NOT NULL").select("token", "id", "n")
@@ -363,6 +362,18 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction =
     return sets.join(named, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id")).alias("component_id"))
 
 
+def _by_rows(docs: DataFrame, width: int, similarity: Fraction, orders: int, id_col: str, text_col: str) -> DataFrame:
+    """The same for ids that have several texts: rows are joined by keys of their own, then ids tie them."""
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("key"), F.col(text_col).alias("text")))
+    done = ngram_components(rows, width, similarity, orders, "row", "text").withColumnRenamed("doc_id", "row")
+    done = materialize(done.join(rows.select("row", "key"), "row").select("key", "n_shingles", F.col("component_id").alias("group")))
+    least = materialize(done.groupBy("group").agg(F.min("key").alias("least")))
+    tied = materialize(done.join(least, "group").select("key", "n_shingles", "least"))
+    labels = components(tied.filter(F.col("key") != F.col("least")).select(F.col("key").alias("a"), F.col("least").alias("b")).distinct())
+    out = tied.join(labels, tied["key"] == labels["id"], "left")
+    return out.select(F.col("key").alias("doc_id"), "n_shingles", F.when(F.col("key").isNotNull(), F.coalesce("component", "key")).alias("component_id"))
+
+
 @query()
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of all ``documents`` by four-word shingles and a similarity of 0.85."""
