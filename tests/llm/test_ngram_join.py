@@ -120,5 +120,5 @@ def test_texts_under_one_id_are_compared_each_for_itself(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     near = a.replace("a59", "other")
     rows = [(5, a), (5, b), (7, a), (9, near), (11, c), (None, b), (13, None)]
-    out = ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    out = nj.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in out) == [(0, 0), (5, 5), (5, 5), (7, 5), (9, 5), (11, 11), (13, 13)]
