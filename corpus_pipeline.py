@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import bpe, language, mixing, ngram_join, pii
-from fieldloom.llm.common import materialize, table
+from fieldloom.llm.common import materialize, table, unused
 from fieldloom.operators.bounds import fits
 
 #: A document is kept if its language has this share of its letters.
@@ -24,15 +24,22 @@ WIDTH, SIMILARITY = 5, Fraction(4, 5)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those without one main language; the model is learned from these documents."""
+    """Drops documents without a letter and those without one main language; the model is learned from these documents.
+
+    If none of them is labelled there is nothing to tell languages by, and all stay.
+    """
     model = language.learn(docs)
-    labelled = language.predict(docs, model, "text", "_lang_pred", "_score")
-    return labelled.filter((F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    if model.languages == [language.UNKNOWN]:
+        return docs
+    found, score = unused(docs.columns, "_lang_pred"), unused(docs.columns, "_score")
+    labelled = language.predict(docs, model, "text", found, score)
+    return labelled.filter((F.col(found) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """The rows with a key ``_row`` of their own, made once and written; ids may be null or repeat."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of their own, made once and written, and its name; ids may be null or repeat."""
+    key = unused(docs.columns, "_row")
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,15 +48,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are grouped by their texts, whatever their ids: copies under one id or without one stay once,
     different texts under one id stay apart.  Without words nothing is a near copy, only a repeated id is.
     """
-    rows = with_row_key(docs)
-    groups = ngram_join.ngram_components(rows.select("_row", "text"), WIDTH, SIMILARITY, id_col="_row").withColumnRenamed("doc_id", "_key")
-    named = groups.join(rows.select("_row", "doc_id"), F.col("_key") == F.col("_row"))
+    rows, key = with_row_key(docs)
+    groups = ngram_join.ngram_components(rows.select(key, "text"), WIDTH, SIMILARITY, id_col=key).withColumnRenamed("doc_id", "_key")
+    named = groups.join(rows.select(F.col(key).alias("_row"), "doc_id"), F.col("_key") == F.col("_row"))
     repeated = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
     named = materialize(named.select("_row", "doc_id", F.when(~repeated, F.col("component_id")).alias("_group"), F.when(repeated, F.col("doc_id")).alias("_same")))
     first = named.groupBy("_group", "_same").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
-    gone = materialize(named.select("_row").join(first.select(F.col("first._row").alias("_row")), "_row", "left_anti"))
+    gone = materialize(named.select("_row").join(first.select(F.col("first._row").alias("_row")), "_row", "left_anti").withColumnRenamed("_row", key))
     gone = F.broadcast(gone) if fits(gone) else gone
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +67,13 @@ def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each row as often as the mix takes it, a last partial use included; one that is not taken goes."""
-    rows = with_row_key(docs)
-    taken = mixing.mix(rows, kept=("_row",)).filter("taken > 0").select("_row", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    taken = materialize(taken)
+    rows, key = with_row_key(docs)
+    times = unused(docs.columns, "_times")
+    mixed = mixing.mix(rows.select("doc_id", "text", "source", key), kept=(key,))
+    taken = materialize(mixed.filter("taken > 0").select(key, F.ceil(F.col("taken") / F.col("size")).cast("int").alias(times)))
     taken = F.broadcast(taken) if fits(taken) else taken
-    rows = rows.join(taken, "_row")
-    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    repeated = F.explode(F.sequence(F.lit(1), F.col(times)))
+    return rows.join(taken, key).select(*docs.columns, repeated.alias(times)).drop(times)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
