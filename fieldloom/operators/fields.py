@@ -18,7 +18,7 @@ from fieldloom.functions.binding import keep_if, let, let2, regexp_extract
 from fieldloom.functions.checks import is_vehicle_line
 from fieldloom.functions.regex import apply_pattern, extract_value, prepare, prepare_column
 from fieldloom.functions.text import strip
-from fieldloom.operators.bounds import fits, join_small, literal, rows_within, salted_join, unpack
+from fieldloom.operators.bounds import MAX_BYTES, join_small, literal, rows_within, unpack
 
 MAX_UNROLLED_RULES = 400
 MAX_BROADCAST_RULES = 100_000
@@ -99,16 +99,18 @@ def rule_item(field: str, rule_id: int, value: Column) -> Column:
     return let(keep_if(value, lambda v: v != ""), lambda v: _field(field, v, _rule_method(v), rule_id))
 
 
-def rule_fields(docs: DataFrame, rules: DataFrame, text: str = "text", spans: str | None = None,
-                exclude: Column | None = None, as_column: str = "rule_fields") -> DataFrame:
-    """Add the results of all rules of the document's product as an array column.
+def rule_fields(docs: DataFrame, rules: DataFrame, text: str = "text", spans: str | None = None, exclude: Column | None = None,
+                as_column: str = "rule_fields", max_unrolled: int = MAX_UNROLLED_RULES, max_broadcast: int = MAX_BROADCAST_RULES) -> DataFrame:
+    """Add the results of all rules of the document's product as an array column, one row a rule, by rule id.
 
-    ``exclude``: array of field names already known, their rules are not run.
-    Needs a rule set small enough to be written into the plan; see ``apply_rules``.
+    ``exclude``: array of field names already known, their rules are not run.  Few rules are
+    written into the plan; any number of them goes through ``rule_sets``.  Either way a
+    text stays where it is and is not copied.
     """
-    rows = rows_within(usable_rules(rules).orderBy("rule_id"), MAX_UNROLLED_RULES)
+    active = usable_rules(rules)
+    rows = rows_within(active.orderBy("rule_id"), max_unrolled)
     if rows is None:
-        raise ValueError("too many rules for one projection, use apply_rules")
+        return _fields_by_sets(docs, active, text, spans, exclude, as_column, max_broadcast)
     by_product: dict[int, list] = {}
     for r in rows:
         by_product.setdefault(r["product_id"], []).append(r)
@@ -117,7 +119,7 @@ def rule_fields(docs: DataFrame, rules: DataFrame, text: str = "text", spans: st
         items = []
         for r in group:
             value = rule_value(F.col(text), r["pattern"])
-            if r["bbox"] is not None and spans is not None:
+            if spans is not None and r["bbox"] is not None:
                 box = literal(r["bbox"].asDict(), "struct<page:int,x0:double,top:double,x1:double,bottom:double>")
                 value = F.coalesce(keep_if(rule_value(zone_text(F.col(spans), box), r["pattern"]), lambda v: v != ""), value)
             item = rule_item(r["field"], r["rule_id"], value)
@@ -126,32 +128,68 @@ def rule_fields(docs: DataFrame, rules: DataFrame, text: str = "text", spans: st
     return docs.withColumn(as_column, result)
 
 
-def apply_rules(docs: DataFrame, rules: DataFrame, text: str = "text", max_unrolled: int = MAX_UNROLLED_RULES,
-                max_broadcast: int = MAX_BROADCAST_RULES) -> DataFrame:
-    """Long result of all rules on the documents of their product.
+def rule_sets(rules: DataFrame, max_rows: int = MAX_BROADCAST_RULES, max_bytes: int = MAX_BYTES) -> list[DataFrame]:
+    """(product_id, rules): one row a product with its rules as an array, in as many tables as it takes for each to be copied to every task.
 
-    Few rules are unrolled into one projection.  More are broadcast, their
-    patterns compiled per row.  Still more are joined on a salted product key,
-    because one product may own most documents.
+    Rules are dealt to the tables by a digest of their id, so one product may own most of them.
     """
-    active = usable_rules(rules)
-    if rows_within(active, max_unrolled) is not None:
-        wide = rule_fields(docs.select("doc_id", "product_id", text), rules, text)
-        return unpack(wide, ["doc_id"], "rule_fields")
-    ready = screen_rules(active.select("rule_id", "product_id", "field", "pattern"))
-    slim = docs.select("doc_id", "product_id", F.col(text).alias("_text"))
-    if fits(ready, max_broadcast):
-        joined = slim.join(F.broadcast(ready), "product_id")
-    else:
-        joined = salted_join(slim, ready, ["product_id"], by="doc_id")
-    value = F.when(
-        F.col("java").isNotNull(),
-        _filled(extract_value(F.col("_text"), F.coalesce("java", F.lit("$^")), F.coalesce("groups", F.lit(0)),
-                              F.coalesce("optional_first", F.lit(False)))),
-    )
-    return joined.select("doc_id", "field", value.alias("value"), "rule_id").select(
-        "doc_id", "field", "value", _rule_method(F.col("value")).alias("method"), "rule_id"
-    )
+    box = [F.col("bbox")] if "bbox" in rules.columns else [F.lit(None).cast("struct<page:int,x0:double,top:double,x1:double,bottom:double>").alias("bbox")]
+    ready = screen_rules(rules.select("rule_id", "product_id", "field", "pattern", *box))
+    held = F.sum(F.coalesce(F.length("java"), F.lit(0)) + F.length("field") + 100)
+    size = ready.agg(F.count(F.lit(1)).alias("n"), F.coalesce(held, F.lit(0)).alias("b")).first()
+    parts = max(1, -(-size["n"] // max(1, max_rows)), -(-size["b"] // max_bytes))
+    packed = F.sort_array(F.collect_list(F.struct("rule_id", "field", "java", "groups", "optional_first", "bbox")))
+    return [
+        ready.filter(F.pmod(F.xxhash64("rule_id"), F.lit(parts)) == k).groupBy("product_id").agg(packed.alias("_rules"))
+        for k in range(parts)
+    ]
+
+
+def _searched(text: Column, rule: Column) -> Column:
+    """Value of a rule that is data; NULL for a broken pattern."""
+    value = extract_value(text, F.coalesce(rule["java"], F.lit("$^")), F.coalesce(rule["groups"], F.lit(0)), F.coalesce(rule["optional_first"], F.lit(False)))
+    return F.when(rule["java"].isNotNull(), _filled(value))
+
+
+def _fields_by_sets(docs: DataFrame, active: DataFrame, text: str, spans: str | None, exclude: Column | None, as_column: str, max_rows: int) -> DataFrame:
+    """The table form: each document meets the arrays of its product's rules and searches them in its row."""
+    known = "_known"
+    out = docs.withColumn(as_column, F.array().cast(FIELDS)).withColumn(known, F.lit(None).cast("array<string>") if exclude is None else exclude)
+
+    def found(rule: Column) -> Column:
+        value = _searched(F.col(text), rule)
+        if spans is not None:
+            in_zone = F.when(rule["bbox"].isNotNull(), let(zone_text(F.col(spans), rule["bbox"]), lambda t: _searched(t, rule)))
+            value = F.coalesce(in_zone, value)
+        return let(value, lambda v: _field(rule["field"], v, _rule_method(v), rule["rule_id"]))
+
+    parts = rule_sets(active, max_rows)
+    for part in parts:
+        part = part.withColumnRenamed("product_id", "_product")
+        joined = out.join(F.broadcast(part), F.col("product_id") == F.col("_product"), "left")
+        wanted = F.filter(F.coalesce("_rules", F.array()), lambda r: F.col(known).isNull() | ~F.array_contains(known, r["field"]))
+        added = F.concat(as_column, F.transform(wanted, found).cast(FIELDS))
+        out = joined.withColumn(as_column, added).drop("_product", "_rules")
+    if len(parts) > 1:
+        out = out.withColumn(as_column, F.array_sort(as_column, lambda a, b: F.when(a["rule_id"] < b["rule_id"], -1).otherwise(1)))
+    return out.drop(known)
+
+
+def best_per_field(fields: Column) -> Column:
+    """One row a field, by name: of several rules one with a value, of those the one with the highest id."""
+    keyed = F.transform(fields, lambda f: F.struct(f["field"].alias("field"), f["value"].isNull().alias("none"), (-F.coalesce(f["rule_id"], F.lit(0))).alias("late"), f.alias("row")))
+
+    def first(rows: Column) -> Column:
+        return F.transform(F.filter(rows, lambda x, i: (i == 0) | (x["field"] != F.get(rows, i - 1)["field"])), lambda x: x["row"])
+
+    return let(F.array_sort(keyed), first)
+
+
+def apply_rules(docs: DataFrame, rules: DataFrame, text: str = "text", max_unrolled: int = MAX_UNROLLED_RULES,
+                max_broadcast: int = MAX_BROADCAST_RULES) -> DataFrame:
+    """Long result of all rules on the documents of their product; see ``rule_fields``."""
+    wide = rule_fields(docs.select("doc_id", "product_id", text), rules, text, max_unrolled=max_unrolled, max_broadcast=max_broadcast)
+    return unpack(wide, ["doc_id"], "rule_fields")
 
 
 # ---- field lists -------------------------------------------------------------
@@ -340,8 +378,10 @@ def counters_of(fields: Column) -> list[Column]:
 
 
 def field_map(long_fields: DataFrame) -> DataFrame:
-    """Record of each document as a map; its size is the number of fields."""
-    return long_fields.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("record"))
+    """Record of each document as a map; its size is the number of fields.  Of several rules of a field one with a value counts, the latest."""
+    order = F.struct(F.col("value").isNull(), -F.coalesce("rule_id", F.lit(0)))
+    single = long_fields.groupBy("doc_id", "field").agg(F.min_by("value", order).alias("value"))
+    return single.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("record"))
 
 
 def covered_fields(long_fields: DataFrame) -> DataFrame:
@@ -353,12 +393,12 @@ def covered_fields(long_fields: DataFrame) -> DataFrame:
 def reapply_product(extractions: DataFrame, chosen: DataFrame, rules: DataFrame, fields: DataFrame, stored: DataFrame) -> DataFrame:
     """Recompute the fields of chosen documents with another product.
 
-    ``chosen``: doc_id, product_id.  Only the rules run, not the recipes.  Returns
+    ``chosen``: doc_id, product_id.  Only the rules run, not the recipes; the person type is derived anew.  Returns
     the whole field table with the old rows of these documents replaced.
     """
     docs = extractions.select("doc_id", "text").join(chosen, "doc_id")
     found = apply_rules(docs, rules)
-    fresh = complete_sources(docs, fields, found)
+    fresh = derive_fields(complete_sources(docs, fields, found), "code").select(stored.columns)
     return stored.join(chosen.select("doc_id"), "doc_id", "left_anti").unionByName(fresh)
 
 

@@ -27,7 +27,7 @@ def locate_literals(selections: DataFrame, docs: DataFrame, batch: str = "produc
                     max_selections: int = MAX_SELECTIONS) -> DataFrame:
     """(selection_id, doc_id, value, context) for every other document that holds the value.
 
-    ``selections``: selection_id, <batch>, doc_id (origin), value.  A bounded number
+    ``selections``: selection_id, <batch>, doc_id (origin), value; an empty value is held by every text.  A bounded number
     of selections is tested in one pass over the documents; more of them are found
     by the seed join.
     """
@@ -55,6 +55,9 @@ def locate_literals(selections: DataFrame, docs: DataFrame, batch: str = "produc
     else:
         terms = slim.select(F.col("selection_id").alias("term_id"), F.col("batch").alias(batch), F.col("value").alias("term"))
         hits = contains_join(docs.select("doc_id", "text", batch), terms, same=[batch]).select(F.col("term_id").alias("selection_id"), "doc_id")
+        # an empty value is held by every text of its batch, as in the other form
+        empty = slim.filter("value = ''").select("selection_id", F.col("batch").alias(batch))
+        hits = hits.unionByName(docs.filter(F.col("text").isNotNull()).select("doc_id", batch).join(empty, batch).select("selection_id", "doc_id"))
         pairs = (
             hits.join(slim, "selection_id").filter(~F.col("origin").eqNullSafe(F.col("doc_id")))
             .join(docs.select("doc_id", "text"), "doc_id").select("selection_id", "doc_id", "value", "text")

@@ -9,7 +9,7 @@ from fieldloom import model as m
 from fieldloom.functions.amounts import person_label
 from fieldloom.operators.bounds import unpack
 from fieldloom.operators.detect import detection_method
-from fieldloom.operators.fields import counters_of, value_of
+from fieldloom.operators.fields import best_per_field, counters_of, value_of
 
 # ---- fixed values: exported fields and their headings, in order
 WIDE_COLUMNS = [
@@ -53,11 +53,11 @@ def header_rows(results: DataFrame, fields: str = "fields", text: str = "text")
     ``results`` carries the fields as an array, so this is a projection.
     """
     hits = F.filter(fields, lambda f: f["method"].isin(m.METHOD_RULE, m.METHOD_RECIPE))
-    record = F.map_from_entries(F.transform(fields, lambda f: F.struct(f["field"], f["value"])))
+    record = F.map_from_entries(F.transform(best_per_field(F.col(fields)), lambda f: F.struct(f["field"], f["value"])))
     return results.select(
         "doc_id", "company_id", "line_id", "product_id", "company", "line", "product",
         detection_method(F.col("score_company")).alias("detection_method"), "confidence",
-        record.alias("record"), F.array_sort(F.transform(hits, lambda f: f["field"])).alias("covered"), F.left(text, F.lit(m.HISTORY_CHARS)).alias("text"), F.lit(True).alias("successful"),
+        record.alias("record"), F.array_sort(F.array_distinct(F.transform(hits, lambda f: f["field"]))).alias("covered"), F.left(text, F.lit(m.HISTORY_CHARS)).alias("text"), F.lit(True).alias("successful"),
         *counters_of(F.col(fields)),
     )
 

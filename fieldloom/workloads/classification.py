@@ -164,28 +164,28 @@ def regex_document_test(spark, folder):
     return cov.test_pattern(documents(spark, folder).select("doc_id", "text"), _TESTED).select("doc_id", "value", "found")
 
 
-_SELECTED = "substr(text, 1, 24)"
+# every passage counts as selected in the document of its own number
+_SELECTIONS = "sel AS (SELECT item_id AS selection_id, item_id AS origin, text AS v FROM benchmark UNION ALL SELECT -1, 3, '')"
 
 
-@query(f"""WITH sel AS (SELECT item_id AS selection_id, {_SELECTED} AS v FROM benchmark)
+@query(f"""WITH {_SELECTIONS}
 SELECT selection_id, doc_id, substr(text, CAST(p AS INT), length(v)) AS value,
   substr(text, CAST(greatest(1, p - 300) AS INT), CAST(least(length(text), p + length(v) - 1 + 300) - greatest(1, p - 300) + 1 AS INT)) AS context
-FROM (SELECT *, instr(lower(text), lower(v)) AS p FROM documents, sel) WHERE p > 0""")
+FROM (SELECT *, CASE WHEN v = '' THEN 1 ELSE instr(lower(text), lower(v)) END AS p FROM documents, sel) WHERE p > 0 AND doc_id <> origin""")
 def literal_autodetect(spark, folder):
-    """Beginnings of the benchmark passages found again in the documents, with context."""
+    """Whole benchmark passages, and an empty selection, found again in the other documents, with context."""
     docs = documents(spark, folder).select("doc_id", "text", F.lit(1).alias("product_id"))
     return trainer.locate_literals(_selections(spark, folder), docs)
 
 
 def _selections(spark, folder):
-    return table(spark, folder, "benchmark").select(
-        F.col("item_id").alias("selection_id"), F.lit(1).alias("product_id"), F.lit(None).cast("bigint").alias("doc_id"), F.expr(_SELECTED).alias("value")
-    )
+    passages = table(spark, folder, "benchmark").select(F.col("item_id").alias("selection_id"), F.lit(1).alias("product_id"), F.col("item_id").alias("doc_id"), F.col("text").alias("value"))
+    return passages.unionByName(spark.createDataFrame([(-1, 1, 3, "")], passages.schema))
 
 
-@query(f"""WITH sel AS (SELECT item_id AS selection_id, {_SELECTED} AS v FROM benchmark)
+@query(f"""WITH {_SELECTIONS}
 SELECT selection_id, count(*) FILTER (contains(lower(text), lower(v))) AS found, count(*) AS total,
-  count(*) FILTER (NOT contains(lower(text), lower(v))) AS not_found FROM documents, sel WHERE length(text) > 0 GROUP BY selection_id""")
+  count(*) FILTER (NOT contains(lower(text), lower(v))) AS not_found FROM documents, sel WHERE length(text) > 0 AND doc_id <> origin GROUP BY selection_id""")
 def literal_batch_summary(spark, folder):
     """How many documents hold each selected text, through the join for many selections."""
     docs = documents(spark, folder).select("doc_id", "text", F.lit(1).alias("product_id"))

@@ -125,18 +125,18 @@ def labelled_documents(spark, folder):
 
 @query("""WITH cur AS (SELECT doc_id, 'quality' AS field, CAST(quality AS VARCHAR) AS value, NULL AS context, 0 AS at FROM labels),
 new AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'quality' ELSE 'opening' END AS field, substr(text, 3, 12) AS value,
-  substr(text, 1, CAST(least(length(text), instr(lower(text), lower(substr(text, 3, 12))) + 11 + 350) AS INT)) AS context, doc_id AS at FROM documents WHERE length(text) > 20)
-SELECT doc_id, field, value, left(context, 40) AS context FROM new UNION ALL SELECT doc_id, field, value, context FROM cur c WHERE NOT EXISTS (FROM new n WHERE n.doc_id = c.doc_id AND n.field = c.field)""")
+  substr(text, 1, CAST(least(length(text), instr(lower(text), lower(substr(text, 3, 12))) + 11 + 350) AS INT)) AS context, doc_id AS at FROM documents)
+SELECT doc_id, field, value, context FROM new UNION ALL SELECT doc_id, field, value, context FROM cur c WHERE NOT EXISTS (FROM new n WHERE n.doc_id = c.doc_id AND n.field = c.field)""")
 def label_upsert(spark, folder):
     """New labels replace old ones of the same document and field; context cut from the text."""
     current = table(spark, folder, "labels").select(
         "doc_id", F.lit("quality").alias("field"), F.col("quality").cast("string").alias("value"), F.lit(None).cast("string").alias("context"), F.lit(0).cast("bigint").alias("created_at")
     )
-    changes = documents(spark, folder).filter(F.length("text") > 20).select(
+    changes = documents(spark, folder).select(
         "doc_id", F.when(F.col("doc_id") % 3 == 0, "quality").otherwise("opening").alias("field"), F.substring("text", 3, 12).alias("value"),
         F.lit(None).cast("string").alias("context"), F.col("doc_id").alias("created_at"), "text",
     )
-    return upkeep.upsert_labels(current, changes).select("doc_id", "field", "value", F.left("context", F.lit(40)).alias("context"))
+    return upkeep.upsert_labels(current, changes).select("doc_id", "field", "value", "context")
 
 
 @query("""SELECT o_orderkey AS doc_id, 'estado' AS field, o_orderstatus AS value, true AS is_auto FROM orders WHERE o_orderstatus <> 'P'""")

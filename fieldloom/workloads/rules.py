@@ -107,8 +107,8 @@ def apply_rules_long(spark, folder):
 
 @query(f"{WITH_RULES} SELECT doc_id, field, value, method, rule_id FROM long_rule")
 def apply_rules_joined(spark, folder):
-    """The same with the rules joined as a table, the product key salted."""
-    return fl.apply_rules(policies(spark, folder), rule_table(spark), max_unrolled=0, max_broadcast=0)
+    """The same with the rules as arrays of their products, in tables of a few rules each."""
+    return fl.apply_rules(policies(spark, folder), rule_table(spark), max_unrolled=0, max_broadcast=4)
 
 
 @query(f"{WITH_RULES} SELECT doc_id, field, value, method FROM fixed UNION ALL SELECT doc_id, field, value, method FROM missing")
@@ -185,7 +185,9 @@ def wide_export(spark, folder):
 @query(f"""{WITH_RULES}, chosen AS (SELECT doc_id, text, 1 AS product_id FROM policy WHERE product_id = 4 AND status = 'F'),
 again AS (SELECT doc_id, field, nullif(trim(regexp_extract(text, '(?im)' || pattern, 1)), '') AS value FROM chosen JOIN rule USING (product_id)
   UNION ALL SELECT doc_id, x.field, x.value FROM chosen, (VALUES ('moneda', 'MXN'), ('recargos', NULL), ('placas', NULL), ('motor', NULL)) x(field, value))
-SELECT doc_id, field, value FROM resolved WHERE doc_id NOT IN (SELECT doc_id FROM chosen) UNION ALL SELECT * FROM again""")
+SELECT doc_id, field, value FROM resolved WHERE doc_id NOT IN (SELECT doc_id FROM chosen) UNION ALL SELECT * FROM again
+UNION ALL SELECT doc_id, 'entidad', CASE WHEN regexp_matches(tax, '^[A-ZÑ&]{{4}}[0-9]{{6}}') THEN '0' ELSE '1' END
+  FROM (SELECT doc_id, upper(regexp_replace(value, '[ -]', '', 'g')) AS tax FROM again WHERE field = 'rfc') WHERE regexp_matches(tax, '^[A-ZÑ&]{{3,4}}[0-9]{{6}}')""")
 def reapply_product(spark, folder):
     """Documents of one product reworked with another; the other rows stay."""
     docs = policies(spark, folder)

@@ -80,11 +80,40 @@ def test_detection_by_brute_force(spark):
 def test_rule_paths_agree(spark):
     docs = samples.documents(spark).select("doc_id", "text", (F.col("doc_id") + 1).alias("product_id"))
     rules = samples.rules(spark)
-    paths = [fl.apply_rules(docs, rules), fl.apply_rules(docs, rules, max_unrolled=0), fl.apply_rules(docs, rules, max_unrolled=0, max_broadcast=0)]
+    paths = [fl.apply_rules(docs, rules), fl.apply_rules(docs, rules, max_unrolled=0), fl.apply_rules(docs, rules, max_unrolled=0, max_broadcast=1)]
     results = [sorted(map(tuple, p.select("doc_id", "field", "value", "method", "rule_id").collect()), key=str) for p in paths]
     assert results[0] == results[1] == results[2] and results[0]
 
 
+def test_rules_of_any_number_stay_beside_the_text(spark):
+    """401 and 50,000 rules, zones and known fields included, give what unrolled rules give, without moving texts."""
+    docs = samples.documents(spark).withColumn("product_id", F.col("doc_id") + 1)
+    few = samples.rules(spark)
+    known = F.array(F.lit("documento"))
+    spans = "spans" if "spans" in docs.columns else None
+    want = [(r["doc_id"], sorted(map(str, r["rule_fields"]))) for r in fl.rule_fields(docs, few, spans=spans, exclude=known).collect()]
+    assert any(f for _, f in want)
+    for n in (401, 50_000):
+        more = spark.range(n).select(
+            (F.col("id") + 1000).alias("rule_id"), F.lit(77).cast("bigint").alias("product_id"), F.concat(F.lit("f"), "id").alias("field"),
+            F.concat(F.lit(r"never(\d+)x"), "id").alias("pattern"), F.lit(True).alias("active"), F.lit(False).alias("draft"), F.lit(None).cast(few.schema["bbox"].dataType).alias("bbox"),
+        )
+        out = fl.rule_fields(docs, few.unionByName(more.select(few.columns)), spans=spans, exclude=known)
+        assert sorted((r["doc_id"], sorted(map(str, r["rule_fields"]))) for r in out.collect()) == sorted(want)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_two_rules_of_a_field_give_one_value(spark):
+    docs = spark.createDataFrame([(1, "alpha 12 beta 34", 5)], "doc_id bigint, text string, product_id bigint")
+    rows = [(1, 5, "n", r"alpha (\d+)", True, False, None), (2, 5, "n", r"gamma (\d+)", True, False, None), (3, 5, "m", r"beta (\d+)", True, False, None), (4, 5, "m", r"alpha (\d+)", True, False, None)]
+    found = fl.apply_rules(docs, spark.createDataFrame(rows, m.RULE_SCHEMA))
+    assert found.count() == 4
+    assert fl.field_map(found).first()["record"] == {"n": "12", "m": "12"}
+    wide = fl.rule_fields(docs, spark.createDataFrame(rows, m.RULE_SCHEMA))
+    assert [(f["field"], f["value"], f["rule_id"]) for f in wide.select(fl.best_per_field(F.col("rule_fields")).alias("b")).first()["b"]] == [("m", "12", 4), ("n", "12", 1)]
+
+
 def test_array_and_table_resolution_agree(spark):
     docs = samples.documents(spark).select("doc_id", "text", (F.col("doc_id") + 1).alias("product_id"))
     fields = samples.product_fields(spark)
