@@ -41,8 +41,8 @@ SAMPLE, SPAN, LEAST, SHINGLE = 2500, 3000, 4, 5
 SEARCHES, PASSES, GROUP, RATE, WORD_RATE, DROP, DOUBT, SEED = 4, 2, 64, 0.01, 0.003, 0.3, 1.2, 11
 #: A text is predicted toxic from this score on.
 THRESHOLD = 0.7
-#: Windows read at a time, bytes of text a task holds as words.
-AT_ONCE, RUN_BYTES = 2048, 2 << 20
+#: Windows read at a time, words whose n-grams are held at a time, texts counted at a time, bytes of text a task holds as words.
+AT_ONCE, WORDS_AT_ONCE, TEXTS_AT_ONCE, RUN_BYTES = 2048, 1 << 14, 128, 2 << 20
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -150,10 +150,14 @@ class Network:
 
     def inputs(self, whole: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Both inputs of each word: its own embedding, the sum of its n-grams' by the root of their number."""
-        if not len(whole):
-            return np.zeros((0, 2 * WIDTH), self.words.dtype)
-        sums = np.add.reduceat(self.grams[grams], np.cumsum(counts) - counts, axis=0) / np.sqrt(counts, dtype=self.grams.dtype)[:, None]
-        return np.concatenate([self.words[whole], sums], axis=1)
+        out = np.zeros((len(whole), 2 * WIDTH), self.words.dtype)
+        out[:, :WIDTH] = self.words[whole]
+        first = np.concatenate([[0], np.cumsum(counts)])
+        for at in range(0, len(whole), WORDS_AT_ONCE):
+            end = min(at + WORDS_AT_ONCE, len(whole))
+            sums = np.add.reduceat(self.grams[grams[first[at] : first[end]]], first[at:end] - first[at], axis=0)
+            out[at:end, WIDTH:] = sums / np.sqrt(counts[at:end], dtype=self.grams.dtype)[:, None]
+        return out
 
     def project(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What each word gives to the gates of both directions."""
@@ -219,8 +223,18 @@ def highest(odds: np.ndarray, text: np.ndarray) -> np.ndarray:
     return order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]
 
 
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for so many places, one span after the other."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
+
 def split_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of the words, of their n-grams and affixes word after word, and of these per word."""
+    some = [_split_features(words[i : i + WORDS_AT_ONCE]) for i in range(0, max(1, len(words)), WORDS_AT_ONCE)]
+    return tuple(np.concatenate(x) for x in zip(*some, strict=True))
+
+
+def _split_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = [b"\x02" + w.encode() + b"\x03" for w in words]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b"".join(raw) + bytes(max(PREFIX, SUFFIX)), np.uint8).astype(np.uint64)
@@ -243,20 +257,22 @@ def split_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     row, value = np.concatenate(rows), np.concatenate(values)
     order = np.argsort(row, kind="stable")
     whole = np.fromiter((zlib.crc32(r) % FEATURES for r in raw), np.int64, len(raw))
-    return whole, value[order], np.bincount(row, minlength=len(raw))
-
+    return whole, value[order].astype(np.int32), np.bincount(row, minlength=len(raw))
 
-def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for so many places, one span after the other."""
-    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
+def _odds(row: np.ndarray, word: np.ndarray, features: np.ndarray, each: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of each feature by the texts that hold it, and which are in at least LEAST texts.
 
-def _odds(features: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of each feature by the texts that hold it, and which are in at least LEAST texts."""
-    pairs = np.unique(text.astype(np.int64) * FEATURES + features)
-    of, feature = pairs // FEATURES, pairs % FEATURES
-    yes = np.bincount(feature, weights=toxic[of], minlength=FEATURES)
-    total = np.bincount(feature, minlength=FEATURES)
+    ``row``, ``word``: the distinct words of the texts in order; ``features``: those of the words, ``each`` of them.
+    """
+    yes, total = np.zeros(FEATURES), np.zeros(FEATURES, np.int64)
+    first = np.cumsum(each) - each
+    for low in range(0, len(toxic), TEXTS_AT_ONCE):
+        a, b = np.searchsorted(row, [low, low + TEXTS_AT_ONCE])
+        own, text = word[a:b], row[a:b] - low
+        pairs = np.unique(np.repeat(text, each[own]) * FEATURES + features[_spans(first[own], each[own])])
+        yes += np.bincount(pairs % FEATURES, weights=toxic[low + pairs // FEATURES], minlength=FEATURES)
+        total += np.bincount(pairs % FEATURES, minlength=FEATURES)
     share = toxic.mean()
     log_odds = np.log((yes + LEAST * share) / (total - yes + LEAST * (1 - share))) - np.log(share / (1 - share))
     known = total >= LEAST
@@ -278,8 +294,8 @@ def train(texts: list[str], toxic: list[int], seed: int = SEED) -> Network | flo
     first_gram = np.cumsum(each) - each
     pairs = np.unique(np.repeat(np.arange(len(counts)), counts) * len(words) + codes)
     row, word = pairs // len(words), pairs % len(words)
-    net.words[:, 0], known_words = _odds(whole[word], row, marks)
-    net.grams[:, 0], known_grams = _odds(grams[_spans(first_gram[word], each[word])], np.repeat(row, each[word]), marks)
+    net.words[:, 0], known_words = _odds(row, word, whole, np.ones(len(whole), np.int64), marks)
+    net.grams[:, 0], known_grams = _odds(row, word, grams, each, marks)
     for held, some in ((net.words, known_words), (net.grams, known_grams)):
         held[some, 1:] = 0.1 * rng.standard_normal((int(some.sum()), WIDTH - 1))
     text, start, size = windows_of(counts)
