@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom import model as m
-from fieldloom.functions.regex import apply_pattern, is_valid, search
+from fieldloom.functions.literals import literals_column
+from fieldloom.functions.regex import apply_pattern, compiles, is_valid, prepare_column, search
 from fieldloom.operators.bounds import rows_within
 from fieldloom.operators.fields import usable_rules
+from fieldloom.operators.terms import pattern_hits
+from fieldloom.session import materialize
 
 
 def rule_coverage(fields: DataFrame, rules: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -103,11 +106,16 @@ def pattern_counts(docs: DataFrame, patterns: list[str], text: str = "text") ->
 
 
 def pattern_counts_from(docs: DataFrame, patterns: DataFrame, column: str, limit: int = 500) -> DataFrame:
-    """As ``pattern_counts`` for a small table of patterns."""
-    rows = rows_within(patterns.select(column).distinct(), limit)
-    if rows is None:
-        raise ValueError(f"more than {limit} patterns: use operators.terms.pattern_hits")
-    return pattern_counts(docs, [r[0] for r in rows])
+    """As ``pattern_counts`` for a table of patterns of any size (beyond ``limit``: through ``pattern_hits``; ids of ``docs`` are unique)."""
+    distinct = patterns.select(F.col(column).alias("pattern")).filter(F.col(column).isNotNull()).distinct()
+    rows = rows_within(distinct, limit)
+    if rows is not None:
+        return pattern_counts(docs, [r[0] for r in rows])
+    listed = materialize(distinct.withColumn("valid", compiles("pattern")).withColumn("literals", literals_column("pattern")).withColumn("java", prepare_column("pattern")["java"])
+                         .withColumn("term_id", F.monotonically_increasing_id()))
+    hits = pattern_hits(docs.select("doc_id", "text"), listed.filter(F.col("java").isNotNull()).select("term_id", "java", "literals"))
+    n = hits.groupBy("term_id").agg(F.count(F.lit(1)).alias("matches"))
+    return listed.join(n, "term_id", "left").select("pattern", F.coalesce("matches", F.lit(0)).alias("matches"), F.lit(docs.count()).alias("total"), "valid")
 
 
 def queue_counters(queue: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from fieldloom import model as m
 from fieldloom.functions.regex import prepare, prepare_column
 from fieldloom.functions.text import fleet_heading, product_of_type
 from fieldloom.operators.bounds import join_small, literal, rows_within
+from fieldloom.functions.literals import literals_column
 from fieldloom.operators.terms import contains_join, pattern_hits
 from fieldloom.session import materialize
 
@@ -160,18 +161,22 @@ def detect_by_join(docs: DataFrame, catalogue: DataFrame, text: str = "text") ->
     words = entries.select(key.alias("entry"), F.explode("keywords").alias("term")).filter(F.col("term") != "")
     words = words.withColumn("term_id", F.xxhash64(F.lower("term")))
     regex = entries.select(key.alias("entry"), F.explode("patterns").alias("pattern"))
-    regex = regex.withColumn("ready", prepare_column("pattern")).filter("ready.java is not null")
+    regex = regex.withColumn("ready", prepare_column("pattern")).withColumn("literals", literals_column("pattern")).filter("ready.java is not null")
     regex = regex.withColumn("java", F.col("ready.java")).withColumn("term_id", F.xxhash64("java"))
     word_hits = contains_join(plain, words.select("term_id", F.lower("term").alias("term")).distinct()).select("doc_id", "term_id")
-    regex_hits = pattern_hits(plain, regex.select("term_id", "java").distinct())
+    regex_hits = pattern_hits(plain, regex.select("term_id", "java", "literals").distinct())
     points = (
         word_hits.join(words, "term_id").select("doc_id", "entry", F.lit(m.KEYWORD_POINTS).alias("p"))
         .unionByName(regex_hits.join(regex, "term_id").select("doc_id", "entry", F.lit(m.PATTERN_POINTS).alias("p")))
     )
-    empty = entries.select(key.alias("entry"), F.size(F.filter("keywords", lambda k: k == "")).alias("n")).filter("n > 0")
-    always = {(r["entry"]["level"], r["entry"]["id"]): r["n"] for r in empty.toLocalIterator()}
+    # an empty keyword is in every text; such entries are few, so their list is written into the plan
+    empty = entries.select(F.col("level").alias("level"), F.col("id").alias("id"), F.size(F.filter("keywords", lambda k: k == "")).alias("n")).filter("n > 0")
+    always = [r.asDict() for r in empty.toLocalIterator()]
     if always:
-        raise ValueError(f"empty keywords match every document, remove them first: {sorted(always)[:5]}")
+        everywhere = literal(always, f"array<{empty.schema.simpleString()}>")
+        added = plain.filter(F.col("text").isNotNull()).select("doc_id", F.explode(everywhere).alias("e"))
+        fields_ = points.schema["entry"].dataType.fieldNames()
+        points = points.unionByName(added.select("doc_id", F.struct(*[F.col(f"e.{f}").alias(f) for f in fields_]).alias("entry"), (F.col("e.n") * m.KEYWORD_POINTS).cast("int").alias("p")))
     scores = points.groupBy("doc_id", "entry").agg(F.sum("p").cast("int").alias("score")).select("doc_id", "entry.level", "entry.id", "score")
     described = join_small(
         scores,

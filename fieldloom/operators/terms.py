@@ -2,7 +2,8 @@
 
 ``contains_join`` finds substrings through an equi-join on short seeds and then
 checks each candidate, so no document is paired with all terms.
-``pattern_hits`` runs regular expressions in batches of a bounded size.
+``pattern_hits`` meets regular expressions through the literals that they need; those
+without one are run in batches of a bounded size.
 """
 
 from __future__ import annotations
@@ -54,12 +55,21 @@ def contains_join(docs: DataFrame, terms: DataFrame, same: list[str] | None = No
     return unpack(found, ["doc_id"], "_hits")
 
 
+#: A letter that patterns take for s, and lower case leaves alone.
+LONG_S = "\u017f"
+
+
 def pattern_hits(docs: DataFrame, patterns: DataFrame, batch: int = 2_000) -> DataFrame:
     """(doc_id, term_id) for every pattern that occurs in the lower-case text.
 
-    ``patterns``: term_id, java (already checked and rewritten).  Each batch is
-    one pass without a shuffle; its hits are written out before the next one.
+    ``patterns``: term_id, java (already checked and rewritten), and ``literals`` if known
+    (see ``functions.literals``).  Patterns with literals are tried where one of those occurs, in one
+    pass for any number of them.  Of the others each batch is one pass without a
+    shuffle; its hits are written out before the next one.
     """
+    if "literals" in patterns.columns:
+        known = F.coalesce(F.size("literals"), F.lit(0)) > 0
+        return _hits_by_literals(docs, patterns.filter(known)).unionByName(pattern_hits(docs, patterns.filter(~known).drop("literals"), batch))
     parts, held = [], []
 
     def flush() -> None:
@@ -76,3 +86,14 @@ def pattern_hits(docs: DataFrame, patterns: DataFrame, batch: int = 2_000) -> Da
     if held or not parts:
         flush()
     return reduce(DataFrame.unionByName, parts)
+
+
+def _hits_by_literals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Hits of patterns that need a literal: documents meet literals, candidates are searched in the row of their text."""
+    rows = patterns.select("term_id", "java", F.explode("literals").alias("literal")).withColumn("literal_id", F.xxhash64("literal"))
+    plain = docs.select("doc_id", F.translate(F.lower("text"), LONG_S, "s").alias("text"))
+    met = contains_join(plain, rows.select(F.col("literal_id").alias("term_id"), F.col("literal").alias("term")).distinct())
+    tried = join_small(met.select("doc_id", F.col("term").alias("literal")), rows.select("literal", "term_id", "java"), "literal")
+    lists = tried.groupBy("doc_id").agg(F.collect_set(F.struct("term_id", "java")).alias("_tried"))
+    text = docs.select("doc_id", F.lower("text").alias("_low")).join(lists, "doc_id")
+    return unpack(text.select("doc_id", F.filter("_tried", lambda p: F.rlike(F.col("_low"), p["java"])).alias("_hits")), ["doc_id"], "_hits").select("doc_id", "term_id")

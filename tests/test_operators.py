@@ -15,7 +15,9 @@ from fieldloom.operators import upkeep
 from fieldloom.operators.bounds import salted_join
 from fieldloom.operators.terms import contains_join, pattern_hits
 from fieldloom.operators.trainer import locate_literals
+from fieldloom.functions.literals import required_literals
 from fieldloom.functions.regex import prepare
+from fieldloom.operators.coverage import pattern_counts, pattern_counts_from
 
 WORDS = ["auto", "automóvil", "a", "pó", "seguro de", "ab", "moto", "o\n"]
 
@@ -41,6 +43,29 @@ def test_pattern_hits_in_batches(spark):
     assert got == {(d, i) for d, b in docs for i, p in enumerate(patterns[:3]) if re.search(p, b.lower(), re.I | re.M)}
 
 
+PATTERNS = ["^auto", r"seguro\s+de$", "zzz", r"p(?:oliza|rima)\s*n", "(?:casa|vida)", r"\d+", "a|b", "(?:responsab)+il", "x?y?z?"]
+
+
+def test_required_literals():
+    assert required_literals(r"p(?:oliza|rima)\s*nueva") == ["nueva"]
+    assert required_literals(r"(?:casa|vida)\d") == ["casa", "vida"]
+    assert required_literals("(?:ABCD)+x") == ["abcd"]
+    for nothing in (r"\d+", "ab", "(?:casa|x)", "(?:casa)?", "[x", "(?x) c a s a", "(?=casa)b"):
+        assert required_literals(nothing) is None, nothing
+
+
+def test_patterns_by_literals_equal_all_patterns(spark):
+    docs = texts() + [(900, None), (901, ""), (902, "CA\u017fA nueva vida"), (903, "responsabresponsabilidad")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    many = PATTERNS + [f"nothing{i}" for i in range(10_000)]
+    ready = spark.createDataFrame([(i, prepare(p).java, required_literals(p)) for i, p in enumerate(many)], "term_id bigint, java string, literals array<string>")
+    got = sorted(map(tuple, pattern_hits(frame, ready).select("doc_id", "term_id").collect()))
+    want = sorted(map(tuple, pattern_hits(frame, ready.drop("literals").filter(f"term_id < {len(PATTERNS)}")).select("doc_id", "term_id").collect()))
+    assert got == want and (902, 4) in got
+    counts = {r["pattern"]: (r["matches"], r["total"], r["valid"]) for r in pattern_counts_from(frame, spark.createDataFrame([(p,) for p in [*PATTERNS, "[x"]], "p string"), "p", limit=0).collect()}
+    assert counts == {r["pattern"]: (r["matches"], r["total"], r["valid"]) for r in pattern_counts(frame, [*PATTERNS, "[x"]).collect()}
+
+
 def brute_detect(body, entries):
     low = body.lower()
 
@@ -195,3 +220,15 @@ def test_line_strategies_at_the_edges(spark):
         loc.from_block_end(col, 2).alias("from_end"), loc.from_block_end(col, 20).alias("too_far"),
     ).first()
     assert tuple(out) == ("1.00", None, "2.00", "2.00", None, "x", "LABEL", None)
+
+
+def test_empty_keywords_score_in_both_forms(spark):
+    docs = spark.createDataFrame([(1, "auto"), (2, "poliza"), (3, "nothing")], "doc_id bigint, text string")
+    base = samples.catalogue(spark)
+    rows = [r.asDict() for r in base.collect()]
+    first = next(r for r in rows if r["level"] == m.COMPANY)
+    first["keywords"] = [*first["keywords"], ""]
+    catalogue = spark.createDataFrame([tuple(r[c] for c in base.columns) for r in rows], base.schema)
+    cols = ["doc_id", "company_id", "line_id", "product_id", "score_company", "confidence"]
+    one, two = (sorted(map(str, f(docs, catalogue).select(*cols).collect())) for f in (det.detect, det.detect_by_join))
+    assert one == two and any(f"score_company={k}" in x for x in one for k in range(1, 9))
