@@ -8,6 +8,7 @@ leaves the executors.
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import pandas as pd
@@ -76,6 +77,11 @@ def to_java(pattern: str) -> str:
     while i < len(pattern):
         two = pattern[i : i + 2]
         if pattern[i] == "\\":
+            named = re.match(r"\\N\{([^}]+)\}", pattern[i:])
+            if named:  # names are Python's, so the letter's number is written
+                out.append(f"\\x{{{ord(unicodedata.lookup(named[1])):x}}}")
+                i += named.end()
+                continue
             wide = re.match(r"\\U([0-9a-fA-F]{8})|\\0([0-7]{0,2})", pattern[i:])
             if wide:
                 out.append(f"\\x{{{int(wide[1], 16) if wide[1] else int(wide[2] or '0', 8):x}}}")

@@ -140,3 +140,11 @@ def test_python_only_patterns(spark, pattern, text, value):
     per_row = rows.withColumn("r", ready).select(regex.extract_value(F.col("t"), F.col("r.java"), F.col("r.groups"), F.col("r.optional_first")).alias("v"))
     assert rows.select(regex.apply_pattern(F.col("t"), pattern).alias("v")).first()["v"] == value
     assert per_row.first()["v"] == value
+
+
+def test_named_letters(spark):
+    from fieldloom.functions.regex import apply_pattern, to_java
+
+    assert to_java(r"\N{DIGIT ONE}[\N{DIGIT TWO}x]") == r"\x{31}[\x{32}x]"
+    df = spark.createDataFrame([("a 12 b",), ("é1x",), ("13",)], "t string")
+    assert [r[0] for r in df.select(apply_pattern(F.col("t"), r"(\N{DIGIT ONE}[\N{DIGIT TWO}x])")).collect()] == ["12", "1x", None]
