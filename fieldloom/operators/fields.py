@@ -19,6 +19,7 @@ from fieldloom.functions.checks import is_vehicle_line
 from fieldloom.functions.regex import apply_pattern, extract_value, prepare, prepare_column
 from fieldloom.functions.text import strip
 from fieldloom.operators.bounds import MAX_BYTES, join_small, literal, rows_within, unpack
+from fieldloom.operators.layout import zone_text
 
 MAX_UNROLLED_RULES = 400
 MAX_BROADCAST_RULES = 100_000
@@ -47,29 +48,6 @@ def screen_rules(rules: DataFrame) -> DataFrame:
                         F.col("_ready.optional_first").alias("optional_first"))
 
 
-def zone_text(spans: Column, bbox: Column, pad: float = 5.0) -> Column:
-    """Text of the full-width band of one page between two fractions of its height."""
-    inside = F.filter(
-        spans,
-        lambda s: (s["page"] == bbox["page"])
-        & (s["y0"] >= F.greatest(F.lit(0.0), bbox["top"] * s["page_height"] - pad))
-        & (s["y1"] <= F.least(s["page_height"], bbox["bottom"] * s["page_height"] + pad)),
-    )
-    ordered = F.array_sort(inside, lambda a, b: F.when(a["ord"] < b["ord"], -1).otherwise(1))
-    # one text line per distinct height
-    return F.aggregate(
-        ordered,
-        F.struct(F.lit("").alias("t"), F.lit(None).cast("double").alias("y")),
-        lambda acc, s: F.struct(
-            F.when(acc["y"].isNull(), s["text"])
-            .when(F.abs(acc["y"] - s["y0"]) <= 3, F.concat(acc["t"], F.lit(" "), s["text"]))
-            .otherwise(F.concat(acc["t"], F.lit("\n"), s["text"])).alias("t"),
-            s["y0"].alias("y"),
-        ),
-        lambda acc: acc["t"],
-    )
-
-
 def _filled(value: Column) -> Column:
     """NULL instead of an empty value; stays inside generated code."""
     return F.nullif(value, F.lit(""))

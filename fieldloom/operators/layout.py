@@ -2,8 +2,11 @@
 
 Array functions take the spans of one document (``ARRAY<STRUCT<page, ord, block,
 line, text, x0, y0, x1, y1, ...>>``); table functions take one row per span.
-The table functions join only label spans to the spans of the same page and
-aggregate with partial sums, no page is collected anywhere.
+The table functions look values up in a grid: a span lies in one cell (document,
+page, band of the height), a label or section probes the cells its reach touches
+and a zone those of its product and page.  So each lookup is an equi-join on cells,
+however many spans a page or zones a product has; pairs are aggregated in part
+before they are shuffled, no page is collected anywhere.
 """
 
 from __future__ import annotations
@@ -16,6 +19,11 @@ from fieldloom.functions.text import present, strip
 from fieldloom.operators.bounds import join_small
 
 PAGE = ["doc_id", "page"]
+CELL = 50.0  # height of a band of the grid, in points
+TALLEST = 14_400.0  # what lies further down shares the last cell
+ZONE_BANDS = 20  # bands of a page for zones, whose bounds are fractions of its height
+ZONE_PAD = 5.0
+SAME_LINE = 3  # spans whose tops differ by no more stand in one line
 
 
 # ---- flattening ---------------------------------------------------------------
@@ -172,6 +180,33 @@ def table_row(rows: Column, words: list[str], pattern: str, accept, group: int =
     return let(rows, lambda rs: F.get(F.filter(F.transform(rs, lambda r, i: one(r, i, rs)), lambda v: v.isNotNull()), F.lit(0)))
 
 
+def in_zone(y0: Column, y1: Column, height: Column, top: Column, bottom: Column, pad: float = ZONE_PAD) -> Column:
+    """Does a span lie in the full-width band between two fractions of its page's height?"""
+    return (y0 >= F.greatest(F.lit(0.0), top * height - pad)) & (y1 <= F.least(height, bottom * height + pad))
+
+
+def zone_lines(spans: Column) -> Column:
+    """Text of spans in reading order, one text line per distinct height."""
+    ordered = F.array_sort(spans, lambda a, b: F.when(a["ord"] < b["ord"], -1).otherwise(1))
+    return F.aggregate(
+        ordered,
+        F.struct(F.lit("").alias("t"), F.lit(None).cast("double").alias("y")),
+        lambda acc, s: F.struct(
+            F.when(acc["y"].isNull(), s["text"])
+            .when(F.abs(acc["y"] - s["y0"]) <= SAME_LINE, F.concat(acc["t"], F.lit(" "), s["text"]))
+            .otherwise(F.concat(acc["t"], F.lit("\n"), s["text"])).alias("t"),
+            s["y0"].alias("y"),
+        ),
+        lambda acc: acc["t"],
+    )
+
+
+def zone_text(spans: Column, bbox: Column, pad: float = ZONE_PAD) -> Column:
+    """Text of the full-width band of one page between two fractions of its height."""
+    inside = lambda s: (s["page"] == bbox["page"]) & in_zone(s["y0"], s["y1"], s["page_height"], bbox["top"], bbox["bottom"], pad)
+    return zone_lines(F.filter(spans, inside))
+
+
 # ---- table form ---------------------------------------------------------------
 
 SPAN = ["doc_id", "page", "ord", "text", "x0", "y0", "x1", "y1"]
@@ -189,11 +224,27 @@ def label_spans(spans: DataFrame, label: str, exact: bool = False, y_from: str |
     return first.select(*PAGE, *[F.col(f"_l.{c}").alias(f"l_{c}") for c in ("ord", "x0", "y0", "x1", "y1")])
 
 
+def _cell(y: Column) -> Column:
+    return F.floor(F.least(F.greatest(y, F.lit(0.0)), F.lit(TALLEST)) / CELL)
+
+
+def within_reach(spans: DataFrame, marks: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Spans with the marks (doc_id, page, ...) of their page between whose ``low`` and ``high`` they start.
+
+    ``low`` and ``high`` are columns of the mark, both inclusive; without one of them it reaches nothing.
+    """
+    probes = marks.withColumns({"_low": low, "_high": high}).filter(F.col("_low") <= F.col("_high"))
+    probes = probes.withColumn("_cell", F.explode(F.sequence(_cell(F.col("_low")), _cell(F.col("_high")))))
+    met = spans.withColumn("_cell", _cell(F.col("y0"))).join(probes, [*PAGE, "_cell"])
+    return met.filter((F.col("y0") >= F.col("_low")) & (F.col("y0") <= F.col("_high"))).drop("_cell", "_low", "_high")
+
+
 def nearest_values(spans: DataFrame, labels: DataFrame, exclude: list[str] | None = None, tol_x: float = 14,
                    tol_row: float = 3, max_dy: float = 45, same_row: bool = True, below: bool = True,
                    max_dx: float | None = None) -> DataFrame:
     """(doc_id, page, value) for each label span; partial aggregation before the shuffle."""
-    pairs = spans.join(labels, PAGE).filter(F.col("ord") != F.col("l_ord"))
+    above, beneath = (tol_row if same_row else 0), max(tol_row if same_row else 0, max_dy if below else 0)
+    pairs = within_reach(spans, labels, F.col("l_y0") - above, F.col("l_y0") + beneath).filter(F.col("ord") != F.col("l_ord"))
     if exclude:
         pairs = pairs.filter(~F.lower("text").isin(*exclude))
     dy, dx = F.col("y0") - F.col("l_y0"), F.col("x0") - F.col("l_x1")
@@ -215,7 +266,7 @@ def first_page_value(values: DataFrame) -> DataFrame:
 def column_values(spans: DataFrame, labels: DataFrame, exclude: list[str] | None = None, tol_x: float = 14,
                   max_dy: float = 90, max_lines: int = 4, max_gap: float = 20) -> DataFrame:
     """Table form of ``column_lines``: at most a few spans per label survive the band filter."""
-    pairs = spans.join(labels, PAGE).filter(F.col("ord") != F.col("l_ord"))
+    pairs = within_reach(spans, labels, F.col("l_y0"), F.col("l_y0") + max_dy).filter(F.col("ord") != F.col("l_ord"))
     dy = F.col("y0") - F.col("l_y0")
     under = pairs.filter((dy > 0) & (dy <= max_dy) & (F.abs(F.col("x0") - F.col("l_x0")) <= tol_x))
     if exclude:
@@ -231,7 +282,7 @@ def section_spans(spans: DataFrame, start: DataFrame, end: DataFrame, default_he
     """Spans from the start label up to the end label, or ``default_height`` points."""
     bounds = start.select(*PAGE, F.col("l_y0").alias("_from")).join(end.select(*PAGE, F.col("l_y0").alias("_to")), PAGE, "left")
     bounds = bounds.select(*PAGE, "_from", F.coalesce("_to", F.col("_from") + default_height).alias("_to"))
-    return spans.join(bounds, PAGE).filter((F.col("y0") >= F.col("_from")) & (F.col("y0") < F.col("_to"))).drop("_from", "_to")
+    return within_reach(spans, bounds, F.col("_from"), F.col("_to")).filter(F.col("y0") < F.col("_to")).drop("_from", "_to")
 
 
 def band_below_title(spans: DataFrame, title: str, height: float = 40) -> DataFrame:
@@ -239,18 +290,31 @@ def band_below_title(spans: DataFrame, title: str, height: float = 40) -> DataFr
     hit = spans.filter(F.col("text") == title)
     last = hit.groupBy("doc_id").agg(F.min_by(F.struct("page", "y0"), F.struct(-F.col("page"), "ord")).alias("_t"))
     last = last.select("doc_id", F.col("_t.page").alias("page"), F.col("_t.y0").alias("_y"))
-    return spans.join(last, PAGE).filter((F.col("y0") > F.col("_y")) & (F.col("y0") <= F.col("_y") + height)).drop("_y")
+    return within_reach(spans, last, F.col("_y"), F.col("_y") + height).filter(F.col("y0") > F.col("_y")).drop("_y")
+
 
+def _zone_band(fraction: Column) -> Column:
+    return F.floor(F.least(F.greatest(fraction, F.lit(0.0)), F.lit(1.0)) * ZONE_BANDS)
 
-def zone_texts(spans: DataFrame, zones: DataFrame, pad: float = 5.0) -> DataFrame:
-    """(rule_id, doc_id, text) of zones given as fractions of the page height, full width.
 
-    ``zones``: rule_id, page, top, bottom; ``spans`` need page_height.
+def zone_texts(spans: DataFrame, zones: DataFrame, pad: float = ZONE_PAD) -> DataFrame:
+    """(rule_id, doc_id, text) of zones given as fractions of the page height, full width: the table form of ``zone_text``.
+
+    ``zones``: rule_id, [product_id,] page, top, bottom; ``spans`` need page_height and, when zones belong to products,
+    product_id.  A zone without spans gives no row.
     """
-    inside = join_small(spans, zones, "page").filter(
-        (F.col("y0") >= F.greatest(F.lit(0.0), F.col("top") * F.col("page_height") - pad))
-        & (F.col("y1") <= F.least(F.col("page_height"), F.col("bottom") * F.col("page_height") + pad))
-    )
+    of = [c for c in ("product_id", "page") if c in zones.columns]
+    y0, y1, height = F.col("y0"), F.col("y1"), F.col("page_height")
+    # a span reaches a zone where [least(start, end), start] meets [top, bottom]; the margin covers rounding
+    start, end = (y0 + pad) / height, (y1 - pad) / height
+    first, last = _zone_band(F.least(start, end) - 1e-9), _zone_band(start + 1e-9)
+    placed = spans.withColumn("_first", first).withColumn("_band", F.explode(F.sequence("_first", last)))
+    # a missing bound is the page's edge
+    edges = F.coalesce("top", F.lit(0.0)), F.coalesce("bottom", F.lit(1.0))
+    probes = zones.select("rule_id", *of, "top", "bottom", _zone_band(F.least(*edges)).alias("_low"), _zone_band(F.greatest(*edges)).alias("_high"))
+    probes = probes.withColumn("_band", F.explode(F.sequence("_low", "_high"))).drop("_high")
+    met = join_small(placed, probes, [*of, "_band"]).filter(F.col("_band") == F.greatest("_first", "_low"))  # once, in the first band they share
+    inside = met.filter(in_zone(y0, y1, height, F.col("top"), F.col("bottom"), pad))
     # spans of one zone of one page: bounded by the page
-    grouped = inside.groupBy("rule_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("_s"))
-    return grouped.select("rule_id", "doc_id", F.array_join(F.transform("_s", lambda s: s["text"]), " ").alias("text"))
+    grouped = inside.groupBy("rule_id", "doc_id").agg(F.collect_list(F.struct("ord", "y0", "text")).alias("_s"))
+    return grouped.select("rule_id", "doc_id", zone_lines(F.col("_s")).alias("text"))

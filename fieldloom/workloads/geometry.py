@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom.operators import layout
+from fieldloom.operators.bounds import unpack
+from fieldloom.operators.fields import rule_fields
 from fieldloom.workloads.registry import query, spread, table
 
 # (ord, text, x0, y0, width): expressions that mean the same in both engines
@@ -117,7 +119,14 @@ def table_row_value(spark, folder):
     )
 
 
-@query(f"""WITH {SPANS}, zone AS (SELECT doc_id, string_agg(text, ' ' ORDER BY ord) AS t FROM span WHERE y0 >= 0.140625 * {HEIGHT} - 5 AND y1 <= 0.171875 * {HEIGHT} + 5 GROUP BY doc_id),
+def _zone_sql(spans: str, where: str, keys: str = "doc_id") -> str:
+    """Texts of a zone: a blank within a line, a line break between lines."""
+    return f"""SELECT {keys}, string_agg(gap || text, '' ORDER BY ord) AS t FROM (SELECT {keys}, ord, text,
+  CASE WHEN lag(y0) OVER w IS NULL THEN '' WHEN abs(y0 - lag(y0) OVER w) <= 3 THEN ' ' ELSE chr(10) END AS gap
+  FROM {spans} WHERE {where} WINDOW w AS (PARTITION BY {keys} ORDER BY ord)) GROUP BY {keys}"""
+
+
+@query(f"""WITH {SPANS}, zone AS ({_zone_sql('span', f'y0 >= 0.140625 * {HEIGHT} - 5 AND y1 <= 0.171875 * {HEIGHT} + 5')}),
 every AS (SELECT doc_id, string_agg(text, ' ' ORDER BY ord) AS t FROM span GROUP BY doc_id),
 sec AS (SELECT doc_id, count(*) AS n FROM span WHERE y0 >= 20 AND y0 < 300 GROUP BY doc_id)
 SELECT e.doc_id, n AS in_section, coalesce(nullif(regexp_extract(z.t, '(D\\d)', 1), ''), nullif(regexp_extract(e.t, '(D\\d)', 1), '')) AS value, z.t AS zone_text
@@ -137,6 +146,98 @@ def zone_then_text(spark, folder):
     return whole.join(zone, "doc_id", "left").join(counts, "doc_id", "left").select("doc_id", "in_section", value.alias("value"), "zone_text")
 
 
+# ---- two pages, two products ------------------------------------------------------------
+
+# page 1 lacks the values of every third document; page 2 repeats the page with marked values, and its lower
+# title is absent from every fourth
+PAGES = f"""{SPANS}, pages AS (SELECT doc_id, doc_id % 2 + 1 AS product_id, page, ord, text, x0, y0, x1, y1 FROM span WHERE NOT (doc_id % 3 = 0 AND ord IN (2, 3, 5, 6, 7))
+  UNION ALL SELECT doc_id, doc_id % 2 + 1, 2, ord + 20, CASE WHEN ord IN (0, 1, 4, 8, 10) THEN text ELSE text || 'p' END, x0, y0 + 2, x1, y1 + 2 FROM span
+  WHERE NOT (doc_id % 4 = 1 AND ord = 8))"""
+
+
+def page_array(spark, folder):
+    """One row per document with the spans of both its pages."""
+    titles, values = (0, 1, 4, 8, 10), (2, 3, 5, 6, 7)
+    doc = F.col("doc_id")
+    first = F.filter("spans", lambda s: ~((doc % 3 == 0) & s["ord"].isin(*values)))
+    second = F.transform(
+        F.filter("spans", lambda s: ~((doc % 4 == 1) & (s["ord"] == 8))),
+        lambda s: F.struct(
+            F.lit(2).alias("page"), (s["ord"] + 20).alias("ord"), s["block"].alias("block"), s["line"].alias("line"),
+            F.when(s["ord"].isin(*titles), s["text"]).otherwise(F.concat(s["text"], F.lit("p"))).alias("text"),
+            s["x0"].alias("x0"), (s["y0"] + 2).alias("y0"), s["x1"].alias("x1"), (s["y1"] + 2).alias("y1"),
+            s["page_width"].alias("page_width"), s["page_height"].alias("page_height"),
+        ),
+    )
+    both = span_array(spark, folder).select("doc_id", F.concat(first, second).alias("spans"))
+    text = F.array_join(F.transform("spans", lambda s: s["text"]), " ")
+    return both.select("doc_id", (doc % 2 + 1).alias("product_id"), text.alias("text"), "spans")
+
+
+def page_rows(spark, folder):
+    return page_array(spark, folder).select("doc_id", "product_id", F.inline("spans"))
+
+
+@query(f"""WITH {PAGES}, lab AS (SELECT doc_id, page, ord AS lo, x0 AS lx0, y0 AS ly0, x1 AS lx1 FROM pages WHERE ord IN (1, 21)),
+placed AS (SELECT doc_id, page, text, ord, CASE WHEN abs(y0 - ly0) <= 3 AND x0 > lx1 - 2 THEN 0 WHEN y0 > ly0 AND y0 - ly0 <= 45 AND abs(x0 - lx0) <= 14 THEN 1 END AS kind,
+  CASE WHEN kind = 0 THEN x0 - lx1 ELSE y0 - ly0 END AS gap FROM pages JOIN lab USING (doc_id, page) WHERE ord <> lo AND text <> 'Neta'),
+f AS (SELECT doc_id, arg_min(text, (page, kind, gap, ord)) AS value FROM placed WHERE kind IS NOT NULL GROUP BY doc_id)
+SELECT o_orderkey AS doc_id, value, value AS value_in_row FROM orders LEFT JOIN f ON doc_id = o_orderkey""")
+def first_page_value(spark, folder):
+    """Value of the first page whose label has one, in the table form and inside one row."""
+    docs, spans = page_array(spark, folder), page_rows(spark, folder)
+    found = layout.first_page_value(layout.nearest_values(spans, layout.label_spans(spans, "total"), exclude=["neta"]))
+    in_row = layout.over_pages(F.col("spans"), "total", None, lambda part, label: layout.nearest_value(part, label, ["neta"]))
+    return docs.select("doc_id", in_row.alias("value_in_row")).join(found, "doc_id", "left")
+
+
+@query(f"""WITH {PAGES}, title AS (SELECT doc_id, max(page) AS page FROM pages WHERE text = 'AGENTE' GROUP BY doc_id),
+low AS (SELECT doc_id, page, y0 AS ty FROM pages JOIN title USING (doc_id, page) WHERE text = 'AGENTE')
+SELECT doc_id, page, max(text) AS agent_key, count(*) AS n FROM pages JOIN low USING (doc_id, page) WHERE y0 > ty AND y0 <= ty + 40 GROUP BY ALL""")
+def last_page_band(spark, folder):
+    """Spans below the title on the last of several pages that has it."""
+    band = layout.band_below_title(page_rows(spark, folder), "AGENTE")
+    return band.groupBy("doc_id", "page").agg(F.max("text").alias("agent_key"), F.count(F.lit(1)).alias("n"))
+
+
+# rule, product, field, pattern, page and the two bounds of its zone
+ZONE_RULES = [
+    (1, 1, "clave", r"(D\d)", 1, 0.140625, 0.171875),
+    (2, 1, "cliente", r"C(\d+)", 2, 0.12, 0.16),
+    (3, 1, "par", r"C(\d+)p?\nD", 2, 0.13, 0.2),
+    (4, 2, "clave", r"(D\dp)", 2, 0.140625, 0.171875),
+    (5, 2, "agente", r"K(\d+)", 1, 0.3625, 0.45),
+    (6, 2, "total", r"B(\d+)", None, None, None),
+]
+_BOX = "rule(rule_id, product_id, field, pattern, page, top, bottom) AS (VALUES " + ", ".join(
+    f"({r}, {p}, '{f}', '{x}', {pg or 'NULL'}, {t or 'NULL'}, {b or 'NULL'})" for r, p, f, x, pg, t, b in ZONE_RULES) + ")"
+_ZONED = f"""WITH {PAGES}, {_BOX}, held AS (SELECT rule_id, doc_id, ord, text, y0 FROM pages JOIN rule USING (product_id, page)
+  WHERE y0 >= greatest(0, top * {HEIGHT} - 5) AND y1 <= least({HEIGHT}, bottom * {HEIGHT} + 5)), zone AS ({_zone_sql('held', 'true', 'rule_id, doc_id')})"""
+
+
+def zone_rules(spark):
+    box = F.when(F.col("page").isNotNull(), F.struct("page", F.lit(0.0).alias("x0"), "top", F.lit(1.0).alias("x1"), "bottom"))
+    rows = spark.createDataFrame(ZONE_RULES, "rule_id bigint, product_id bigint, field string, pattern string, page int, top double, bottom double")
+    return rows.select("*", box.alias("bbox"), F.lit(True).alias("active"), F.lit(False).alias("draft"))
+
+
+@query(f"{_ZONED} SELECT rule_id, doc_id, t AS text FROM zone")
+def zone_texts(spark, folder):
+    """Texts of the zones of each product on their pages, table form."""
+    zones = zone_rules(spark).filter("page IS NOT NULL").select("rule_id", "product_id", "page", "top", "bottom")
+    return layout.zone_texts(page_rows(spark, folder), zones)
+
+
+@query(f"""{_ZONED}, doc AS (SELECT doc_id, product_id, string_agg(text, ' ' ORDER BY ord) AS t FROM pages GROUP BY ALL),
+found AS (SELECT doc_id, rule_id, field, coalesce(nullif(regexp_extract(z.t, pattern, 1), ''), nullif(regexp_extract(d.t, pattern, 1), '')) AS value
+  FROM doc d JOIN rule USING (product_id) LEFT JOIN zone z USING (rule_id, doc_id))
+SELECT *, CASE WHEN value IS NULL THEN 'no_encontrado' ELSE 'regla' END AS method FROM found""")
+def zone_rule_fields(spark, folder):
+    """Rules of two products with zones on two pages, each on its zone, else on the whole text."""
+    ruled = rule_fields(page_array(spark, folder), zone_rules(spark), spans="spans")
+    return unpack(ruled, ["doc_id"], "rule_fields").select("doc_id", "rule_id", "field", "value", "method")
+
+
 @query(f"""WITH {SPANS} SELECT doc_id, max(text) FILTER (ord = 9 AND y0 <= 340) AS agent_key, count(*) FILTER (ord = 9 AND y0 <= 340) AS n FROM span GROUP BY doc_id
 HAVING count(*) FILTER (ord = 9 AND y0 <= 340) > 0""")
 def band_below_title(spark, folder):
