@@ -42,3 +42,28 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/fieldloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target, conf = _path(spark, path)
+    return target.getFileSystem(conf).exists(target)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write or replace a small file as a whole: readers find the old text or the new one."""
+    target, conf = _path(spark, path)
+    fs = target.getFileSystem(conf)
+    fs.mkdirs(target.getParent())
+    staged, _ = _path(spark, f"{target.getParent()}/_{uuid.uuid4().hex}")  # readers pass over names with an underscore
+    out = fs.create(staged, True)
+    out.write(text.encode())
+    out.close()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    rename = hadoop.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(staged, target, options)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom import model as m
@@ -10,6 +14,7 @@ from fieldloom.functions.amounts import person_label
 from fieldloom.operators.bounds import unpack
 from fieldloom.operators.detect import detection_method
 from fieldloom.operators.fields import best_per_field, counters_of, value_of
+from fieldloom.session import path_exists, put_text
 
 # ---- fixed values: exported fields and their headings, in order
 WIDE_COLUMNS = [
@@ -67,17 +72,53 @@ def long_rows(results: DataFrame, fields: str = "fields") -> DataFrame:
     return unpack(results, ["doc_id"], fields)
 
 
-def write_extraction(results: DataFrame, folder: str, batch: str, fields: str = "fields", text: str = "text") -> None:
-    """Write one batch of results, then its header and long rows from the written copy.
+def stage_extraction(results: DataFrame, folder: str, batch: str, fields: str = "fields", text: str = "text") -> str:
+    """Write the three tables of a batch where no reader looks yet; returns the name of the attempt.
 
-    The extraction itself runs a single time however many tables are derived.  Each
-    batch owns its partition of the three tables; a repeated batch replaces it.
+    The extraction itself runs a single time however many tables are derived: header and
+    long rows come from the written results.
     """
-    target = lambda name: f"{folder}/{name}/batch={batch}"
-    results.write.mode("overwrite").parquet(target("results"))
+    attempt = uuid.uuid4().hex
+    target = lambda name: _attempt_path(folder, name, batch, attempt)
+    results.write.parquet(target("results"))
     stored = results.sparkSession.read.schema(results.schema).parquet(target("results"))
-    header_rows(stored, fields, text).write.mode("overwrite").parquet(target("extractions"))
-    long_rows(stored, fields).write.mode("overwrite").parquet(target("fields"))
+    header_rows(stored, fields, text).write.parquet(target("extractions"))
+    long_rows(stored, fields).write.parquet(target("fields"))
+    return attempt
+
+
+def publish_extraction(spark: SparkSession, folder: str, batch: str, attempt: str) -> None:
+    """Make a staged attempt the current one of its batch: one small file is replaced as a whole."""
+    put_text(spark, f"{folder}/commits/{quote(batch, safe='')}.json", json.dumps({"batch": batch, "attempt": attempt}))
+
+
+def write_extraction(results: DataFrame, folder: str, batch: str, fields: str = "fields", text: str = "text") -> None:
+    """Write one batch of results with its header and long rows; readers see all three tables of it or none.
+
+    The files are staged first and published last, so a failure on the way leaves what
+    the batch had before; a repeated batch replaces it.  Read with ``read_extraction``.
+    """
+    publish_extraction(results.sparkSession, folder, batch, stage_extraction(results, folder, batch, fields, text))
+
+
+def _attempt_path(folder: str, name: str, batch: str, attempt: str) -> str:
+    return f"{folder}/{name}/{quote(batch, safe='')}/{attempt}"
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """(batch, attempt) of every batch that was written to its end."""
+    if not path_exists(spark, f"{folder}/commits"):
+        return spark.createDataFrame([], "batch string, attempt string")
+    return spark.read.schema("batch string, attempt string").json(f"{folder}/commits")
+
+
+def read_extraction(spark: SparkSession, folder: str, name: str, batches: list[str] | None = None) -> DataFrame:
+    """One of the three tables (``results``, ``extractions``, ``fields``) of all published batches, or of some."""
+    rows = published(spark, folder).collect()  # one short row a batch
+    paths = [_attempt_path(folder, name, r["batch"], r["attempt"]) for r in rows if batches is None or r["batch"] in batches]
+    if not paths:
+        raise ValueError(f"no published batch in {folder}")
+    return spark.read.parquet(*paths)
 
 
 def method_text(by_rule: Column, by_model: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from fieldloom.operators import fields as fl
 from fieldloom.operators import upkeep
 from fieldloom.operators.bounds import unpack
 from fieldloom.plans.recipes import RECIPE_SCHEMA, Family, Recipe, from_table, recipe_fields, to_rows
+from fieldloom.session import shared_dir
 from fieldloom.sources import export
 from fieldloom.workloads.policies import POLICY, WITH_LINES, policies
 from fieldloom.workloads.registry import query, table
@@ -161,6 +164,26 @@ def field_record_map(spark, folder):
     return fl.covered_fields(long_fields).join(size, "doc_id")
 
 
+@query(f"""{WITH_RULES} SELECT doc_id, count(*) AS n_fields, count(value) AS n_values, count(*) FILTER (method <> 'no_encontrado') AS by_rule,
+  count(*) FILTER (method = 'no_encontrado') AS not_found, list_sort(list(field) FILTER (method = 'regla')) AS covered FROM resolved GROUP BY doc_id""")
+def write_extraction(spark, folder):
+    """Headers and long rows read back from a batch that was written twice; an attempt never published is not seen."""
+    none = F.lit(None).cast("string")
+    docs = _arrays(spark, folder).withColumns(
+        {"company_id": F.lit(1), "line_id": F.lit(1), "company": none, "line": none, "product": none, "score_company": F.lit(3), "confidence": none}
+    )
+    base = f"{shared_dir(spark)}/fieldloom/extraction-{uuid.uuid4().hex}"
+    export.write_extraction(docs.withColumn("fields", F.slice("fields", 1, 1)), base, "all")
+    export.write_extraction(docs, base, "all")
+    export.stage_extraction(docs.withColumn("fields", F.slice("fields", 1, 2)), base, "all")
+    long_fields = export.read_extraction(spark, base, "fields")
+    sizes = long_fields.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_fields"), F.count("value").alias("n_values"))
+    head = export.read_extraction(spark, base, "extractions").select(
+        "doc_id", "covered", F.col("by_rule").cast("bigint").alias("by_rule"), F.col("not_found").cast("bigint").alias("not_found")
+    )
+    return head.join(sizes, "doc_id")
+
+
 @query(f"""{WITH_RULES} SELECT doc_id, max(value) FILTER (field = 'documento') AS documento, max(value) FILTER (field = 'rfc') AS rfc,
   max(value) FILTER (field = 'moneda') AS moneda, max(value) FILTER (field = 'motor') AS motor FROM resolved GROUP BY doc_id""")
 def pivot_export(spark, folder):

@@ -44,14 +44,45 @@ def test_write_and_wide_export(spark, tmp_path):
     results = spark.createDataFrame(rows, schema)
     for batch in ("1", "2", "1"):
         export.write_extraction(results, str(tmp_path), batch)
-    assert spark.read.parquet(str(tmp_path / "extractions")).count() == 2
-    head = spark.read.parquet(str(tmp_path / "extractions")).first()
+    stored = lambda name, *batches: export.read_extraction(spark, str(tmp_path), name, list(batches) or None)
+    assert stored("extractions").count() == 2 and stored("extractions", "2").count() == 1
+    head = stored("extractions").first()
     assert (head["by_rule"], head["not_found"], head["detection_method"], head["record"]["documento"]) == (2, 1, "patrones", "7")
-    assert spark.read.parquet(str(tmp_path / "fields")).count() == 6
+    assert stored("fields").count() == 6
     wide = export.export_wide(results.withColumns({"name": F.lit("f.pdf"), "error": F.lit(None).cast("string")})).first()
     assert len(wide) == 4 + 28 + 3 and wide["Entidad"] == "Persona Física" and wide["Método"] == "Regla(2)" and wide["Error"] == ""
 
 
+def test_batches_are_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    """A failure between two tables leaves the batch as it was; names of batches may hold any letter."""
+    schema = ("doc_id bigint, text string, company_id bigint, line_id bigint, product_id bigint, company string, line string, product string, score_company int, "
+              "confidence string, fields array<struct<field:string,value:string,method:string,rule_id:bigint>>")
+    made = lambda value: spark.createDataFrame([(1, "t", 1, 1, 1, "A", "L", "P", 4, "alta", [("x", value, "regla", 1), ("x", "late" + value, "regla", 2)])], schema)
+    folder, batch = str(tmp_path), "2024/05 ñ=1"
+    with pytest.raises(ValueError):
+        export.read_extraction(spark, folder, "fields")
+    export.write_extraction(made("old"), folder, batch)
+
+    def seen():
+        tables = {n: export.read_extraction(spark, folder, n, [batch]).collect() for n in ("results", "extractions", "fields")}
+        return tables["results"][0]["fields"][0]["value"], tables["extractions"][0]["record"], [r["value"] for r in tables["fields"]]
+
+    before = ("old", {"x": "lateold"}, ["old", "lateold"])
+    assert seen() == before
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    for step in ("header_rows", "long_rows", "publish_extraction"):
+        with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+            patch.setattr(export, step, broken)
+            export.write_extraction(made("new"), folder, batch)
+        assert seen() == before
+    export.write_extraction(made("new"), folder, batch)
+    assert seen() == ("new", {"x": "latenew"}, ["new", "latenew"])
+    assert [r["batch"] for r in export.published(spark, folder).collect()] == [batch]
+
+
 def test_python_extractor_errors_become_rows(spark):
     docs = spark.createDataFrame([(1, "ok"), (2, "bad")], "doc_id bigint, text string")
 
