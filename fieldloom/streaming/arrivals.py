@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fieldloom import model as m
 from fieldloom.operators.bounds import fits
 from fieldloom.operators.detect import detect
 from fieldloom.operators.upkeep import duplicates
+from fieldloom.session import materialize, path_exists
 from fieldloom.sources.ingest import PDF_GLOB, content_hash, describe_files
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -82,11 +85,55 @@ def queue_rows(batch: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
-def queue_writer(folder: str, catalogue: DataFrame) -> Callable[[DataFrame, int], None]:
+def failing_rows(rows: DataFrame, probe: Callable[[DataFrame], None], key: str = "doc_id", most: int = 100) -> list[tuple]:
+    """(key, first line of the error) of the rows that ``probe`` fails on.
+
+    A failing part is halved by a digest of the key until one key is left, so k failing
+    rows of n take about k log n probes, each on its part only.  An error that strikes
+    more than ``most`` rows is no fault of theirs and is raised.
+    """
+    bad: list[tuple] = []
+    parts = [(0, 0)]
+    while parts:
+        depth, rest = parts.pop()
+        part = rows.filter(F.pmod(F.xxhash64(key), F.lit(2**depth)) == rest)
+        try:
+            probe(part)
+        except (AnalysisException, ParseException):
+            raise  # a wrong plan, not a wrong row
+        except Exception as error:
+            if depth == 62 or part.select(key).distinct().limit(2).count() <= 1:
+                bad += [(r[0], _first_line(error)) for r in part.select(key).distinct().collect()]
+                if len(bad) > most:
+                    raise
+            else:
+                parts += [(depth + 1, rest), (depth + 1, rest + 2**depth)]
+    return bad
+
+
+def _first_line(error: Exception) -> str:
+    """What the failing row said, without the lines of the engine around it."""
+    lines = [x.strip() for x in str(getattr(error, "desc", None) or error).splitlines()]
+    return next((x for x in lines if x), type(error).__name__)
+
+
+def without_failing(rows: DataFrame, classified: Callable[[DataFrame], DataFrame], key: str = "doc_id") -> DataFrame:
+    """Queue rows of a batch that could not be classified as a whole; failing rows get the state of an error."""
+    held = materialize(rows)
+    nothing = lambda part: classified(part).write.format("noop").mode("overwrite").save()
+    bad = failing_rows(held, nothing, key)
+    errors = held.sparkSession.createDataFrame(bad, StructType([held.schema[key], StructField("error", StringType())]))
+    marked = held.join(F.broadcast(errors), held[key].eqNullSafe(errors[key]), "left").drop(errors[key])
+    states = marked.filter(F.col("error").isNotNull()).select("doc_id", "sha256", "arrived", F.lit(m.FAILED).alias("state"), "error")
+    return classified(marked.filter(F.col("error").isNull()).drop("error")).unionByName(states, allowMissingColumns=True)
+
+
+def queue_writer(folder: str, catalogue: DataFrame, classified: Callable[[DataFrame, DataFrame], DataFrame] = queue_rows) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: folder de-duplication, history check, classification, write.
 
     Each batch owns the partition ``batch=<id>``; a repeated batch overwrites it.
-    Files that repeat a content are listed under ``to_delete``, never deleted.
+    Files that repeat a content are listed under ``to_delete``, never deleted.  A row that
+    makes the classification fail is stored with the error, the others of its batch as usual.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -96,23 +143,25 @@ def queue_writer(folder: str, catalogue: DataFrame) -> Callable[[DataFrame, int]
         doubles = duplicates(rows.select("doc_id", "sha256", "arrived"), "sha256", "arrived", "doc_id")
         first = rows.join(doubles.select("doc_id"), "doc_id", "left_anti")
         doubles.select("doc_id", "sha256").write.mode("overwrite").parquet(f"{folder}/to_delete/batch={batch_id}")
-        if _exists(spark, f"{folder}/queue"):
+        if path_exists(spark, f"{folder}/queue"):
             stored = spark.read.parquet(f"{folder}/queue").filter(F.col("batch") != batch_id)
             first = fresh_only(first, stored)
-        queue_rows(first, catalogue).write.mode("overwrite").parquet(f"{folder}/queue/batch={batch_id}")
+        target = f"{folder}/queue/batch={batch_id}"
+        place = lambda part: classified(part, catalogue)
+        try:
+            place(first).write.mode("overwrite").parquet(target)
+        except (AnalysisException, ParseException):
+            raise
+        except Exception:
+            without_failing(first, place).write.mode("overwrite").parquet(target)
 
     return write
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def run_queue(stream: DataFrame, folder: str, catalogue: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def run_queue(stream: DataFrame, folder: str, catalogue: DataFrame, checkpoint: str, every: str | None = None,
+              classified: Callable[[DataFrame, DataFrame], DataFrame] = queue_rows) -> StreamingQuery:
     """Start the queue stream; without ``every`` it handles what is there and stops."""
-    writer = stream.writeStream.foreachBatch(queue_writer(folder, catalogue)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(queue_writer(folder, catalogue, classified)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

@@ -114,6 +114,41 @@ def test_queue_stream_skips_known_contents(spark, tmp_path):
     assert [r["doc_id"] for r in spark.read.parquet(f"{base}/to_delete").collect()] == [2]
 
 
+def test_failing_rows_become_errors_and_the_stream_goes_on(spark, tmp_path):
+    import datetime as dt
+
+    base, source = str(tmp_path / "out"), str(tmp_path / "in")
+    at = dt.datetime(2024, 1, 1)
+    poison = {3, 11, 12}
+    rows = [(i, f"text {i}" if i not in poison else f"poison {i}", at) for i in range(40)] + [(None, "no id", at)]
+    schema = "doc_id bigint, text string, arrived timestamp"
+    spark.createDataFrame(rows, schema).withColumn("sha256", ingest.content_hash("text")).coalesce(2).write.parquet(source)
+
+    def classified(batch, catalogue):
+        refused = F.raise_error(F.concat(F.lit("cannot read "), "text")).cast("string")
+        return arrivals.queue_rows(batch.withColumn("text", F.when(F.col("text").startswith("poison"), refused).otherwise(F.col("text"))), catalogue)
+
+    def run():
+        stream = spark.readStream.schema(schema + ", sha256 string").parquet(source)
+        arrivals.run_queue(stream, base, samples.catalogue(spark), str(tmp_path / "log"), classified=classified).awaitTermination()
+
+    run()
+    spark.createDataFrame([(50, "later", at)], schema).withColumn("sha256", ingest.content_hash("text")).coalesce(1).write.mode("append").parquet(source)
+    run()
+    queue = spark.read.parquet(f"{base}/queue").collect()
+    assert len(queue) == 42 and {r["doc_id"] for r in queue if r["state"] == "error"} == poison
+    assert all(f"poison {r['doc_id']}" in r["error"] for r in queue if r["state"] == "error")
+
+
+def test_an_error_of_all_rows_is_raised(spark):
+    def probe(part):
+        if part.count():
+            raise RuntimeError("no connection")
+
+    with pytest.raises(RuntimeError):
+        arrivals.failing_rows(spark.range(40).withColumnRenamed("id", "doc_id"), probe, most=5)
+
+
 def test_watched_folder_takes_each_file_once(spark, tmp_path):
     folder, out, log = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "log")
     folder.mkdir()
