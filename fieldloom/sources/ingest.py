@@ -128,6 +128,12 @@ def model_requests(docs: DataFrame, catalogue_text: str, chars: int = m.REQUEST_
     return docs.select("doc_id", F.lit(catalogue_text).alias("catalogue"), F.left("text", F.lit(chars)).alias("excerpt"))
 
 
+def pattern_requests(detected: DataFrame, chars: int = m.PATTERN_REQUEST_CHARS) -> DataFrame:
+    """One request for patterns per placed document: the names of its levels and the start of its text."""
+    placed = detected.filter(F.col("company").isNotNull())
+    return placed.select("doc_id", "company", "line", "product", F.left("text", F.lit(chars)).alias("excerpt"))
+
+
 def example_requests(labels: DataFrame, keys: list[str], chars: int = m.EXAMPLE_CHARS) -> DataFrame:
     """Labelled examples of a field in one text, in document order.
 

@@ -164,6 +164,17 @@ def product_override(spark, folder):
     return det.override_product(docs, catalogue, wanted).select("doc_id", "product_id", "product")
 
 
+@query(f"""{WITH_POLICY} SELECT doc_id, CASE WHEN segment = 'MACHINERY' AND status = 'F' THEN 88 ELSE product_id END AS product_id,
+  CASE WHEN segment = 'MACHINERY' AND status = 'F' THEN 'Flotilla de Vehiculos' ELSE 'Automóviles' END AS product FROM policy""")
+def fleet_override(spark, folder):
+    """The fleet heading, as a word of its own, replaces the product in the company that prints it."""
+    rows = [(m.PRODUCT, 88, 5, "Flotilla de Vehiculos", None, [], [], True, 1)]
+    heading = F.when(F.col("status") == "F", "\nPóliza de Flotillas\n").when(F.col("status") == "O", "\nMINIFLOTILLAS\n").otherwise("")
+    docs = policies(spark, folder).withColumns({"line_id": F.col("product_id"), "product": F.lit("Automóviles"), "text": F.concat("text", heading)})
+    wanted = det.wanted_product(F.col("segment"), F.lit(None).cast("string"), F.col("text"), "BUILDING", "MACHINERY")
+    return det.override_product(docs, spark.createDataFrame(rows, m.CATALOGUE_SCHEMA), wanted).select("doc_id", "product_id", "product")
+
+
 @query("""SELECT r_name AS name, count(*) AS n FROM (SELECT r_name FROM region UNION ALL SELECT r_name FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey < 3) GROUP BY r_name HAVING count(*) > 1""")
 def repeated_names(spark, folder):
     """Company names used more than once."""

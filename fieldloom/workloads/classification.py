@@ -217,6 +217,12 @@ def model_requests(spark, folder):
     return ingest.model_requests(unsure, ingest.catalogue_json(catalogue(spark)))
 
 
+@query(f"""WITH {DETECT_SQL} SELECT doc_id, company, line, product, left(text, 3000) AS excerpt FROM level JOIN documents USING (doc_id) WHERE company IS NOT NULL""")
+def pattern_requests(spark, folder):
+    """Requests for patterns of the levels a document was placed in."""
+    return ingest.pattern_requests(detected(spark, folder))
+
+
 @query("""SELECT lang, count(*) AS n_examples, string_agg('[' || doc_id || '] ' || substr(text, 1, 20) || chr(10) || left(text, 600), chr(10) ORDER BY doc_id) AS examples
 FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY lang""")
 def example_requests(spark, folder):

@@ -119,6 +119,14 @@ def table_row_value(spark, folder):
     )
 
 
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'B' || o_orderkey || ' Neta C' || o_custkey END AS value FROM orders""")
+def table_row_inline(spark, folder):
+    """Value in the header row itself where it has the shape, else the next row."""
+    rows = layout.layout_lines(F.col("spans"))
+    value = layout.table_row(rows, ["total", "contratante"], r"total a(\d*[02468])$", lambda v: v.isNotNull())
+    return span_array(spark, folder).select("doc_id", value.alias("value"))
+
+
 def _zone_sql(spans: str, where: str, keys: str = "doc_id") -> str:
     """Texts of a zone: a blank within a line, a line break between lines."""
     return f"""SELECT {keys}, string_agg(gap || text, '' ORDER BY ord) AS t FROM (SELECT {keys}, ord, text,

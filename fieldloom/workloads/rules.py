@@ -191,8 +191,10 @@ def pivot_export(spark, folder):
     return export.pivot_fields(_resolved(spark, folder), ["documento", "rfc", "moneda", "motor"])
 
 
-@query(f"""{WITH_RULES} SELECT 'P' || r.doc_id AS name, segment AS company, max(value) FILTER (field = 'documento') AS documento,
-  max(value) FILTER (field = 'moneda') AS moneda, max(value) FILTER (field = 'placas') AS placas, CAST(NULL AS VARCHAR) AS deducible,
+_WIDE = ", ".join(f"max(value) FILTER (field = '{f}') AS {f}" for f, _ in export.WIDE_COLUMNS)
+
+
+@query(f"""{WITH_RULES} SELECT 'P' || r.doc_id AS name, segment AS company, CAST(NULL AS VARCHAR) AS line, CAST(NULL AS VARCHAR) AS product, {_WIDE},
   'Regla(' || count(*) FILTER (method <> 'no_encontrado') || ')' AS method, '' AS error, '—' AS confidence
   FROM resolved r JOIN policy USING (doc_id) GROUP BY r.doc_id, segment""")
 def wide_export(spark, folder):
@@ -201,8 +203,7 @@ def wide_export(spark, folder):
     docs = _arrays(spark, folder).withColumns(
         {"name": F.concat(F.lit("P"), F.col("doc_id")), "company": F.col("segment"), "line": none, "product": none, "confidence": none, "error": none}
     )
-    wide = export.export_wide(docs, headings=False)
-    return wide.select("name", "company", "documento", "moneda", "placas", "deducible", "method", "error", "confidence")
+    return export.export_wide(docs, headings=False)
 
 
 @query(f"""{WITH_RULES}, chosen AS (SELECT doc_id, text, 1 AS product_id FROM policy WHERE product_id = 4 AND status = 'F'),
@@ -314,6 +315,18 @@ def rules_with_hierarchy(spark, folder):
     return joined.orderBy(*upkeep.hierarchy_order()).select("rule_id", "field", "pattern", "product", "line", "company", "company_priority")
 
 
+@query(f"""WITH {PART_RULES}, {HIERARCHY} SELECT rule_id, row_number() OVER (ORDER BY company_priority NULLS FIRST, line, product, field, rule_id) AS place
+FROM prule JOIN hier USING (product_id) WHERE {LIVE}""")
+def rule_places(spark, folder):
+    """Place of each active rule in hierarchy order: companies without a priority come first."""
+    from pyspark.sql import Window
+
+    joined = upkeep.rules_with_hierarchy(part_rules(spark, folder), nation_hierarchy(spark, folder))
+    # the window is over configuration
+    place = F.row_number().over(Window.orderBy(*upkeep.hierarchy_order(), "rule_id")).cast("bigint")
+    return joined.select("rule_id", place.alias("place"))
+
+
 @query(f"""WITH {PART_RULES}, marked AS (SELECT * REPLACE (CASE WHEN rule_id % 10 = 3 THEN '(' || pattern ELSE pattern END AS pattern) FROM prule)
 SELECT rule_id, product_id, field, pattern, pattern NOT LIKE '(%' AS valid, CASE WHEN pattern LIKE '(%' THEN NULL ELSE 0 END AS groups FROM marked
 WHERE {LIVE}""")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from fieldloom import model as m
 from fieldloom.session import shared_dir
 from fieldloom.sources.ingest import content_hash
 from fieldloom.streaming import arrivals
@@ -51,8 +52,59 @@ def stream_queue(spark, folder):
     return spark.read.parquet(f"{base}/queue").select("doc_id", "product_id_prop", "confidence", "state")
 
 
-@query()
+# a life span is written when the watermark, ten minutes behind the newest activity, has passed its end
+@query(f"""WITH a AS (SELECT user_id AS batch_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+n AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL {m.BATCH_TTL_MINUTES} MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY batch_id ORDER BY ts) AS life FROM a),
+s AS (SELECT batch_id, min(ts) AS started, max(ts) + INTERVAL {m.BATCH_TTL_MINUTES} MINUTE AS expires, count(*) AS n_activities FROM n GROUP BY batch_id, life)
+SELECT batch_id, started, expires, n_activities FROM s WHERE expires <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def stream_ttl(spark, folder):
     """Expired batches of a stream: closed life spans once the watermark has passed them."""
     activity = _stream(spark, folder, "events").select(F.col("user_id").alias("batch_id"), F.col("ts").cast("timestamp").alias("ts"))
     return run_to_table(arrivals.batch_sessions(activity, delay="10 minutes"))
+
+
+def _states(batch, catalogue):
+    """A light classification: by the length of the text."""
+    state = F.when(F.length("text") > 500, m.CLASSIFIED).otherwise(m.PENDING)
+    return batch.select("doc_id", "sha256", "arrived", state.alias("state"), F.lit(None).cast("string").alias("error"))
+
+
+def _queue_of(spark, arrivals_in_order, classified):
+    """Queue after the given tables have arrived one after the other."""
+    base = f"{shared_dir(spark)}/fieldloom/queue-{uuid.uuid4().hex}"
+    for rows in arrivals_in_order:
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        arrivals.run_queue(stream, base, catalogue(spark), f"{base}/log", classified=classified).awaitTermination()
+    return base
+
+
+def _arrived(spark, folder):
+    day = F.lit("2024-01-01").cast("timestamp")
+    return table(spark, folder, "documents").select("doc_id", "text", day.alias("arrived"), content_hash("text").alias("sha256"))
+
+
+@query("""WITH first AS (SELECT coalesce(min(doc_id) FILTER (doc_id % 2 = 0), min(doc_id)) AS doc_id FROM documents GROUP BY text)
+SELECT doc_id, CASE WHEN length(text) > 500 THEN 'clasificado' ELSE 'pendiente' END AS state FROM documents JOIN first USING (doc_id)""")
+def stream_history(spark, folder):
+    """Even documents arrive first, odd ones later, all of them again at last: a known content is not queued twice."""
+    docs = _arrived(spark, folder)
+    base = _queue_of(spark, [docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 <> 0"), docs], _states)
+    return spark.read.parquet(f"{base}/queue").select("doc_id", "state")
+
+
+@query("""WITH first AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text), odd AS (SELECT min(doc_id) AS doc_id FROM first)
+SELECT doc_id, CASE WHEN doc_id = (SELECT doc_id FROM odd) THEN 'error' WHEN length(text) > 500 THEN 'clasificado' ELSE 'pendiente' END AS state,
+  doc_id = (SELECT doc_id FROM odd) AS failed FROM documents JOIN first USING (doc_id)""")
+def stream_failing_row(spark, folder):
+    """The first document makes the classification fail: it alone is an error row, all others are queued."""
+    docs = _arrived(spark, folder)
+    first = docs.agg(F.min("doc_id")).first()[0]
+
+    def classified(batch, catalogue):
+        refused = F.raise_error(F.lit("cannot be read")).cast("string")
+        return _states(batch.withColumn("text", F.when(F.col("doc_id") == first, refused).otherwise(F.col("text"))), catalogue)
+
+    base = _queue_of(spark, [docs], classified)
+    queue = spark.read.parquet(f"{base}/queue")
+    return queue.select("doc_id", "state", F.coalesce(F.contains("error", F.lit("cannot be read")), F.lit(False)).alias("failed"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldloom.field_sets import FIELD_LABELS, field_label
 from fieldloom.functions import amounts, checks
 from fieldloom.functions import text as tx
 from fieldloom.functions.regex import compiles, first_match, keep_compilable
@@ -238,3 +239,30 @@ def quarantine_split(spark, folder):
     return bad.unionByName(good).groupBy("source").agg(F.sum("q").alias("quarantined"), F.sum("a").alias("accepted"))
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN 'COL ' || n_name END AS colony, CASE WHEN c_custkey % 3 < 2 THEN c_mktsegment END AS municipality,
+  CASE WHEN c_custkey % 3 < 2 THEN CAST(1000 + c_custkey % 90000 AS VARCHAR) END AS postal_code FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def address_parts(spark, folder):
+    """Parts of one-line addresses: two spellings of the code, one line without it."""
+    code = (F.lit(1000) + F.col("c_custkey") % 90000).cast("string")
+    tail = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(", C.P. "), code)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(", cp"), code, F.lit(" "))).otherwise("")
+    line = F.concat(F.lit("CALLE "), "c_custkey", F.lit(", COL "), "n_name", F.lit(", "), "c_mktsegment", F.lit(", PUEBLA"), tail)
+    rows = table(spark, folder, "customer").join(F.broadcast(table(spark, folder, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select("c_custkey", tx.address_parts(line).alias("a")).select("c_custkey", "a.*")
+
+
+_NAMED = ["documento", "rfc", "prima_neta", "sub_total", "otro_campo"]
+
+
+@query(f"""SELECT o_orderkey, coalesce(MAP {{{', '.join(f"'{f}': '{FIELD_LABELS[f]}'" for f in _NAMED if f in FIELD_LABELS)}}}[f], f) AS label
+FROM (SELECT o_orderkey, ({_NAMED})[o_orderkey % {len(_NAMED)} + 1] AS f FROM orders)""")
+def field_labels(spark, folder):
+    """Readable name of a field, its own name where there is none."""
+    name = F.element_at(F.array(*map(F.lit, _NAMED)), (F.col("o_orderkey") % len(_NAMED) + 1).cast("int"))
+    return table(spark, folder, "orders").select("o_orderkey", field_label(name).alias("label"))
+
+
+@query("""SELECT doc_id, lang AS field, left(text, 1000) AS value, true AS is_auto, 'regla' AS method FROM documents WHERE coalesce(text, '') <> ''""")
+def automatic_labels_cut(spark, folder):
+    """Labels from whole texts keep their first thousand characters."""
+    long_fields = documents(spark, folder).select("doc_id", F.col("lang").alias("field"), F.col("text").alias("value"), F.lit("regla").alias("method"))
+    return upkeep.automatic_labels(long_fields)
