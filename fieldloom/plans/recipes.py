@@ -9,6 +9,7 @@ shuffled and the documents are read once, whatever the number of companies.
 from __future__ import annotations
 
 import json
+import multiprocessing
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -299,23 +300,81 @@ def recipe_fields(docs: DataFrame, families: list[Family], text: str = "text", a
     return current.select(*docs.columns, result.alias(as_column))
 
 
-def run_extractor(docs: DataFrame, extractor: Callable[[str], dict[str, str]], text: str = "text") -> DataFrame:
+class Watched:
+    """An extractor in a child process: a hang or a crash ends the child, not the task.
+
+    The child serves many documents and is replaced after it was ended.
+    """
+
+    def __init__(self, extractor: Callable[[str], dict[str, str]], seconds: float):
+        self.extractor, self.seconds, self.child = extractor, seconds, None
+
+    def _serve(self, pipe) -> None:
+        while True:
+            try:
+                body = pipe.recv()
+            except EOFError:
+                return
+            try:
+                answer = {k: str(v) for k, v in (self.extractor(body) or {}).items() if v}, None
+            except Exception as error:  # noqa: BLE001  any failure is a result here
+                answer = None, str(error)
+            pipe.send(answer)
+
+    def _start(self) -> None:
+        context = multiprocessing.get_context("fork")
+        self.pipe, far = context.Pipe()
+        self.child = context.Process(target=self._serve, args=(far,), daemon=True)
+        self.child.start()
+        far.close()
+
+    def close(self) -> None:
+        if self.child is not None:
+            self.child.kill()
+            self.child.join()
+            self.pipe.close()
+            self.child = None
+
+    def __call__(self, body: str) -> dict[str, str]:
+        if self.child is None:
+            self._start()
+        try:
+            self.pipe.send(body)
+            if not self.pipe.poll(self.seconds):
+                self.close()
+                raise TimeoutError(f"no answer within {self.seconds:g} seconds")
+            found, error = self.pipe.recv()
+        except (EOFError, BrokenPipeError, ConnectionResetError):
+            self.close()
+            raise RuntimeError("the extractor ended without an answer") from None
+        if error is not None:
+            raise RuntimeError(error)
+        return found
+
+
+def run_extractor(docs: DataFrame, extractor: Callable[[str], dict[str, str]], text: str = "text", seconds: float | None = None) -> DataFrame:
     """Escape hatch: a Python function text -> {field: value} as long rows.
 
     Runs in Arrow batches.  A document the function fails on gives one row with
-    the error and no value.
+    the error and no value; with ``seconds`` also one that it hangs or crashes on
+    (the function then runs in a child process, ended after that time a document).
     """
     import pandas as pd
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for doc_id, body in zip(batch["doc_id"], batch[text]):
-                try:
-                    found = extractor(body) or {}
-                    out += [(doc_id, k, str(v), None) for k, v in found.items() if v]
-                except Exception as error:  # noqa: BLE001  any failure is a result here
-                    out.append((doc_id, None, None, str(error)))
-            yield pd.DataFrame(out, columns=["doc_id", "field", "value", "error"])
+        call = extractor if seconds is None else Watched(extractor, seconds)
+        try:
+            for batch in batches:
+                out = []
+                for doc_id, body in zip(batch["doc_id"], batch[text]):
+                    try:
+                        found = call(body) or {}
+                        out += [(doc_id, k, str(v), None) for k, v in found.items() if v]
+                    except Exception as error:  # noqa: BLE001  any failure is a result here
+                        out.append((doc_id, None, None, str(error)))
+                yield pd.DataFrame(out, columns=["doc_id", "field", "value", "error"])
+        finally:
+            if seconds is not None:
+                call.close()
 
     return docs.select("doc_id", text).mapInPandas(run, "doc_id bigint, field string, value string, error string")

@@ -53,8 +53,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(conf).exists(target)
 
 
-def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write or replace a small file as a whole: readers find the old text or the new one."""
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it does not exist."""
+    target, conf = _path(spark, path)
+    fs = target.getFileSystem(conf)
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def put_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
+    """Write a small file as a whole: readers find the old text or the new one.
+
+    Without ``replace`` a file that is there already is an error, so of two writers one wins.
+    """
     target, conf = _path(spark, path)
     fs = target.getFileSystem(conf)
     fs.mkdirs(target.getParent())
@@ -65,5 +75,5 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     rename = hadoop.Options.Rename
     options = spark.sparkContext._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
+    options[0] = rename.OVERWRITE if replace else rename.NONE
     hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(staged, target, options)

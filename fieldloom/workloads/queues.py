@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,13 @@ from fieldloom import model as m
 from fieldloom.operators import coverage as cov
 from fieldloom.operators import fields as fl
 from fieldloom.operators import upkeep
+from fieldloom.plans.recipes import run_extractor
+from fieldloom.session import shared_dir
+from fieldloom.sources import snapshots
 from fieldloom.streaming.arrivals import batch_sessions, live_batches
 from fieldloom.workloads.catalogues import CATALOGUE, nation_catalogue
 from fieldloom.workloads.classification import DETECT_SQL, catalogue, detected
+from fieldloom.workloads.policies import WITH_POLICY, policies
 from fieldloom.workloads.registry import query, table
 
 
@@ -166,3 +172,48 @@ def live_batches_now(spark, folder):
     """Batches that are still alive at one moment."""
     activity = table(spark, folder, "events").select(F.col("user_id").alias("batch_id"), "ts")
     return live_batches(activity, F.lit("2024-01-30 20:00:00").cast("timestamp_ntz")).drop("last_activity")
+
+
+_KEPT = "NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'F')"
+
+
+@query(f"""SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS status FROM orders WHERE {_KEPT}
+UNION ALL SELECT -o_orderkey, NULL, 'N' FROM orders WHERE o_orderstatus = 'P'""")
+def snapshot_merge(spark, folder):
+    """A keyed table after rows were changed, added and removed, the change applied twice."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), "o_orderpriority")
+    base = f"{shared_dir(spark)}/fieldloom/snapshot-{uuid.uuid4().hex}"
+    snapshots.create(orders.drop("o_orderpriority"), base, ["o_orderkey"], buckets=16)
+    partial = orders.filter("status = 'P'")
+    changed = partial.select("o_orderkey", "o_custkey", F.lit("X").alias("status"))
+    added = partial.select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit(None).cast("bigint").alias("o_custkey"), F.lit("N").alias("status"))
+    removed = orders.filter("o_orderpriority = '5-LOW' AND status = 'F'")
+    for _ in range(2):
+        snapshots.merge(spark, base, changed.unionByName(added), removed)
+    return snapshots.read(spark, base)
+
+
+@query(f"""{WITH_POLICY}, e AS (SELECT min(doc_id) AS lo, max(doc_id) AS hi FROM policy)
+SELECT doc_id, CASE WHEN doc_id NOT IN (lo, hi) AND doc_id % 50 <> 7 THEN 'documento' END AS field,
+  CASE WHEN doc_id NOT IN (lo, hi) AND doc_id % 50 <> 7 THEN CAST(doc_id AS VARCHAR) END AS value,
+  CASE WHEN doc_id = lo THEN 'no answer within 3 seconds' WHEN doc_id = hi THEN 'the extractor ended without an answer'
+    WHEN doc_id % 50 = 7 THEN 'refused ' || doc_id END AS error FROM policy, e""")
+def watched_extractor(spark, folder):
+    """A Python extractor that answers, raises, hangs on the first document and crashes on the last."""
+    docs = policies(spark, folder)
+    first, last = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+
+    def extractor(body):
+        import os
+        import time
+
+        number = int(body.split("\n", 1)[0].split()[1])
+        if number == first:
+            time.sleep(600)
+        if number == last:
+            os._exit(1)
+        if number % 50 == 7:
+            raise ValueError(f"refused {number}")
+        return {"documento": number, "empty": ""}
+
+    return run_extractor(docs, extractor, seconds=3)

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import samples
+from fieldloom import model as m
+from fieldloom.operators import upkeep
 from fieldloom.plans.recipes import run_extractor
-from fieldloom.sources import export, ingest
+from fieldloom.sources import export, ingest, snapshots
 from fieldloom.streaming import arrivals
 
 
@@ -164,3 +166,82 @@ def test_watched_folder_takes_each_file_once(spark, tmp_path):
     os.utime(folder / "a.pdf", (time.time(), time.time()))
     run()
     assert sorted(r["name"] for r in spark.read.parquet(out).collect()) == ["a.pdf", "b.PDF"]
+
+
+def test_snapshots_rewrite_only_touched_buckets(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    schema = "id bigint, name string, n int"
+    made = lambda rows: spark.createDataFrame(rows, schema)
+    got = lambda: sorted(map(tuple, snapshots.read(spark, folder).collect()), key=str)
+    files = lambda: {f for f in snapshots.read(spark, folder).inputFiles()}
+    with pytest.raises(ValueError):
+        snapshots.read(spark, folder)
+    start = [(i, f"n{i}", None if i % 3 else i) for i in range(200)] + [(None, "none", 1)]
+    snapshots.create(made(start), folder, ["id"], buckets=8, tasks=2)
+    assert got() == sorted(start, key=str)
+    before = files()
+    change = made([(5, "changed", None), (None, "still none", 2), (1000, "new", 3)])
+    touched = snapshots.merge(spark, folder, change)
+    after = files()
+    assert 1 <= len(touched) <= 3 and {f for f in before if not any(f"_bucket={b}/" in f for b in touched)} <= after
+    state = {r[0]: r for r in start} | {5: (5, "changed", None), None: (None, "still none", 2), 1000: (1000, "new", 3)}
+    assert got() == sorted(state.values(), key=str)
+    assert snapshots.merge(spark, folder, change) == set() and files() == after
+    assert snapshots.merge(spark, folder, made([]), made([(5, None, None), (7777, None, None)]))
+    del state[5]
+    assert got() == sorted(state.values(), key=str)
+    assert {r["id"] for r in snapshots.read(spark, folder, change).collect()} >= {None, 1000}
+    assert snapshots.unused(spark, folder) and not any(p in f for p in snapshots.unused(spark, folder) for f in files())
+    snapshots.merge(spark, folder, made([]), made(list(state.values())))
+    assert got() == []
+
+
+def test_the_second_of_two_writers_is_refused(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "table")
+    rows = spark.createDataFrame([(i, "a") for i in range(20)], "id bigint, v string")
+    snapshots.create(rows, folder, ["id"], buckets=4)
+    stale = snapshots._version(spark, folder)
+    snapshots.merge(spark, folder, rows.limit(1).withColumn("v", F.lit("b")))
+    with monkeypatch.context() as patch, pytest.raises(Exception, match="(?i)exist"):
+        patch.setattr(snapshots, "_version", lambda *_: stale)
+        snapshots.merge(spark, folder, rows.withColumn("v", F.lit("c")))
+    assert sorted(r["v"] for r in snapshots.read(spark, folder).collect()) == ["a"] * 19 + ["b"]
+
+
+def test_upkeep_through_snapshots_twice(spark, tmp_path):
+    """An upsert of labels and a confirmation, each applied twice, give one result."""
+    labels = spark.createDataFrame([(1, "a", "x", "c", 1), (2, "a", "y", "c", 1)], "doc_id bigint, field string, value string, context string, created_at int")
+    folder = str(tmp_path / "labels")
+    snapshots.create(labels, folder, ["doc_id", "field"], buckets=4)
+    changes = spark.createDataFrame([(2, "a", "z", "d", 2), (3, "b", "w", "e", 2)], labels.schema)
+    for _ in range(2):
+        near = snapshots.read(spark, folder, changes)
+        snapshots.merge(spark, folder, upkeep.upsert_labels(near, changes))
+        assert {(r["doc_id"], r["field"], r["value"]) for r in snapshots.read(spark, folder).collect()} == {(1, "a", "x"), (2, "a", "z"), (3, "b", "w")}
+    columns = "doc_id bigint, name string, sha256 string, state string, confidence string, " + ", ".join(
+        f"{c}_id_{k} bigint" for k in ("prop", "final") for c in ("company", "line", "product"))
+    queue = spark.createDataFrame([(i, "f.pdf", "abcdef0", m.CLASSIFIED if i % 2 else m.PENDING, m.HIGH, 1, 2, 3, None, None, None) for i in range(20)], columns)
+    folder = str(tmp_path / "queue")
+    snapshots.create(queue, folder, ["doc_id"], buckets=8)
+    none = spark.createDataFrame([], "product_id bigint, name string")
+    for again in (False, True):
+        state, _ = upkeep.confirm_batch(snapshots.read(spark, folder), none)
+        assert (snapshots.merge(spark, folder, state) == set()) is again
+    got = {r["doc_id"]: (r["state"], r["product_id_final"]) for r in snapshots.read(spark, folder).collect()}
+    assert got == {i: (m.SENT, 3) if i % 2 else (m.PENDING, None) for i in range(20)}
+
+
+def test_watched_extractor(spark):
+    docs = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, "hang"), (4, "crash"), (5, "ok"), (6, None)], "doc_id bigint, text string").coalesce(1)
+
+    def extractor(body):
+        if body == "hang":
+            time.sleep(60)
+        if body == "crash":
+            os._exit(3)
+        if body == "bad":
+            raise ValueError("broken")
+        return {"f": body}
+
+    rows = {r["doc_id"]: (r["value"], r["error"]) for r in run_extractor(docs, extractor, seconds=1).collect()}
+    assert rows == {1: ("ok", None), 2: (None, "broken"), 3: (None, "no answer within 1 seconds"), 4: (None, "the extractor ended without an answer"), 5: ("ok", None)}
