@@ -13,7 +13,7 @@ from fieldloom.operators import fields as fl
 from fieldloom.operators import upkeep
 from fieldloom.plans.recipes import run_extractor
 from fieldloom.session import shared_dir
-from fieldloom.sources import snapshots
+from fieldloom.sources import history, snapshots
 from fieldloom.streaming.arrivals import batch_sessions, live_batches
 from fieldloom.workloads.catalogues import CATALOGUE, nation_catalogue
 from fieldloom.workloads.classification import DETECT_SQL, catalogue, detected
@@ -217,3 +217,19 @@ def watched_extractor(spark, folder):
         return {"documento": number, "empty": ""}
 
     return run_extractor(docs, extractor, seconds=3)
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, o_custkey, (SELECT count(*) FROM orders) AS total
+FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 100)""")
+def history_cursor(spark, folder):
+    """Third page of the history, each page from the cursor of the one before; the total comes from the index."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    base = f"{shared_dir(spark)}/fieldloom/history-{uuid.uuid4().hex}"
+    history.append_history(orders, base, "o_orderdate", "o_orderkey")
+    cursor = None
+    for _ in range(2):
+        last = history.history_after(spark, base, 50, cursor, "o_orderdate", "o_orderkey").tail(1)[0]  # a page has 50 rows
+        cursor = last["o_orderdate"], last["o_orderkey"]
+    page = history.history_after(spark, base, 50, cursor, "o_orderdate", "o_orderkey")
+    total = F.lit(history.history_total(spark, base)).cast("bigint").alias("total")
+    return page.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_custkey", total)

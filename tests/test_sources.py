@@ -10,7 +10,7 @@ import samples
 from fieldloom import model as m
 from fieldloom.operators import upkeep
 from fieldloom.plans.recipes import run_extractor
-from fieldloom.sources import export, ingest, snapshots
+from fieldloom.sources import export, history, ingest, snapshots
 from fieldloom.streaming import arrivals
 
 
@@ -245,3 +245,33 @@ def test_watched_extractor(spark):
 
     rows = {r["doc_id"]: (r["value"], r["error"]) for r in run_extractor(docs, extractor, seconds=1).collect()}
     assert rows == {1: ("ok", None), 2: (None, "broken"), 3: (None, "no answer within 1 seconds"), 4: (None, "the extractor ended without an answer"), 5: ("ok", None)}
+
+
+def test_pages_by_cursor(spark, tmp_path):
+    """Pages of several appended batches with many ties equal slices of the whole order; a page reads a part of the files."""
+    import datetime as dt
+    import random
+
+    rng = random.Random(2)
+    at = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(hours=k)
+    batches = [[(b * 1000 + i, at(b * 20 + rng.randint(0, 25))) for i in range(120)] for b in range(4)]
+    folder = str(tmp_path / "history")
+    with pytest.raises(ValueError):
+        history.history_total(spark, folder)
+    for rows in batches:
+        history.append_history(spark.createDataFrame(rows, "id bigint, created_at timestamp"), folder, files=6)
+    whole = sorted((r for b in batches for r in b), key=lambda r: (r[1], r[0]), reverse=True)
+    assert history.history_total(spark, folder) == len(whole)
+    every = spark.read.parquet(f"{folder}/index").count()
+    cursor, seen = None, []
+    while True:
+        assert len(history.page_files(spark, folder, 70, cursor)) < every
+        page = [tuple(r) for r in history.history_after(spark, folder, 70, cursor).select("id", "created_at").collect()]
+        if not page:
+            break
+        seen += page
+        cursor = page[-1][1], page[-1][0]
+    assert seen == whole
+    with pytest.raises(Exception, match="no time"):
+        history.append_history(spark.createDataFrame([(1, None)], "id bigint, created_at timestamp"), folder)
+    assert history.history_total(spark, folder) == len(whole)
