@@ -10,6 +10,7 @@ from fieldloom import model as m
 from fieldloom.session import shared_dir
 from fieldloom.sources.ingest import content_hash
 from fieldloom.streaming import arrivals
+from fieldloom.streaming.expiry import expiries
 from fieldloom.streaming.memory import run_to_table
 from fieldloom.workloads.classification import DETECT_SQL, DETECTED, catalogue
 from fieldloom.workloads.registry import query, table
@@ -63,6 +64,25 @@ def stream_ttl(spark, folder):
     return run_to_table(arrivals.batch_sessions(activity, delay="10 minutes"))
 
 
+# every fifth activity arrives eight minutes late, some of them after the next slice of time has begun
+@query(f"""WITH a AS (SELECT user_id AS batch_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+n AS (SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL {m.BATCH_TTL_MINUTES} MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY batch_id ORDER BY ts) AS life FROM a),
+s AS (SELECT batch_id, min(ts) AS started, max(ts) AS last_activity, max(ts) + INTERVAL {m.BATCH_TTL_MINUTES} MINUTE AS expired, count(*) AS n_activities FROM n GROUP BY batch_id, life)
+SELECT batch_id, started, last_activity, expired, n_activities FROM s WHERE expired < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_expiry(spark, folder):
+    """An event for each expired batch; activities come in slices of ten days, late renewals among them."""
+    events = table(spark, folder, "events").select("event_id", F.col("user_id").alias("batch_id"), F.col("ts").cast("timestamp").alias("ts"))
+    arrived = F.unix_timestamp("ts") + F.when(F.col("event_id") % 5 == 0, 8 * 60).otherwise(0)
+    day = F.floor((arrived - events.agg(F.unix_timestamp(F.min("ts"))).first()[0]) / 86_400)
+    base = f"{shared_dir(spark)}/fieldloom/expiry-{uuid.uuid4().hex}"
+    for arrival in (day < 10, (day >= 10) & (day < 20), day >= 20):
+        events.filter(arrival).select("batch_id", "ts").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema("batch_id bigint, ts timestamp").parquet(f"{base}/in")
+        written = expiries(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/log")
+        written.trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 def _states(batch, catalogue):
     """A light classification: by the length of the text."""
     state = F.when(F.length("text") > 500, m.CLASSIFIED).otherwise(m.PENDING)
