@@ -99,7 +99,8 @@ def forward_backward(scores: np.ndarray, counts: np.ndarray, transition: np.ndar
     order = np.argsort(-counts, kind="stable")
     starts, sizes = starts[order], counts[order]
     jump = np.exp(transition - transition.max())
-    local = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
+    local = scores - scores.max(axis=1, keepdims=True) if len(scores) else scores
+    np.exp(local, out=local)
     ahead, back = np.empty_like(local), np.ones_like(local)
     longest = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(longest), "left")  # sequences longer than each place
@@ -123,9 +124,11 @@ def forward_backward(scores: np.ndarray, counts: np.ndarray, transition: np.ndar
 
 def posteriors(scores: np.ndarray, counts: np.ndarray, transition: np.ndarray) -> np.ndarray:
     """Probability of each language at each word."""
-    ahead, back, _ = forward_backward(scores, counts, transition)
-    both = ahead * back
-    return both / both.sum(axis=1, keepdims=True) if len(both) else both
+    both, back, _ = forward_backward(scores, counts, transition)
+    both *= back
+    if len(both):
+        both /= both.sum(axis=1, keepdims=True)
+    return both
 
 
 def expected_transitions(scores: np.ndarray, counts: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +259,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for whole in batches:
-            for batch in slices(whole, text_col, (8 << 20) // max(4, len(own.languages))):  # words times languages are held
+            for batch in slices(whole, text_col, (4 << 20) // max(4, len(own.languages))):  # words times languages are held
                 names, scores = own.label(batch.column(text_col))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_out, score_out])
 
