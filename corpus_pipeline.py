@@ -21,6 +21,14 @@ from fieldloom.operators.bounds import fits
 LEAST_SCORE = 0.5
 #: Near duplicates: words of a shingle and similarity.
 WIDTH, SIMILARITY = 5, Fraction(4, 5)
+#: Bytes of the batches that go to Python workers, where the session says nothing: ten thousand whole texts would be one otherwise.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches bounded by bytes, not by rows alone, unless the session has a bound of its own."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,6 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     If none of them is labelled there is nothing to tell languages by, and all stay.
     """
+    bound_batches(spark)
     model = language.learn(docs)
     if model.languages == [language.UNKNOWN]:
         return docs
@@ -48,6 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are grouped by their texts, whatever their ids: copies under one id or without one stay once,
     different texts under one id stay apart.  Without words nothing is a near copy, only a repeated id is.
     """
+    bound_batches(spark)
     rows, key = with_row_key(docs)
     groups = ngram_join.ngram_components(rows.select(key, "text"), WIDTH, SIMILARITY, id_col=key).withColumnRenamed("doc_id", "_key")
     named = groups.join(rows.select(F.col(key).alias("_row"), "doc_id"), F.col("_key") == F.col("_row"))
@@ -78,6 +88,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, their number and the digests of ids and decoded text."""
+    bound_batches(spark)
     done = bpe.encode(docs, bpe.default_vocabulary(), decoded=True)
     return done.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
