@@ -53,6 +53,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(conf).exists(target)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    target, conf = _path(spark, path)
+    fs = target.getFileSystem(conf)
+    return fs.exists(target) and fs.getFileStatus(target).isDirectory()
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, none if it does not exist."""
     target, conf = _path(spark, path)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from fieldloom import model as m
-from fieldloom.session import shared_dir
+from fieldloom.session import is_folder, shared_dir
 from fieldloom.sources.ingest import content_hash
 from fieldloom.streaming import arrivals
 from fieldloom.streaming.expiry import expiries
@@ -16,15 +16,23 @@ from fieldloom.workloads.classification import DETECT_SQL, DETECTED, catalogue
 from fieldloom.workloads.registry import query, table
 
 
-def _stream(spark, folder, name, per_trigger=1):
-    schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+def _stream(spark, folder, name, per_trigger=None):
+    """The files of a table, which is one file of the folder or a folder of its own; all at once unless limited.
+
+    The first of equal contents and the order of times are those of the whole table, however many files it has.
+    """
+    stream = spark.readStream.schema(table(spark, folder, name).schema)
+    if per_trigger:
+        stream = stream.option("maxFilesPerTrigger", per_trigger)
+    if is_folder(spark, f"{folder}/{name}.parquet"):
+        return stream.parquet(f"{folder}/{name}.parquet")
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def stream_trigger(spark, folder):
     """All files of a folder taken one per trigger, then counted."""
-    rows = run_to_table(_stream(spark, folder, "events").select("event_type", "value"))
+    rows = run_to_table(_stream(spark, folder, "events", per_trigger=1).select("event_type", "value"))
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
