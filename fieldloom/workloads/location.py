@@ -34,9 +34,10 @@ def label_offset_value(spark, folder):
 @query(f"""{WITH_LINES} SELECT doc_id, line, lead(line, 1) OVER w AS next_line, lead(line, 8) OVER w AS value FROM lines
 WINDOW w AS (PARTITION BY doc_id ORDER BY no) QUALIFY line IN ('PRIMA NETA', 'I.V.A.')""")
 def label_offset_table(spark, folder):
-    """The same lead by k lines on the line table, joined on the line number."""
-    lines = loc.line_table(policies(spark, folder).select("doc_id", "text"))
-    return loc.table_offsets(lines, F.col("line").isin("PRIMA NETA", "I.V.A."), {"next_line": 1, "value": 8})
+    """The same lead by k lines on the line table, each line with those at its offsets."""
+    offsets = {"next_line": 1, "value": 8}
+    lines = loc.line_table(policies(spark, folder).select("doc_id", "text"), ahead=list(offsets.values()))
+    return loc.table_offsets(lines, F.col("line").isin("PRIMA NETA", "I.V.A."), offsets)
 
 
 @query(f"""{WITH_LINES}, hit AS (SELECT a.doc_id, v.no, regexp_extract(v.line, '{CENTS}') AS v FROM lines a JOIN lines v

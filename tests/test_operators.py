@@ -35,6 +35,37 @@ def test_contains_join_finds_every_substring(spark):
     assert got == {(d, t) for d, body in docs for t, w in terms if w in body.lower()}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contains_join_leaves_texts_in_place(spark):
+    # two texts under one id count together; a repeated term counts twice
+    docs = spark.createDataFrame([(1, "auto x"), (1, "AUTO y"), (2, "autor"), (3, "aut"), (4, None), (None, "auto")], "doc_id bigint, text string")
+    terms = spark.createDataFrame([(7, "Auto"), (7, "Auto"), (8, "r"), (9, "")], "term_id bigint, term string")
+    out = contains_join(docs, terms)
+    assert sorted(map(tuple, out.collect())) == [(1, 7, "auto")] * 8 + [(2, 7, "auto")] * 2 + [(2, 8, "r")]
+    assert "collect_list" not in plan_of(out) and "SortMergeJoin" not in plan_of(out)
+
+
+def test_offsets_of_the_line_table(spark):
+    texts = [(1, "a\nL\nb\nc"), (1, "a\nL\nb\nc"), (2, "L\nL\n\n"), (3, ""), (4, None), (5, "x\rL\x85y\u2028z\n")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    offsets = {"next": 1, "second": 2, "before": -1}
+    joined = loc.table_offsets(loc.line_table(docs), F.col("line") == "L", offsets)
+    held = loc.table_offsets(loc.line_table(docs, ahead=[1, 2, -1]), F.col("line") == "L", offsets)
+    assert sorted(map(repr, joined.collect())) == sorted(map(repr, held.collect()))
+    assert {tuple(r) for r in held.collect()} == {(1, "L", "b", "c", "a"), (2, "L", "L", "", None), (2, "L", "", None, "L"), (5, "L", "y", "z", "x")}
+    assert "Join" not in plan_of(held) and "SortMergeJoin" in plan_of(joined)
+
+
+def test_label_lines_are_trimmed_only_where_the_label_is(spark):
+    docs = spark.createDataFrame([(1, ["Moneda:", " moneda\t", "x"]), (2, ["MONEDAS", "\u00a0MONEDA", "y"]), (3, None)], "doc_id int, lines array<string>")
+    at = lambda test: loc.first_index(F.col("lines"), test)
+    assert [tuple(r) for r in docs.select(at(loc.equals("moneda", F.lower)), at(loc.equals("MONEDA"))).collect()] == [(1, None), (1, 1), (None, None)]
+    assert "contains(line, MONEDA)" in str(loc.equals("MONEDA")(F.col("line"))).replace("'", "")
+
+
 def test_pattern_hits_in_batches(spark):
     docs, patterns = texts(), ["^auto", r"seguro\s+de$", "zzz", "[x"]
     ready = [(i, prepare(p).java) for i, p in enumerate(patterns) if prepare(p)]
