@@ -148,3 +148,10 @@ def test_named_letters(spark):
     assert to_java(r"\N{DIGIT ONE}[\N{DIGIT TWO}x]") == r"\x{31}[\x{32}x]"
     df = spark.createDataFrame([("a 12 b",), ("é1x",), ("13",)], "t string")
     assert [r[0] for r in df.select(apply_pattern(F.col("t"), r"(\N{DIGIT ONE}[\N{DIGIT TWO}x])")).collect()] == ["12", "1x", None]
+
+
+def test_lines_of_any_ending(spark):
+    whole = ["", "a", "a\n", "a\n\n", "\n", "a\r\nb\r\n", "a\rb\x0bc\x0cd\x1ce\x1df\x1eg\x85h\u2028i\u2029", "a\x85", "\r\n\r"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(whole)], "i int, t string").select("i", text.lines(F.col("t")).alias("l")).orderBy("i").collect()
+    assert [r["l"] for r in rows] == [x.splitlines() or [""] for x in whole]
+    assert text.HAS_RARE_LINE_END.startswith("[") and "|" not in text.HAS_RARE_LINE_END
