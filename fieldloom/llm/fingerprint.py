@@ -108,11 +108,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _place(key: Column, borders: list) -> Column:
-    """Number of borders below the key, as nested comparisons."""
-    if not borders:
-        return F.lit(0)
-    middle = len(borders) // 2
-    return F.when(key <= borders[middle], _place(key, borders[:middle])).otherwise(F.lit(middle + 1) + _place(key, borders[middle + 1 :]))
+    """Number of borders below the key."""
+    return F.size(F.filter(F.lit(borders), lambda border: border < key))
 
 
 def _range_of(docs: DataFrame, rows_per_range: int) -> Column:
@@ -129,11 +126,16 @@ def _range_of(docs: DataFrame, rows_per_range: int) -> Column:
     borders = sorted({known["low"], known["high"], *known["q"]})
     cuts = min(MOST_CUTS, 1 + known["n"] // (len(borders) * rows_per_range))
     key = F.col("doc_id")
-    place = _place(key, borders)
     whole = F.lit([borders[0], *borders, borders[-1]])
-    low, high = F.get(whole, place).cast("double"), F.get(whole, place + 1).cast("double")
-    within = F.when(high > low, F.floor((key - low) / (high - low) * (cuts - 1))).otherwise(F.lit(0))
-    return F.when(key.isNull(), F.lit(-1)).otherwise(place * cuts + within.cast("int"))
+
+    def number(place: Column, low: Column, high: Column) -> Column:
+        within = F.when(high > low, F.floor((key - low) / (high - low) * (cuts - 1))).otherwise(F.lit(0))
+        return place * cuts + within.cast("int")
+
+    # the place is found once and its borders are looked up once: the plan, which the driver holds, stays short
+    ends = lambda place: F.struct(place.alias("place"), F.get(whole, place).cast("double").alias("low"), F.get(whole, place + 1).cast("double").alias("high"))
+    found = let(let(_place(key, borders), ends), lambda e: number(e["place"], e["low"], e["high"]))
+    return F.when(key.isNull(), F.lit(-1)).otherwise(found)
 
 
 def with_next(docs: DataFrame, column: str, made: dict[str, Column], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:

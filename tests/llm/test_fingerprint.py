@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.llm import fingerprint as fp
 
@@ -75,3 +76,14 @@ def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "", 1)], SCHEMA)
     plan = fp.fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Nested" not in plan
+
+
+def test_numbers_of_ranges_make_a_short_plan(spark):
+    docs = spark.range(-500, 3500).select((F.col("id") * F.col("id") - 7).alias("doc_id")).union(spark.createDataFrame([(None,)], "doc_id long"))
+    ranged = docs.select("doc_id", fp._range_of(docs, 5).alias("r"))
+    # the plan is held and rewritten on the driver, once for each stage
+    assert len(ranged._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    rows = sorted((tuple(r) for r in ranged.filter("doc_id is not null").collect()), key=lambda x: x[0])
+    numbers = [r for _, r in rows]
+    assert numbers == sorted(numbers) and len(set(numbers)) > 128
+    assert [r["r"] for r in ranged.filter("doc_id is null").collect()] == [-1]
