@@ -1,38 +1,51 @@
 """Expiry of batches on a stream: one event for each batch that stayed silent beyond its limit.
 
-The state of a batch holds its open life spans and one event-time timer, set to the earliest
+The batches are dealt over a fixed number of buckets by the hash of their key.  The state of a
+bucket holds the open life spans of its batches and one event-time timer, set to the earliest
 end.  Each activity (an arrival, a correction) renews the span it falls into and moves the
-timer; a span is final, and its expiry written, once the watermark has passed its end.
+timer; a span is final, and its expiry written, once the watermark has passed its end.  So the
+calls of a trigger are at most as many as the buckets, however many batches there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType, TimestampType
 
 from fieldloom import model as m
 
 PIECE = 60_000_000  # microseconds: activities of one batch within it travel as one row
-STATE = "started array<bigint>, last array<bigint>, n array<bigint>"
+BUCKETS = 4096  # groups that share a state; a running stream keeps the number it began with
+SPAN = ["started", "last", "n"]
 
 Span = tuple[int, int, int]  # first and last activity in microseconds, number of activities
 
 
+def merge_rows(rows: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """Life spans (batch, started, last, n) in order of time; those of a batch at most ``limit`` apart are one."""
+    if rows.empty:
+        return rows
+    rows = rows.assign(code=pd.factorize(rows["batch"])[0]).sort_values(["code", "started"], ignore_index=True)
+    code, started = rows["code"].to_numpy(), rows["started"].to_numpy()
+    reach = rows.groupby("code")["last"].cummax().to_numpy()
+    fresh = np.append(True, (code[1:] != code[:-1]) | (started[1:] > reach[:-1] + limit))
+    first = np.flatnonzero(fresh)
+    return pd.DataFrame({
+        "batch": rows["batch"].iloc[first].reset_index(drop=True), "started": started[first],
+        "last": np.maximum.reduceat(reach, first), "n": np.add.reduceat(rows["n"].to_numpy(), first),
+    })
+
+
 def merge_spans(spans: Iterable[Span], limit: int) -> list[Span]:
-    """Life spans in order of time; those at most ``limit`` apart are one."""
-    merged: list[Span] = []
-    for started, last, n in sorted(spans):
-        if merged and started <= merged[-1][1] + limit:
-            before = merged.pop()
-            merged.append((before[0], max(before[1], last), before[2] + n))
-        else:
-            merged.append((started, last, n))
-    return merged
+    """``merge_rows`` for the spans of one batch."""
+    rows = pd.DataFrame(list(spans), columns=SPAN, dtype="int64").assign(batch=0)
+    return list(merge_rows(rows, limit)[SPAN].itertuples(index=False, name=None))
 
 
 def _pieces(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,26 +62,28 @@ def _pieces(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _expire(limit: int):
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spans = list(zip(*state.get)) if state.exists else []
+        spans = pd.DataFrame(dict(zip(["batch", *SPAN], state.get))) if state.exists else None
         if not state.hasTimedOut:
             for chunk in chunks:  # merged chunk by chunk: the open spans are held, not the rows
-                spans = merge_spans([*spans, *chunk[["started", "last", "n"]].itertuples(index=False, name=None)], limit)
+                rows = chunk[["batch", *SPAN]]
+                spans = merge_rows(rows if spans is None else pd.concat([spans, rows], ignore_index=True), limit)
+        if spans is None:
+            return
         # in whole milliseconds, as the watermark is
         passed = state.getCurrentWatermarkMs()
-        ends = [-(-(last + limit) // 1000) for _, last, _ in spans]
-        over = [s for s, end in zip(spans, ends) if end < passed]
-        still = [s for s, end in zip(spans, ends) if end >= passed]
-        if still:
-            state.update(tuple([int(x) for x in column] for column in zip(*still)))
+        ends = -(-(spans["last"] + limit) // 1000)
+        over, still = spans[ends < passed], spans[ends >= passed]
+        if len(still):
+            state.update(tuple(still[c].tolist() for c in ("batch", *SPAN)))
             # a timer lies after the watermark; an end on the watermark is looked at with the next one
-            state.setTimeoutTimestamp(max(min(end for end in ends if end >= passed), passed + 1))
+            state.setTimeoutTimestamp(max(int(ends[ends >= passed].min()), passed + 1))
         elif state.exists:
             state.remove()
-        if over:
-            time = lambda values: pd.to_datetime(pd.Series(values, dtype="int64"), unit="us", utc=True)
+        if len(over):
+            time = lambda values: pd.to_datetime(values, unit="us", utc=True)
             yield pd.DataFrame({
-                "batch": [key[0]] * len(over), "started": time([s for s, _, _ in over]), "last_activity": time([x for _, x, _ in over]),
-                "expired": time([x + limit for _, x, _ in over]), "n_activities": pd.Series([n for *_, n in over], dtype="int64"),
+                "batch": over["batch"], "started": time(over["started"]), "last_activity": time(over["last"]),
+                "expired": time(over["last"] + limit), "n_activities": over["n"],
             })
 
     return step
@@ -87,11 +102,13 @@ def expiries(activity: DataFrame, batch: str = "batch_id", time: str = "ts", ttl
     limit = ttl_minutes * 60_000_000
     key = activity.schema[batch].dataType
     moment = TimestampType()
-    piece = StructType([StructField("batch", key), StructField("time", moment), *[StructField(c, LongType()) for c in ("started", "last", "n")]])
+    piece = StructType([StructField("batch", key), StructField("time", moment), *[StructField(c, LongType()) for c in SPAN]])
     events = StructType([
         StructField("batch", key), *[StructField(c, moment) for c in ("started", "last_activity", "expired")], StructField("n_activities", LongType()),
     ])
+    kept = StructType([StructField("batch", ArrayType(key)), *[StructField(c, ArrayType(LongType())) for c in SPAN]])
     rows = activity.select(F.col(batch).alias("batch"), F.unix_micros(F.col(time).cast(moment)).alias("at")).dropna()
     pieces = rows.mapInPandas(_pieces, piece).withWatermark("time", delay)
-    spans = pieces.groupBy("batch").applyInPandasWithState(_expire(limit), events, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("batch"), F.lit(BUCKETS)))
+    spans = dealt.groupBy("bucket").applyInPandasWithState(_expire(limit), events, kept, "append", GroupStateTimeout.EventTimeTimeout)
     return spans.withColumnRenamed("batch", batch)

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from fieldloom.streaming import expiry
 from fieldloom.streaming.expiry import expiries, merge_spans
 
 DAY = datetime(2024, 5, 1)
@@ -78,3 +79,19 @@ def test_any_order_within_the_delay(spark, tmp_path, seed):
 
 def test_no_activity_at_all(spark, tmp_path):
     assert run(spark, str(tmp_path), [[]]) == []
+
+
+def test_batches_share_their_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(expiry, "BUCKETS", 5, raising=False)
+    rows = [(f"b{k}", at(k % 7 + 20 * i), "") for k in range(200) for i in range(3)] + [("clock", at(75), "")]
+    seen = []
+    for part in (rows, [("clock", at(400), "")]):
+        spark.createDataFrame(part, "batch_id string, ts timestamp, last string").write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("batch_id string, ts timestamp, last string").parquet(f"{tmp_path}/in")
+        query = expiries(stream).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/log")
+        query = query.trigger(availableNow=True).start(f"{tmp_path}/out")
+        query.awaitTermination()
+        seen += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert 0 < max(seen) <= 5
+    found = spark.read.parquet(f"{tmp_path}/out").select("batch_id", "started", "expired", "n_activities").collect()
+    assert sorted(tuple(r) for r in found) == lives([(b, t) for b, t, _ in rows], at(390))
