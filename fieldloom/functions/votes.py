@@ -55,13 +55,11 @@ def word_vote(text: Column, words: list[str], legacy_vote: bool = False) -> Colu
     Without any occurrence the result is NULL, or the first word when
     ``legacy_vote`` is set.
     """
-    counted = [
-        F.struct(
-            F.floor((F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / len(w)).cast("int").alias("n"),
-            F.lit(-i).alias("seen"),
-            F.lit(w).alias("value"),
-        )
-        for i, w in enumerate(words)
-    ]
+    def occurrences(w: str) -> Column:
+        left = F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))
+        # looking for a word is cheap, cutting it out is not
+        return F.when(F.contains(text, F.lit(w)), F.floor(left / len(w)).cast("int")).when(text.isNotNull(), F.lit(0))
+
+    counted = [F.struct(occurrences(w).alias("n"), F.lit(-i).alias("seen"), F.lit(w).alias("value")) for i, w in enumerate(words)]
     best = F.array_max(F.array(*counted))
-    return best["value"] if legacy_vote else F.when(best["n"] > 0, best["value"])
+    return best["value"] if legacy_vote else let(best, lambda b: F.when(b["n"] > 0, b["value"]))

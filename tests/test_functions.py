@@ -155,3 +155,30 @@ def test_lines_of_any_ending(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(whole)], "i int, t string").select("i", text.lines(F.col("t")).alias("l")).orderBy("i").collect()
     assert [r["l"] for r in rows] == [x.splitlines() or [""] for x in whole]
     assert text.HAS_RARE_LINE_END.startswith("[") and "|" not in text.HAS_RARE_LINE_END
+
+
+def test_lines_are_folded_once_and_words_looked_for_before_cutting(spark):
+    from fieldloom.operators import locate as loc
+
+    made = spark.range(1).select(F.lit("Formas: Mención, MENCIÓN").alias("t"))
+    shown = lambda c: made.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert shown(loc.mentions("UNO", "DOS", "MENCIÓN")(F.col("t"))).count("upper(") == 1
+    assert shown(votes.word_vote(F.col("t"), ["UNO", "DOS"])).lower().count("contains(") == 2
+    assert shown(loc.numbered_block(F.col("t"), "Agente:", checks.is_agent_key)).lower().count("instr(") == 0
+    found = made.select(loc.mentions("UNO", "MENCIÓN")(F.col("t")).alias("a"), loc.mentions("UNO")(F.col("t")).alias("b"), loc.mentions("UNO")(F.lit(None).cast("string")).alias("c"))
+    assert tuple(found.first()) == (True, False, None)
+
+
+def test_numbered_block_ends_after_its_length(spark):
+    from fieldloom.operators import locate as loc
+
+    text = "x\nAgente:\n ANA \n12345\nAgente:\n9999"
+    block = lambda t, **k: spark.range(1).select(loc.numbered_block(F.lit(t).cast("string"), "Agente:", checks.is_agent_key, **k).alias("b")).first()["b"]
+    assert tuple(block(text)) == ("12345", "ANA")
+    assert block(text, length=14) is None and block("x\n12345") is None and block(None) is None
+
+
+def test_word_vote_of_no_text(spark):
+    at = lambda t, **k: spark.range(1).select(votes.word_vote(F.lit(t).cast("string"), ["CONTADO", "ANUAL"], **k).alias("w")).first()["w"]
+    assert at(None) is None and at("") is None and at(None, legacy_vote=True) == at("", legacy_vote=True) == "CONTADO"
+    assert at("ANUALANUAL CONTADO") == "ANUAL"
