@@ -289,8 +289,11 @@ def band_below_title(spans: DataFrame, title: str, height: float = 40) -> DataFr
     """Spans just below a title on the last page that has it."""
     hit = spans.filter(F.col("text") == title)
     last = hit.groupBy("doc_id").agg(F.min_by(F.struct("page", "y0"), F.struct(-F.col("page"), "ord")).alias("_t"))
-    last = last.select("doc_id", F.col("_t.page").alias("page"), F.col("_t.y0").alias("_y"))
-    return within_reach(spans, last, F.col("_y"), F.col("_y") + height).filter(F.col("y0") > F.col("_y")).drop("_y")
+    last = last.select("doc_id", F.col("_t.page").alias("_page"), F.col("_t.y0").alias("_y"))
+    # A document has one such title, so a join on the document pairs no span twice.  Its spans are sent side by side
+    # and without a cell, which packs them well, and what is grouped by document afterwards is not sent again.
+    below = (F.col("page") == F.col("_page")) & (F.col("y0") > F.col("_y")) & (F.col("y0") <= F.col("_y") + height)
+    return spans.join(last, "doc_id").filter(below).select(*PAGE, *[c for c in spans.columns if c not in PAGE])
 
 
 def _zone_band(fraction: Column) -> Column:

@@ -111,3 +111,24 @@ def test_zone_rules_agree_between_plan_and_table(spark):
     forms = [fl.rule_fields(docs, rules, spans="spans", max_unrolled=n) for n in (400, 0)]
     got = [{r["doc_id"]: [tuple(f) for f in r["rule_fields"]] for r in form.collect()} for form in forms]
     assert got[0] == got[1] and any(f[1] for rows in got[0].values() for f in rows)
+
+
+def test_band_below_title_sends_spans_once(spark):
+    """The band is that of brute force; spans are sent by their document, and not again for a grouping of the page."""
+    rows = made(13, docs=9)
+    spans = spark.createDataFrame(rows, SCHEMA)
+    want = set()
+    for d in range(9):
+        marks = sorted((-r[2], r[3], r[6]) for r in rows if r[0] == d and r[4] == "Total")
+        if marks and marks[0][2] is not None:
+            want |= {(d, r[3]) for r in rows if (r[0], r[2]) == (d, -marks[0][0]) and r[6] is not None and marks[0][2] < r[6] <= marks[0][2] + 40}
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        band = layout.band_below_title(spans, "Total")
+        grouped = band.groupBy("doc_id", "page").agg(F.max("text").alias("t"))
+        assert {(r["doc_id"], r["ord"]) for r in band.collect()} == want and want
+        plan = grouped._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 3 and "_cell" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
