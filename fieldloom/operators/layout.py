@@ -11,6 +11,9 @@ before they are shuffled, no page is collected anywhere.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,19 +77,26 @@ def nearest_value(spans: Column, label: Column, exclude: list[str] | None = None
                   max_dy: float = 45, same_row: bool = True, below: bool = True, max_dx: float | None = None) -> Column:
     """Value right of the label in its row, else the nearest one below in its column."""
 
-    def place(s: Column, mark: Column) -> Column:
+    def beside(s: Column, mark: Column) -> Column:
+        right = (F.abs(s["y0"] - mark["y0"]) <= tol_row) & (s["x0"] > mark["x1"] - 2)
+        return right & (s["x0"] - mark["x1"] <= max_dx) if max_dx is not None else right
+
+    def under(s: Column, mark: Column) -> Column:
         dy = s["y0"] - mark["y0"]
-        right = (F.abs(dy) <= tol_row) & (s["x0"] > mark["x1"] - 2)
-        if max_dx is not None:
-            right = right & (s["x0"] - mark["x1"] <= max_dx)
-        under = (dy > 0) & (dy <= max_dy) & (F.abs(s["x0"] - mark["x0"]) <= tol_x)
-        kind = F.when(right & F.lit(same_row), 0).when(under & F.lit(below), 1)
-        gap = F.when(kind == 0, s["x0"] - mark["x1"]).otherwise(dy)
-        return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), gap.alias("gap"), s["ord"].alias("ord"), s["text"].alias("text")))
+        return (dy > 0) & (dy <= max_dy) & (F.abs(s["x0"] - mark["x0"]) <= tol_x)
+
+    places = [test for test, wanted in ((beside, same_row), (under, below)) if wanted]
+
+    def ranked(s: Column, mark: Column) -> Column:
+        right = beside(s, mark) if same_row else F.lit(False)
+        gap = F.when(right, s["x0"] - mark["x1"]).otherwise(s["y0"] - mark["y0"])
+        return F.struct(F.when(right, 0).otherwise(1).alias("kind"), gap.alias("gap"), s["ord"].alias("ord"), s["text"].alias("text"))
 
     def best(mark: Column) -> Column:
-        placed = F.transform(_others(spans, mark, exclude or []), lambda s: place(s, mark))
-        return present(strip(F.array_min(F.filter(placed, lambda p: p.isNotNull()))["text"]))
+        # the place is tested first: only the few spans that pass are looked at further
+        near = F.filter(spans, lambda s: reduce(or_, (test(s, mark) for test in places), F.lit(False)))
+        held = _others(near, mark, exclude or [])
+        return present(strip(F.array_min(F.transform(held, lambda s: ranked(s, mark)))["text"]))
 
     return let(label, lambda mark: F.when(mark.isNotNull(), best(mark)))
 
@@ -118,14 +128,17 @@ def join_until_gap(ordered: Column, max_gap: float) -> Column:
     return F.array_join(F.filter(F.transform(kept, lambda s: strip(s["t"])), lambda t: t != ""), " ")
 
 
-def over_pages(spans: Column, label: str, pages: Column | None, value) -> Column:
-    """First page whose label gives a value.  ``value``: (page spans, label span) -> Column."""
+def over_pages(spans: Column, label: str, pages: Column | None, value, kind: str = "string") -> Column:
+    """First page whose label gives a value; no page after it is looked at.
+
+    ``value``: (page spans, label span) -> Column of type ``kind``.
+    """
     numbers = F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["page"]))) if pages is None else pages
 
     def on(page: Column) -> Column:
         return let(on_page(spans, page), lambda part: value(part, find_label(part, label)))
 
-    return F.get(F.filter(F.transform(numbers, on), lambda v: v.isNotNull()), F.lit(0))
+    return F.aggregate(numbers, F.lit(None).cast(kind), lambda found, page: F.coalesce(found, on(page)))
 
 
 def after_label_in_line(spans: Column, label: str, pick) -> Column:

@@ -24,6 +24,8 @@ GRID = [
     (10, "'Total'", "100", "400", 30),
 ]
 HEIGHT = 800
+TITLES, VALUES = (0, 1, 4, 8, 10), (2, 3, 5, 6, 7)
+SPAN_FIELDS = ["page", "ord", "block", "line", "text", "x0", "y0", "x1", "y1", "page_width", "page_height"]
 
 
 def _span_sql() -> str:
@@ -39,21 +41,56 @@ LABEL = "lab AS (SELECT doc_id, page, ord AS lo, x0 AS lx0, y0 AS ly0, x1 AS lx1
 WITH_LABEL = f"WITH {SPANS}, {LABEL}"
 
 
+def _spans(page=1):
+    """The spans of a page as structs; the second page repeats the first a little lower, with marked values."""
+
+    def one(o, text, x, y, width):
+        at = lambda e: F.expr(f"cast({e} as double)") + (2.0 if page == 2 else 0.0)
+        said = F.expr(text) if page == 1 or o in TITLES else F.concat(F.expr(text), F.lit("p"))
+        sides = F.expr(f"cast({x} as double)"), at(y), F.expr(f"cast({x} + {width} as double)"), at(f"{y} + 8")
+        values = [F.lit(page), F.lit(o + 20 * (page - 1)), F.lit(0 if o < 8 else 1), F.lit(o // 3), said, *sides, F.lit(600.0), F.lit(float(HEIGHT))]
+        return F.struct(*[v.alias(n) for v, n in zip(values, SPAN_FIELDS, strict=True)])
+
+    return [one(*place) for place in GRID]
+
+
 def span_array(spark, folder):
     """One row per page with its spans as an array."""
-    items = [
-        F.struct(
-            F.lit(1).alias("page"), F.lit(o).alias("ord"), F.lit(0 if o < 8 else 1).alias("block"), F.lit(o // 3).alias("line"), F.expr(t).alias("text"),
-            F.expr(f"cast({x} as double)").alias("x0"), F.expr(f"cast({y} as double)").alias("y0"), F.expr(f"cast({x} + {w} as double)").alias("x1"),
-            F.expr(f"cast({y} + 8 as double)").alias("y1"), F.lit(600.0).alias("page_width"), F.lit(float(HEIGHT)).alias("page_height"),
-        )
-        for o, t, x, y, w in GRID
-    ]
-    return spread(table(spark, folder, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.array(*items).alias("spans"))
+    return spread(table(spark, folder, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.array(*_spans()).alias("spans"))
+
+
+def _of_place(made):
+    """One of the columns of the grid, by the place ``_o`` of the row; only that one is worked out."""
+    (first, value), *others = made
+    chosen = F.when(F.col("_o") == first, value)
+    for o, value in others:
+        chosen = chosen.when(F.col("_o") == o, value)
+    return chosen
+
+
+def _unnested(spark, folder, pages):
+    """The spans of ``pages`` as rows: each order meets the places of the grid, so no array is built to be unpacked."""
+    number = lambda e: F.expr(f"cast({e} as double)")
+    orders = spread(table(spark, folder, "orders")).select("o_orderkey", "o_custkey", F.explode(F.lit(pages)).alias("page"))
+    places = orders.select("*", F.explode(F.lit([o for o, *_ in GRID])).alias("_o"))
+    o, second = F.col("_o"), F.col("page") == 2
+    text, y0 = _of_place((o, F.expr(t)) for o, t, *_ in GRID), _of_place((o, number(y)) for o, _, _, y, _ in GRID)
+    if 2 in pages:
+        text = F.concat(text, F.when(second & ~o.isin(*TITLES), "p").otherwise(""))
+        y0 = y0 + F.when(second, 2.0).otherwise(0.0)
+    placed = places.select(
+        F.col("o_orderkey").alias("doc_id"), "_o", "page", (o + 20 * (F.col("page") - 1)).alias("ord"), F.when(o < 8, 0).otherwise(1).alias("block"),
+        F.floor(o / 3).cast("int").alias("line"), text.alias("text"), _of_place((o, number(x)) for o, _, x, _, _ in GRID).alias("x0"), y0.alias("y0"),
+        _of_place((o, F.lit(w)) for o, *_, w in GRID).alias("_width"),
+    )
+    return placed.select(
+        "doc_id", "_o", "page", "ord", "block", "line", "text", "x0", "y0", (F.col("x0") + F.col("_width")).alias("x1"), (F.col("y0") + 8).alias("y1"),
+        F.lit(600.0).alias("page_width"), F.lit(float(HEIGHT)).alias("page_height"),
+    )
 
 
 def span_rows(spark, folder):
-    return span_array(spark, folder).select("doc_id", F.inline("spans"))
+    return _unnested(spark, folder, [1]).drop("_o")
 
 
 _NEAREST = """SELECT doc_id, arg_min(text, (kind, gap, ord)) AS value FROM (
@@ -165,25 +202,21 @@ PAGES = f"""{SPANS}, pages AS (SELECT doc_id, doc_id % 2 + 1 AS product_id, page
 
 def page_array(spark, folder):
     """One row per document with the spans of both its pages."""
-    titles, values = (0, 1, 4, 8, 10), (2, 3, 5, 6, 7)
     doc = F.col("doc_id")
-    first = F.filter("spans", lambda s: ~((doc % 3 == 0) & s["ord"].isin(*values)))
-    second = F.transform(
-        F.filter("spans", lambda s: ~((doc % 4 == 1) & (s["ord"] == 8))),
-        lambda s: F.struct(
-            F.lit(2).alias("page"), (s["ord"] + 20).alias("ord"), s["block"].alias("block"), s["line"].alias("line"),
-            F.when(s["ord"].isin(*titles), s["text"]).otherwise(F.concat(s["text"], F.lit("p"))).alias("text"),
-            s["x0"].alias("x0"), (s["y0"] + 2).alias("y0"), s["x1"].alias("x1"), (s["y1"] + 2).alias("y1"),
-            s["page_width"].alias("page_width"), s["page_height"].alias("page_height"),
-        ),
-    )
-    both = span_array(spark, folder).select("doc_id", F.concat(first, second).alias("spans"))
+    made = spread(table(spark, folder, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.array(*_spans(1)).alias("first"), F.array(*_spans(2)).alias("second"))
+    # a page that is whole is taken as it is
+    first = F.when(doc % 3 != 0, F.col("first")).otherwise(F.filter("first", lambda s: ~((doc % 3 == 0) & s["ord"].isin(*VALUES))))
+    second = F.when(doc % 4 != 1, F.col("second")).otherwise(F.filter("second", lambda s: ~((doc % 4 == 1) & (s["ord"] == 28))))
+    both = made.select("doc_id", F.concat(first, second).alias("spans"))
     text = F.array_join(F.transform("spans", lambda s: s["text"]), " ")
     return both.select("doc_id", (doc % 2 + 1).alias("product_id"), text.alias("text"), "spans")
 
 
 def page_rows(spark, folder):
-    return page_array(spark, folder).select("doc_id", "product_id", F.inline("spans"))
+    """The same, one row per span."""
+    doc, o, page = F.col("doc_id"), F.col("_o"), F.col("page")
+    rows = _unnested(spark, folder, [1, 2]).filter(~((page == 1) & (doc % 3 == 0) & o.isin(*VALUES)) & ~((page == 2) & (doc % 4 == 1) & (o == 8)))
+    return rows.drop("_o").select("doc_id", (doc % 2 + 1).alias("product_id"), *SPAN_FIELDS)
 
 
 @query(f"""WITH {PAGES}, lab AS (SELECT doc_id, page, ord AS lo, x0 AS lx0, y0 AS ly0, x1 AS lx1 FROM pages WHERE ord IN (1, 21)),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import fields as fl
 from fieldloom.operators import layout
+from fieldloom.workloads import geometry
 
 SCHEMA = "doc_id bigint, product_id bigint, page int, ord int, text string, x0 double, y0 double, x1 double, y1 double, page_height double"
 
@@ -132,3 +133,41 @@ def test_band_below_title_sends_spans_once(spark):
         assert plan.count("Exchange hashpartitioning") <= 3 and "_cell" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+
+
+def test_array_form_finds_what_all_pairs_find(spark):
+    for seed in (3, 4):
+        rows = made(seed)
+        spans = spark.createDataFrame(rows, SCHEMA)
+        docs = spans.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("page", "ord", "text", "x0", "y0", "x1", "y1"))).alias("s"))
+        for reach in ({}, {"max_dy": 400}, {"same_row": False}, {"below": False}, {"max_dx": 30.0}, {"same_row": False, "below": False}):
+            value = layout.nearest_value(F.col("s"), layout.find_label(F.col("s"), "total"), ["neta"], **reach)
+            got = {(r["doc_id"], r["page"]): r["v"] for r in docs.select("doc_id", "page", value.alias("v")).collect() if r["v"] is not None}
+            table = layout.nearest_values(spans, layout.label_spans(spans, "total"), exclude=["neta"], **reach).collect()
+            assert got == {(r["doc_id"], r["page"]): r["value"] for r in table}
+            if set(reach) <= {"max_dy"}:
+                assert got == brute_nearest(rows, **reach)
+
+
+def test_no_page_is_looked_at_after_a_value(spark):
+    spans = "array<struct<page:int, ord:int, text:string>>"
+    docs = spark.createDataFrame([(1, [(1, 0, "Total"), (2, 1, "Total")]), (2, None), (3, [])], f"doc_id int, s {spans}")
+
+    def value(part, label):
+        return F.when(part[0]["page"] == 1, label["text"]).otherwise(F.raise_error(F.concat(F.lit("page "), part[0]["page"].cast("string"))).cast("string"))
+
+    got = docs.select("doc_id", layout.over_pages(F.col("s"), "total", None, value).alias("v")).collect()
+    assert {r["doc_id"]: r["v"] for r in got} == {1: "Total", 2: None, 3: None}
+
+
+def test_rows_of_pages_are_made_once_each(spark, tmp_path):
+    """Rows and arrays hold the same spans; no filter builds a page a second time to see whether it is empty."""
+    keys = [(k, None if k == 7 else k * 13) for k in range(1, 41)] + [(None, 3), (5, 65)]
+    spark.createDataFrame(keys, "o_orderkey bigint, o_custkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    for rows, array in ((geometry.span_rows, geometry.span_array), (geometry.page_rows, geometry.page_array)):
+        made_rows, arrays = rows(spark, str(tmp_path)), array(spark, str(tmp_path))
+        unpacked = arrays.select(*[c for c in arrays.columns if c in ("doc_id", "product_id")], F.inline("spans"))
+        assert made_rows.dtypes == unpacked.dtypes
+        assert sorted(map(repr, made_rows.collect())) == sorted(map(repr, unpacked.collect())) and unpacked.count() > 300
+        plan = made_rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "size(" not in plan and "lambdafunction" not in plan
