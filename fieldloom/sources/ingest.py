@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import quote
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.functions.binding import regexp_extract
 from fieldloom import model as m
@@ -11,21 +16,69 @@ from fieldloom.functions.text import strip
 from fieldloom.operators.bounds import rows_within
 
 PDF_GLOB = "*.[pP][dD][fF]"
+WHOLE_BYTES = 64 << 20  # a larger file is hashed part by part, as Spark's reader makes one value of a file, of 2 GB at most
+PART_BYTES = 8 << 20
 
 
 def scan_folder(spark: SparkSession, folder: str, glob: str = PDF_GLOB) -> DataFrame:
-    """Files of one folder: path, name, mtime, size, sha256, content."""
+    """Files of one folder: path, name, mtime, size, sha256, content.
+
+    Beyond ``WHOLE_BYTES`` the hash is made from the file itself, in parts, where the
+    workers can open it; in a store that only Spark reads it is made from the content.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return describe_files(files)
+    large = files.filter(F.col("length") > WHOLE_BYTES)
+    # names and sizes are looked at here, no content is read
+    if not large.select("path").head(1) or not large.agg(F.min(opens("path"))).first()[0]:
+        return describe_files(files)
+    return describe_files(files.filter(F.col("length") <= WHOLE_BYTES)).unionByName(describe_files(large, file_hash("path")))
 
 
-def describe_files(files: DataFrame) -> DataFrame:
+def describe_files(files: DataFrame, sha256: Column | None = None) -> DataFrame:
     return files.select(
         "path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("mtime"),
-        F.col("length").alias("size"), content_hash("content").alias("sha256"), "content",
+        F.col("length").alias("size"), (content_hash("content") if sha256 is None else sha256).alias("sha256"), "content",
     )
 
 
+def _open(path: str):
+    """The file of a path as Spark names it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    store, inner = fs.FileSystem.from_uri(quote(path, safe="/:@"))
+    return store.open_input_file(inner)
+
+
+@F.pandas_udf(T.BooleanType())
+def opens(paths: pd.Series) -> pd.Series:
+    """Can a worker open each file?"""
+
+    def opened(path: str) -> bool:
+        try:
+            _open(path).close()
+        except (OSError, ValueError, NotImplementedError, ImportError):  # Arrow's own errors are among these
+            return False
+        return True
+
+    return paths.map(opened).astype(bool)
+
+
+@F.pandas_udf(T.StringType())
+def file_hash(paths: pd.Series) -> pd.Series:
+    """SHA-256 of each file, hex, with ``PART_BYTES`` of it in memory."""
+
+    def hashed(path: str) -> str:
+        digest = hashlib.sha256()
+        with _open(path) as file:
+            while part := file.read(PART_BYTES):
+                digest.update(part)
+        return digest.hexdigest()
+
+    return paths.map(hashed)
+
+
 def content_hash(content: str | Column) -> Column:
     """SHA-256 of bytes or text, hex."""
     return F.sha2(content, 256)

@@ -1,5 +1,6 @@
 """Readers, writers, answers, streams."""
 
+import hashlib
 import os
 import time
 
@@ -23,6 +24,32 @@ def test_scan_takes_pdf_in_any_case(spark, tmp_path):
     assert {r["name"] for r in rows} == {"a.pdf", "b.PDF"} and len({r["sha256"] for r in rows}) == 1
 
 
+def test_scan_folder_large_files(spark, tmp_path):
+    # more than one value of a row can hold; its blocks are not on the disk
+    large = tmp_path / "a b%20ñ.pdf"
+    with open(large, "wb") as out:
+        out.write(b"start")
+        out.truncate((1 << 31) + 5)
+        out.seek(0, os.SEEK_END)
+        out.write(b"end")
+    (tmp_path / "c.pdf").write_bytes(b"small")
+    with open(large, "rb") as file:
+        digest = hashlib.file_digest(file, "sha256").hexdigest()
+    rows = {r["name"]: (r["size"], r["sha256"]) for r in ingest.scan_folder(spark, str(tmp_path)).select("name", "size", "sha256").collect()}
+    assert rows == {"a b%20ñ.pdf": ((1 << 31) + 8, digest), "c.pdf": (5, hashlib.sha256(b"small").hexdigest())}
+
+
+def test_scan_folder_parts_give_the_same(spark, tmp_path, monkeypatch):
+    for n in (1, 7, 8, 9, 100):
+        (tmp_path / f"f{n}.pdf").write_bytes(bytes(i % 251 for i in range(n)))
+    whole = sorted(ingest.scan_folder(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(ingest, "WHOLE_BYTES", 8)
+    assert sorted(ingest.scan_folder(spark, str(tmp_path)).collect()) == whole
+    # a store that the workers cannot open is read by Spark alone
+    monkeypatch.setattr(ingest, "opens", lambda path: F.lit(False))
+    assert sorted(ingest.scan_folder(spark, str(tmp_path)).collect()) == whole and len(whole) == 5
+
+
 @pytest.mark.parametrize("raw, product", [
     ('```json\n{"product_id": 4, "confidence": 0.9}\n```', 4), ('Sure: {"product_id": 5} ok', 5), ("no json {", None), ('{"product_id": 6}', 6), (None, None),
 ])
