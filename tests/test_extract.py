@@ -62,3 +62,27 @@ def test_field_sets(spark):
     assert first == "RFC"
     rules = spark.createDataFrame([(1, 1, "placas", "x", True, False, None)], "rule_id bigint, product_id bigint, field string, pattern string, active boolean, draft boolean, bbox string")
     assert flag_covered(listed, rules).filter("product_id = 1").orderBy(*covered_first()).first()["field"] == "placas"
+
+
+def test_needs_change_no_value(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from fieldloom.plans import family_a, recipes
+
+    text = samples.POLICY_A
+    texts = [
+        text, text.lower(), text.replace("\n", "\r\n"), text.replace("\n", " "), text.replace("I", "İ").replace("S", "ſ"),
+        text.replace("INFORMACIÓN", "INFORMACION").replace("VEHÍCULO", "VEHICULO"), text.replace("Placas:NXG2146", "Placa - NXG2146"),
+        text + "\nINFORMACIÓN DEL ASEGURADO\nC.P.:\n1\n2\n3\n4\n5\n6\n06700\nINFORMACIÓN IMPORTANTE\n" + "x\n" * 12 + "ENDOSO\n" + "y\n" * 9 + "06700",
+        text + "\nTNO-120202-M93\nENGLISH\n" + "x\n" * 12 + "123\nSEDAN\nMUNICIPIO: LEON\nPLAN: AMPLIA\nTRIMESTRAL USD EUROS",
+        "COBERTURA QUALITAS", "Qualitas placas\nsubtotal\n" + "1\n" * 7 + "12.00", "QUALITAS\nPLACAS:\n" + "1\n" * 6 + "pendiente", "QUALITAS PLACASABC12D", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("company", F.lit(family_a.COMPANY))
+    found = lambda: sorted(recipes.recipe_fields(docs, [family_a.FAMILY]).select("doc_id", F.to_json("recipe_fields")).collect())
+    quick = found()
+    plan = recipes.recipe_fields(docs, [family_a.FAMILY])._jdf.queryExecution().analyzed().toString()
+    assert "Contains(_upper" in plan and len(recipes.NEEDS) > 10  # whole texts are looked at before their lines
+    monkeypatch.setattr(recipes, "NEEDS", {})
+    monkeypatch.setattr(recipes.Doc, "printed", lambda doc, *words, on="upper": doc.text.isNotNull())
+    monkeypatch.setattr(recipes.Doc, "quick", lambda doc, *words: (doc.upper_lines, lambda line: F.lit(True)))
+    assert found() == quick and len({row[1] for row in quick}) > 8
